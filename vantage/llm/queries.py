@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from .common import table
 from .linededup import dedup_units
 from .packing import pack_documents
+from .pii import find_pii
 from .sharding import hash_tree_shards
 from .simhash import simhash_components
 
 
+def op3_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -29,5 +34,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash, op5_best_fit, op7_hash_tree, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op3_weak_pii, op4_simhash, op5_best_fit, op7_hash_tree, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
