@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .htmltext import extract_main_text
+from .langid import identify_language
 from .linededup import dedup_units
 from .packing import pack_documents
 from .pii import find_pii
@@ -30,9 +32,17 @@ def op7_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("law", F.lit("key"))
 
 
+def op8_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
+def op9_tree_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_weak_pii, op4_simhash, op5_best_fit, op7_hash_tree, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op3_weak_pii, op4_simhash, op5_best_fit, op7_hash_tree, op8_crf_language, op9_tree_extract, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
