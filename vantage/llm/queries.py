@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .brown import score_texts
 from .common import table
 from .htmltext import extract_main_text
 from .langid import identify_language
@@ -15,6 +16,10 @@ from .sharding import hash_tree_shards
 from .simhash import simhash_components
 
 
+def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
@@ -44,5 +49,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_weak_pii, op4_simhash, op5_best_fit, op7_hash_tree, op8_crf_language, op9_tree_extract, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_brown, op3_weak_pii, op4_simhash, op5_best_fit, op7_hash_tree, op8_crf_language, op9_tree_extract, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
