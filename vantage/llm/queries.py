@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .brown import score_texts
 from .common import table
+from .crosspolytope import search
 from .htmltext import extract_main_text
 from .langid import identify_language
 from .linededup import dedup_units
@@ -20,6 +21,10 @@ def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
@@ -49,5 +54,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_brown, op3_weak_pii, op4_simhash, op5_best_fit, op7_hash_tree, op8_crf_language, op9_tree_extract, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_brown, op2_cross_polytope, op3_weak_pii, op4_simhash, op5_best_fit, op7_hash_tree, op8_crf_language, op9_tree_extract, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
