@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .brown import score_texts
 from .common import table
 from .crosspolytope import search
+from .decontaminate import find_contamination
 from .htmltext import extract_main_text
 from .langid import identify_language
 from .linededup import dedup_units
@@ -37,6 +38,11 @@ def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), 4096)
 
 
+def op6_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start_word", "similarity")
+
+
 def op7_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hash_tree_shards(table(spark, sf_dir, "documents"), shards=8)
     return out.withColumn("law", F.lit("key"))
@@ -54,5 +60,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_brown, op2_cross_polytope, op3_weak_pii, op4_simhash, op5_best_fit, op7_hash_tree, op8_crf_language, op9_tree_extract, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_brown, op2_cross_polytope, op3_weak_pii, op4_simhash, op5_best_fit, op6_simhash_windows, op7_hash_tree, op8_crf_language, op9_tree_extract, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
