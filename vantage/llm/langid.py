@@ -276,6 +276,29 @@ def _predict(tagger: Tagger):
     return run
 
 
+def _tagger(rows: DataFrame, per_label: int, modulus: int, held: int) -> Tagger:
+    """Learn from labelled rows (doc_id, text, lang) that are not held out."""
+    learn = rows.filter(F.coalesce(remainder("doc_id", modulus) != held, F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    return train_tagger(sample_labelled(learn, per_label))
+
+
+def keep_identified(docs: DataFrame, min_score: float = 0.5, per_label: int = 200, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text has a language with a score of at least ``min_score``.
+
+    Learning is that of ``identify_language``. Null texts and texts without a letter go.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("lang"))
+    shared = docs.sparkSession.sparkContext.broadcast(_tagger(rows, per_label, 4, 2))  # features of a sample of bounded size
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels, scores = shared.value.predict(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([lab != UNKNOWN and x >= min_score for lab, x in zip(labels, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify_language(docs: DataFrame, per_label: int = 200, modulus: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred and score of every text.
 
@@ -288,8 +311,7 @@ def identify_language(docs: DataFrame, per_label: int = 200, modulus: int = 4, h
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("lang"))
     held_out = F.coalesce(remainder("doc_id", modulus) == held, F.lit(False))
-    learn = rows.filter(F.col("doc_id").isNotNull() & ~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    tagger = train_tagger(sample_labelled(learn, per_label))
+    tagger = _tagger(rows, per_label, modulus, held)
     shared = docs.sparkSession.sparkContext.broadcast(tagger)  # features of a sample of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -290,3 +290,32 @@ def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
     return scanned.mapInArrow(
         _decide(fit(scanned), threshold), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     )
+
+
+def redact(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """``docs`` with every span that ``find_pii`` finds replaced by its kind in angle brackets.
+
+    Overlapping spans are replaced together, by the kind of the first. Other columns stay, but for
+    ``length_col``, which gets the new number of code points. Null texts stay null.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    scanned = materialize(rows.mapInArrow(_scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, spans {_SPAN_DDL}"), "spans")
+    prob, at = fit(scanned), docs.columns.index(text_col)
+
+    def clean(text: str | None) -> str | None:
+        if not text:
+            return text
+        found = [(s, e, k) for k, s, e, base, _, f in candidates(text)[1] if base or prob.get(" ".join(map(str, f)), 0.0) >= threshold]
+        out, done = [], 0
+        for s, e, k in sorted(found):
+            if s >= done:
+                out += [text[done:s], f"<{k.upper()}>"]
+            done = max(done, e)
+        return "".join([*out, text[done:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.set_column(at, batch.schema.names[at], pa.array([clean(t.as_py()) for t in batch.column(at)], pa.string()))
+
+    out = docs.mapInArrow(run, docs.schema)
+    return out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col else out

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, row_key
 from .components import connected_components
 
 BYTES = 8
@@ -39,8 +39,8 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
 def _fingerprints(width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), width, seed) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t.as_py(), width, seed) for t in batch.column(batch.num_columns - 1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 
     return run
 
@@ -121,3 +121,19 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, id_col:
     tops = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(tops, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each near-duplicate component, that with the smallest id (null ids last), all columns as they are.
+
+    Of rows that are equal in id and text, one stays.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    prints = materialize(rows.mapInArrow(_fingerprints(width, 42), f"doc_id {kind}, k1 long, k2 long, fp long"), "fingerprints")
+    linked = link_fingerprints(prints.select("fp").distinct(), radius)
+    rooted = prints.join(linked.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("first")
+    kept = rooted.groupBy("root").agg(first).select("first.k1", "first.k2")
+    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *row_key(id_col, text_col))
+    return marked.join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
