@@ -25,6 +25,7 @@ _TO_END = frozenset("script style textarea title".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var img br wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _ENDS_WITH_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_TEXTUAL = frozenset("p li h1 h2 h3 h4 h5 h6 ul ol dl dt dd tr td th tbody thead blockquote pre figcaption".split())
 _SCOPES = frozenset("ul ol dl table body html".split())
 
 #: Words in class, id and role attributes that speak against or for main text.
@@ -48,7 +49,7 @@ _GROUPS |= {t: "cell" for t in ("td", "th", "tr", "tbody", "thead")} | {t: "form
 class Page:
     """Block elements of a page as a tree, and its text runs in page order."""
 
-    __slots__ = ("parent", "depth", "feats", "labels", "runs")
+    __slots__ = ("parent", "depth", "feats", "kind", "labels", "runs")
 
     def __init__(self, html: str):
         self.parent, self.depth, self.labels, self.runs = [-1], [0], [None], []
@@ -139,6 +140,7 @@ class Page:
             stack.append((tag, node))
         flush()
         self.feats = [_features(*x) for x in info]
+        self.kind = [int(x[0] in _TEXTUAL) for x in info]  # text elements go with their parent more than boxes do
 
 
 def _features(tag: str, classes: tuple, words: int, linked: int, ends: bool, inside: bool) -> tuple[str, ...]:
@@ -178,21 +180,23 @@ class Forest:
         self.rows, self.cols = np.array(rows, np.int64), np.array(cols, np.int64)
         order = np.argsort(depth, kind="stable")
         self.levels = np.split(order, np.cumsum(np.bincount(depth))[:-1]) if self.n else []
+        self.kind = np.array([k for p in pages for k in p.kind], np.int64)
 
     def marginals(self, weights: np.ndarray, bias: float, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sum-product. ``pair[x, y]`` is the log potential of parent x and child y. Gives P(node = 1),
+        """Sum-product. ``pair[t, x, y]`` is the log potential of parent x and child y of kind t. Gives P(node = 1),
         and P(parent, child) of each node with a parent (four columns, in node order)."""
         score = np.bincount(self.rows, weights[self.cols], self.n) + bias if len(self.rows) else np.full(self.n, bias)
         inner = np.stack([np.zeros(self.n), score], 1)  # a node's own score and what its children send
         up = np.zeros((self.n, 2))
         for level in self.levels[:0:-1]:
-            up[level] = np.logaddexp(pair[:, 0] + inner[level, :1], pair[:, 1] + inner[level, 1:])
+            own = pair[self.kind[level]]
+            up[level] = np.logaddexp(own[:, :, 0] + inner[level, :1], own[:, :, 1] + inner[level, 1:])
             np.add.at(inner, self.parent[level], up[level])
         belief = inner.copy()
         edges = np.zeros((self.n, 2, 2))
         for level in self.levels[1:]:
             rest = belief[self.parent[level]] - up[level]
-            joint = rest[:, :, None] + pair[None] + inner[level][:, None, :]
+            joint = rest[:, :, None] + pair[self.kind[level]] + inner[level][:, None, :]
             edges[level] = joint
             belief[level] = np.logaddexp(joint[:, 0], joint[:, 1])
         p = 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -50, 50)))
@@ -231,16 +235,18 @@ def labelled_pages(n: int, seed: int = 7) -> list[str]:
             body += f' <a href="#">{words(1, 3)}</a> {words(2, 6, ".")}'
         if r.random() < 0.15:
             body = f"<b>{words(2, 12)}</b><br>{body}"
-        if r.random() < 0.1:
-            body = words(1, 5)
+        if r.random() < 0.2:
+            body = words(1, 5, r.choice(("", ".", "!", "?")))
+        elif r.random() < 0.05:
+            body = words(10, 90)
         return el("p", 1, body, closed=r.random() > 0.15)
 
     def article() -> str:
-        title = el("h1", 1, words(2, 9))
+        title = el("h1", 1, words(1, 9) if r.random() < 0.8 else words(9, 40, r.choice(("", "."))))
         if r.random() < 0.15:
             title = el("header", 1, title)
         parts = [title] if r.random() < 0.9 else []
-        for _ in range(r.randint(1, 9)):
+        for _ in range(r.choice((1, 1, 2, 3, 4, 5, 6, 7, 9, 14))):
             kind = r.random()
             if kind < 0.72:
                 parts.append(paragraph())
@@ -262,7 +268,7 @@ def labelled_pages(n: int, seed: int = 7) -> list[str]:
             return el("article", 1, body)
         if how < 0.6:
             return el("main", 1, el("article", 1, body) if r.random() < 0.5 else body)
-        return el(r.choice(("div", "section")), 1, body, r.choice(("content", "post", "entry-content", "main", "story", "article-body", "")))
+        return el(r.choice(("div", "section")), 1, body, r.choice(("content", "post", "entry-content", "main", "story", "article-body", "post-body", "text", "")))
 
     def junk(kind: str) -> str:
         tag = r.choice(("div", "div", "section"))
@@ -278,7 +284,7 @@ def labelled_pages(n: int, seed: int = 7) -> list[str]:
             return el(r.choice(("section", "div")), 0, el("h3", 0, words(1, 2)) + "".join(one() for _ in range(r.randint(1, 5))), r.choice(("comments", "discussion", "comment-list")))
         if kind == "form":
             return el("form", 0, f"<label>{words(1, 3)}</label><input>" + el("p", 0, sentences(1)), name(kind) if r.random() < 0.5 else "")
-        body = r.choice((sentences(r.randint(1, 3)), el("p", 0, sentences(r.randint(1, 4))), el("h3", 0, words(1, 3)) + links(), el("p", 0, sentences(1)) + el("p", 0, sentences(2))))
+        body = r.choice((sentences(r.randint(1, 3)), el("p", 0, sentences(r.randint(1, 6))), words(1, 9), el("p", 0, words(1, 15)), el("h3", 0, words(1, 3)) + links(), el("p", 0, sentences(1)) + el("p", 0, sentences(2))))
         if kind == "side" and r.random() < 0.6:
             return el("aside", 0, body, name(kind) if r.random() < 0.5 else "")
         if kind == "notice" and r.random() < 0.2:
@@ -298,25 +304,26 @@ def labelled_pages(n: int, seed: int = 7) -> list[str]:
 
 
 @functools.lru_cache(maxsize=4)
-def train(pages: int = 400, seed: int = 7, rounds: int = 150, l2: float = 0.5) -> tuple[dict[str, int], np.ndarray, float, np.ndarray]:
+def train(pages: int = 600, seed: int = 7, rounds: int = 250, l2: float = 0.5) -> tuple[dict[str, int], np.ndarray, float, np.ndarray]:
     """Feature weights, bias and parent-child potentials of greatest likelihood on labelled pages."""
     found = [Page(h) for h in labelled_pages(pages, seed)]
     index: dict[str, int] = {}
     forest = Forest(found, index, grow=True)
     y = np.array([1 if v is None else v for p in found for v in p.labels], float)
     has = forest.parent >= 0
-    up, down = y[forest.parent[has]].astype(int), y[has].astype(int)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (up, down), 1)
-    params = np.zeros(len(index) + 5)
+    up, down, kind = y[forest.parent[has]].astype(int), y[has].astype(int), forest.kind[has]
+    seen, expected = np.zeros((2, 2, 2)), np.zeros((2, 2, 2))
+    np.add.at(seen, (kind, up, down), 1)
+    params = np.zeros(len(index) + 9)
     first, second = np.zeros_like(params), np.zeros_like(params)
     for t in range(1, rounds + 1):
-        w, bias, pair = params[:-5], params[-5], params[-4:].reshape(2, 2)
+        w, bias, pair = params[:-9], params[-9], params[-8:].reshape(2, 2, 2)
         p, e = forest.marginals(w, bias, pair)
-        grad = np.concatenate((np.bincount(forest.cols, (y - p)[forest.rows], len(index)), [(y - p).sum()], (seen - e.sum(0)).ravel())) - l2 * params
+        expected[0], expected[1] = e[kind == 0].sum(0), e[kind == 1].sum(0)
+        grad = np.concatenate((np.bincount(forest.cols, (y - p)[forest.rows], len(index)), [(y - p).sum()], (seen - expected).ravel())) - l2 * params
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         params = params + 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
-    return index, params[:-5], float(params[-5]), params[-4:].reshape(2, 2)
+    return index, params[:-9], float(params[-9]), params[-8:].reshape(2, 2, 2)
 
 
 def _extract(model: tuple):

@@ -261,6 +261,8 @@ def sample_labelled(docs: DataFrame, per_label: int) -> list[tuple[str, str]]:
     keys = docs.select(F.col("doc_id"), "lang", F.xxhash64("doc_id", "lang").alias("h"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = keys.withColumn("r", rank).filter(F.col("r") <= per_label).select("doc_id", "lang").distinct()
+    if chosen.count() <= 100_000:  # per_label of each label; a broadcast spares the texts a shuffle
+        chosen = F.broadcast(chosen)
     rows = docs.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id", F.xxhash64("text"))).alias("r"))
     return [(r["text"], r["lang"]) for r in rows.filter(F.col("r") <= per_label).collect()]
 

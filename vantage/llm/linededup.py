@@ -10,47 +10,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import materialize, row_key
 
-#: A unit ends with a line, or after a word that holds one of these marks.
-_WORD = re.compile(r"[^\s]+|\n")
-_MARKS = re.compile(r"[.!?]")
+#: A unit ends with a line, or with a word that holds one of these marks.
+_END = re.compile(r"[.!?]\S*")
 
 
 def text_units(text: str, min_words: int) -> Iterator[tuple[int, int, bytes | None]]:
     """``(start, end, digest)`` of each unit of a text, in code points.
 
     The digest covers the unit's lower-cased words joined by single spaces, together with as many
-    units before it as give ``min_words`` words. It is None where the text so far has fewer.
+    words before it as give ``min_words`` words. It is None where the text so far has fewer.
     """
-    words: list[tuple[int, int]] = []
     recent: list[str] = []
-    taken: list[str] = []
-
-    def close():
-        body = taken[:]
-        if len(body) < min_words:
-            body = recent[len(body) - min_words :] + body
-        recent.extend(taken)
-        del recent[:-min_words]
-        digest = xxhash.xxh3_128_digest(" ".join(body).lower().encode("utf-8", "surrogatepass")) if len(body) >= min_words else None
-        found = (words[0][0], words[-1][1], digest)
-        words.clear()
-        taken.clear()
-        return found
-
-    for m in _WORD.finditer(text):
-        word = m[0]
-        if word == "\n":
+    base = 0
+    for line in text.split("\n"):
+        at = 0
+        for stop in [m.end() for m in _END.finditer(line)] + [len(line)]:
+            part = line[at:stop]
+            words = part.lower().split()
             if words:
-                yield close()
-            continue
-        words.append(m.span())
-        taken.append(word)
-        if _MARKS.search(word):
-            yield close()
-    if words:
-        yield close()
+                start = base + stop - len(part.lstrip())
+                end = base + at + len(part.rstrip())
+                body = words if len(words) >= min_words else recent[len(words) - min_words :] + words
+                recent = body[-min_words:]
+                yield start, end, xxhash.xxh3_128_digest(" ".join(body).encode("utf-8", "surrogatepass")) if len(body) >= min_words else None
+            at = stop
+        base += len(line) + 1
 
 
 def _units(min_words: int):
@@ -141,7 +127,8 @@ def dedup_units(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id", tex
     )
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "start")
     first = units.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    again = units.join(first.select("d1", "d2", "first"), ["d1", "d2"]).filter(place != F.col("first"))
+    first = materialize(first.select("d1", "d2", "first"), "firsts")  # a join of plain shuffles: a hot digest's rows can be split
+    again = units.join(first, ["d1", "d2"]).filter(place != F.col("first"))
     cuts = again.groupBy("doc_id", "k").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     joined = rows.alias("r").join(
         cuts.alias("c"), F.col("r.k1").eqNullSafe(F.col("c.k")) & F.col("r.doc_id").eqNullSafe(F.col("c.doc_id")), "left"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-_CACHE_WORDS, _CACHE_CHARS = 300_000, 48
+_CACHE_WORDS, _TEXTS = 800_000, 256
 
 
 def default_tokenizer() -> str:
@@ -27,44 +29,51 @@ class WordTokenizer:
     """Token ids of whole texts, encoded one white-space-delimited word at a time.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are its
-    words' ids in order; words seen lately are kept, at most ``_CACHE_WORDS`` of them.
+    words' ids in order. Words seen are kept; past ``_CACHE_WORDS`` only those that came up again are.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.seen = Tokenizer.from_file(path), {}
-
-    def encode(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words, seen = (text or "").encode().split(), self.seen
-        new = [w for w in set(words) if w not in seen]
-        if new:
-            if len(seen) + len(new) > _CACHE_WORDS:
-                seen.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                seen[w] = np.array(e.ids, "<u4").tobytes()
-        out = b"".join([seen[w] for w in words])
-        for w in new:
-            if len(w) > _CACHE_CHARS:
-                del seen[w]
-        return out
+        self.model, self.seen, self.again = Tokenizer.from_file(path), {}, set()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split = [(t or "").encode().split() for t in texts]
+        used = set().union(*split)
+        new = used.difference(self.seen)
+        self.again |= used - new
+        if len(self.seen) + len(new) > _CACHE_WORDS:
+            self.seen = {w: self.seen[w] for w in (self.again if len(self.again) <= _CACHE_WORDS // 2 else used - new)}
+            self.again = set()
+            new = used.difference(self.seen)
+        seen = self.seen
+        for w, e in zip(new, self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False) if new else ()):
+            seen[w] = array("I", e.ids).tobytes()
+        return [b"".join(map(seen.__getitem__, words)) for words in split]
+
+
+@functools.lru_cache(maxsize=2)
+def _tokenizer(path: str) -> WordTokenizer:
+    """One a worker process, kept from task to task."""
+    return WordTokenizer(path)
 
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = WordTokenizer(path), np.array([end_id], "<u4").tobytes()
+        tokenizer, end = _tokenizer(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, cols = [], ([], [], [], [])
-            for i, text in enumerate(batch.column(1)):
-                ids = tokenizer.encode(text.as_py()) + end
-                for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append(i)
-                    for col, x in zip(cols, (n, at // 4, len(part) // 4, zlib.crc32(part))):
-                        col.append(x)
+            texts = batch.column(1)
+            for first in range(0, len(texts), _TEXTS):
+                for i, ids in enumerate(tokenizer.encode(texts[first : first + _TEXTS].to_pylist()), first):
+                    ids += end
+                    for n, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append(i)
+                        for col, x in zip(cols, (n, at // 4, len(part) // 4, zlib.crc32(part))):
+                            col.append(x)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int32())), pa.array(cols[0], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[1:]]],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],

@@ -81,7 +81,8 @@ def link_fingerprints(prints: DataFrame, radius: int = 4) -> DataFrame:
     """
     if not 0 < radius < BYTES:
         raise ValueError("radius must be from 1 to 7")
-    index = positional_index(prints, BYTES - radius)
+    spread = prints.repartition(max(8, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "fp")
+    index = positional_index(spread, BYTES - radius)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     lists = index.groupBy("slot", "value").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a <> z").drop("z")
     shared = materialize(index.join(lists, ["slot", "value"]), "postings")
