@@ -53,7 +53,7 @@ def test_recall(spark, small):
 def test_full_probing_is_exact_with_ties_and_copies(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 5)).round(1).tolist()
-    rows = [(i, base[i % 40]) for i in range(230)] + [(300 + i, [1.0, 0, 0, 0, 0]) for i in range(120)] + [(300, [1.0, 0, 0, 0, 0])]
+    rows = [(i, base[i % 40]) for i in range(230)] + [(300 + i, [1.0, 0.0, 0.0, 0.0, 0.0]) for i in range(120)] + [(300, [1.0, 0.0, 0.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert collect(search(df, probes=99, block=16)) == brute(rows)
 
