@@ -81,7 +81,9 @@ def link_fingerprints(prints: DataFrame, radius: int = 4) -> DataFrame:
     """
     if not 0 < radius < BYTES:
         raise ValueError("radius must be from 1 to 7")
-    spread = prints.repartition(max(8, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "fp")
+    parts = max(8, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # by a hash of its own: a second dealing by fp alone would be merged with that of the distinct before it, and coalesced
+    spread = prints.repartition(parts, F.xxhash64("fp"))
     index = positional_index(spread, BYTES - radius)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     lists = index.groupBy("slot", "value").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a <> z").drop("z")
