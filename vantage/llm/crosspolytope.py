@@ -111,7 +111,8 @@ def search(
     Equal vectors are searched as one, with their ``k`` + 1 smallest ids, which is all a query
     can need of them. Large buckets are cut into blocks of about ``block`` vectors that are searched apart.
     """
-    vec = F.col(vec_col).cast("array<double>")
+    kept = "array<float>" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"  # floats move as they are; distances are of doubles
+    vec = F.col(vec_col).cast(kept)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec")).filter(
         "vec_id is not null and vec is not null and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vec, x -> x <> 0)"
     )
@@ -124,10 +125,10 @@ def search(
     rotations = Rotations(dim, tables)
     probes = min(probes, 2 * rotations.width)
 
-    shape = "k1 long, k2 long, gid long, vec array<double>, ids array<long>, buckets array<int>"
+    shape = f"k1 long, k2 long, gid long, vec {kept}, ids array<long>, buckets array<int>"
     index = materialize(groups.select("k1", "k2", "gid", "vec", "ids").mapInArrow(_hash(rotations, 1), shape), "hashed")
     asked = materialize(rows.filter(F.col("vec_id") % every == 0).select("vec_id", "k1", "k2", "vec").dropDuplicates(["vec_id", "k1", "k2"]), "asked")
-    shape = "k1 long, k2 long, gid long, vec array<double>, buckets array<int>"
+    shape = f"k1 long, k2 long, gid long, vec {kept}, buckets array<int>"
     queries = asked.groupBy("k1", "k2").agg(F.min("vec_id").alias("gid"), F.first("vec").alias("vec")).select("k1", "k2", "gid", "vec").mapInArrow(_hash(rotations, probes), shape)
 
     posted = index.select("gid", "vec", F.posexplode("buckets").alias("tbl", "bucket"))
