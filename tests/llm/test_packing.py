@@ -2,10 +2,12 @@ import itertools
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from tokenizers import Tokenizer
 
-from vantage.llm.packing import best_fit_decreasing, default_tokenizer, lower_bound, pack_documents, pack_items
+from vantage.llm import packing
+from vantage.llm.packing import best_fit_decreasing, default_tokenizer, lower_bound, pack_documents, pack_items, packing_gap
 
 
 @pytest.fixture(scope="module")
@@ -86,3 +88,23 @@ def test_exchange_saves_bins(spark):
     bins = {k: sum(rows[r.uid][1] for r in g) for k, g in itertools.groupby(sorted(got, key=lambda r: r.sequence_id), key=lambda r: r.sequence_id)}
     assert max(bins.values()) <= 100
     assert len(bins) <= 1.02 * lower_bound(np.array([x for _, x in rows]), 100)
+
+
+def test_the_bound_decides_what_is_given_up():
+    def given(lengths):
+        out = packing._pack(100, 0)((0,), pd.DataFrame({"uid": range(len(lengths)), "length": lengths}))
+        return out[out.level <= out.gap].sequence_id.nunique()
+
+    assert given([60] * 10) == 1  # certified, though spare room for four bins is left
+    assert given([50] * 10) == 0
+    assert given([17, 22, 23, 31, 38, 48, 53, 58]) == 3  # four bins, bound three: 83 + 16 of spare room are short of one
+
+
+def test_certified_ends_and_gap_is_told(spark, monkeypatch, caplog):
+    rounds, run = [], packing._round
+    monkeypatch.setattr(packing, "_round", lambda *a: rounds.append(a[-1]) or run(*a))
+    table = lambda lengths: spark.createDataFrame(list(enumerate(lengths)), "uid long, length long")
+    got = pack_items(table([60] * 40), 100, per_group=10)
+    assert rounds == [0] and packing_gap(got, 100) == (40, 40) and not caplog.records
+    assert packing_gap(pack_items(table([17, 22, 23, 31, 38, 48, 53, 58]), 100), 100) == (4, 3)
+    assert "gap of 1" in caplog.text

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import logging
 import os
 import zlib
 from array import array
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 _CACHE_WORDS, _TEXTS = 800_000, 256
+_LOG = logging.getLogger(__name__)
 
 
 def default_tokenizer() -> str:
@@ -113,17 +115,19 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, capacity - np.array(room, np.int64)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int, steps: int = 20) -> int:
+def lower_bound(lengths: np.ndarray, capacity: int, steps: int = 20, counts: np.ndarray | None = None) -> int:
     """The largest bound on the bins from two families of dual-feasible functions.
 
     With x a length over the capacity: cut(e) maps x > 1-e to 1, x < e to 0 and keeps the rest;
     stair(k) keeps x where (k+1)x is whole and else gives floor((k+1)x)/k. Sums of either over the
     items never exceed the number of bins. All cuts and the first ``steps`` stairs are tried, in whole
-    numbers.
+    numbers. ``counts`` says how often each length comes, where not once.
     """
     if not len(lengths):
         return 0
-    counts = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    each = counts
+    counts = np.zeros(capacity + 1, np.int64)
+    np.add.at(counts, lengths, 1 if each is None else each)
     sizes = np.arange(capacity + 1)
     number, total = np.cumsum(counts), np.cumsum(counts * sizes)
     e = np.arange(1, capacity // 2 + 1)
@@ -137,24 +141,27 @@ def lower_bound(lengths: np.ndarray, capacity: int, steps: int = 20) -> int:
     return best
 
 
+def _level(fill: np.ndarray, capacity: int) -> np.ndarray:
+    """Spare room, in bins, of the bins less full than each: a bin is given up for more than so many bins."""
+    by_fill, level = np.argsort(fill, kind="stable"), np.empty(len(fill))
+    level[by_fill] = np.cumsum(np.concatenate(([0], (capacity - fill[by_fill])[:-1]))) / capacity
+    return np.where(fill < capacity, level, np.inf)
+
+
 def _pack(capacity: int, round_: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "uid"], ascending=[False, True], kind="stable")
         lengths = rows["length"].to_numpy(np.int64)
         bins, offsets, fill = best_fit_decreasing(lengths, capacity)
-        gap = len(fill) - lower_bound(lengths, capacity)
-        freed = int((capacity - fill).sum()) // capacity + 1 if (fill < capacity).any() else 0
-        loose = np.zeros(len(fill), bool)
-        loose[np.argsort(fill, kind="stable")[:freed]] = True
-        loose &= fill < capacity
         return pd.DataFrame(
             {
                 "uid": rows["uid"].to_numpy(),
                 "length": lengths,
                 "sequence_id": (round_ << 56) | (int(key[0]) << 28) | bins,
                 "offset": offsets,
-                "loose": loose[bins],
-                "gap": gap,
+                "level": _level(fill, capacity)[bins],
+                "gap": len(fill) - lower_bound(lengths, capacity),
+                "grp": key[0],
             }
         )
 
@@ -166,41 +173,61 @@ def _round(items: DataFrame, capacity: int, per_group: int, round_: int) -> Data
     groups = max(1, -(-n // per_group))
     dealt = items.select("uid", "length", F.pmod(F.xxhash64(F.lit(round_), "uid"), F.lit(groups)).alias("grp"))
     packed = dealt.groupBy("grp").applyInPandas(
-        _pack(capacity, round_), "uid long, length long, sequence_id long, offset long, loose boolean, gap long"
+        _pack(capacity, round_), "uid long, length long, sequence_id long, offset long, level double, gap long, grp long"
     )
     return materialize(packed, "packed")
 
 
-def pack_items(items: DataFrame, capacity: int = 4096, per_group: int = 4096, rounds: int = 4) -> DataFrame:
-    """``(uid, length)`` to ``(uid, sequence_id, offset)``, in as few sequences as found.
+def _bound(items: DataFrame, capacity: int) -> int:
+    """``lower_bound`` of all the items; at most ``capacity`` counts reach the driver."""
+    counts = items.groupBy("length").count().collect()
+    if not counts:
+        return 0
+    return lower_bound(np.array([r["length"] for r in counts]), capacity, counts=np.array([r["count"] for r in counts]))
+
+
+def packing_gap(packed: DataFrame, capacity: int = 4096) -> tuple[int, int]:
+    """``(sequences, bound)`` of rows with length and sequence_id: how many there are and are needed at least."""
+    return packed.agg(F.count_distinct("sequence_id")).first()[0], _bound(packed, capacity)
+
+
+def pack_items(items: DataFrame, capacity: int = 4096, per_group: int = 4096) -> DataFrame:
+    """``(uid, length)`` to ``(uid, length, sequence_id, offset)``, in as few sequences as found.
 
     Items are dealt to groups of about ``per_group`` by hash and packed by best-fit decreasing, group
-    by group. Dual-feasible bounds certify a group whose bin count is proven least. Each group then
-    gives up the bins that hold its spare room (more of them the larger its gap); these are exchanged
-    with other groups' and packed anew, while that saves bins. uids must be distinct and lengths from
-    1 to ``capacity``.
+    by group. Dual-feasible bounds certify a group whose bin count is proven least; the bound of all items
+    together leaves a further gap, which is shared among the groups. Each group gives up its least full
+    bins, until their spare room is more than its gap and that share; a certified group gives up one
+    where the share is nothing. What is given up is exchanged between groups and packed anew. This ends
+    when the bound of all items is met, when that of the bins given up is, or when a round saves no
+    bin. A gap that is left then is logged as a warning; ``packing_gap`` counts it from the result.
+    uids must be distinct and lengths from 1 to ``capacity``.
     """
-    final, bins = None, F.count_distinct("sequence_id").alias("bins")
+    bins = F.count_distinct("sequence_id").alias("bins")
+    bound, kept, closed, last, before, r = _bound(items, capacity), [], 0, None, 0, 0
     open_ = items
-    for r in range(rounds):
+    while True:
         packed = _round(open_, capacity, per_group, r)
-        if r:
-            before, after = last.agg(bins).first()[0], packed.agg(bins).first()[0]
-            if after >= before:
-                packed, stop = last, True
-            else:
-                stop = False
-        else:
-            stop = False
-        loose = packed.filter("loose")
-        volume, n = loose.agg(F.sum("length"), bins).first()
-        if stop or r == rounds - 1 or not n or n <= -(-volume // capacity):
-            return packed if final is None else final.unionByName(packed)
-        kept = packed.filter("not loose")
-        final = kept if final is None else final.unionByName(kept)
-        last = loose
-        open_ = loose.select("uid", "length")
-    return final
+        every, = packed.agg(bins).first()
+        if last is not None and every >= before:
+            kept.append(last)
+            closed += before
+            break
+        own, groups = packed.groupBy("grp").agg(F.first("gap").alias("gap")).agg(F.sum("gap"), F.count("*")).first()
+        share = max(0, closed + every - bound - own) / groups if groups else 0
+        given = F.col("level") <= F.col("gap") + share
+        loose = packed.filter(given)
+        loose_bins = loose.agg(bins).first()[0]
+        if closed + every <= bound or loose_bins <= _bound(loose, capacity) or r == 127:  # ids have room for 128 rounds
+            kept.append(packed)
+            closed += every
+            break
+        kept.append(packed.filter(~given))
+        closed += every - loose_bins
+        last, before, open_, r = loose, loose_bins, loose.select("uid", "length"), r + 1
+    if closed > bound:
+        _LOG.warning("packed into %d sequences; at least %d are needed, so a gap of %d is not certified", closed, bound, closed - bound)
+    return functools.reduce(DataFrame.unionByName, kept).select("uid", "length", "sequence_id", "offset")
 
 
 def pack_documents(
