@@ -139,6 +139,16 @@ def test_dedup_passage_in_the_middle_of_a_line(spark):
     assert all("second sentence" not in got[i].kept_text and f"Text number {i}" in got[i].kept_text for i in range(1, 5))
 
 
+def test_dedup_short_lines_after_differing_text(spark):
+    lines = ["Released under the MIT license.", "Copyright 2020. All rights reserved.", "Read more", "Note. These are eight or more words of one sentence."]
+    rows = [(i, "\n".join(f"Something else number {i}{j} stands here\n{line}" for j, line in enumerate(lines))) for i in range(3)]
+    rows += [(3, "read  MORE"), (4, "Copyright 2020. Some rights reserved."), (5, "They read more")]
+    got = {r.doc_id: r for r in dedup_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].n_removed == 0 and got[3].kept_text == "" and got[4].n_removed == got[5].n_removed == 0
+    for i in (1, 2):
+        assert got[i].kept_text.split() == " ".join(f"Something else number {i}{j} stands here" for j in range(4)).split() and got[i].n_removed == 6
+
+
 def test_dedup_messy_and_empty(messy, messy_rows, empty):
     out = dedup_units(messy).collect()
     assert len(out) == len(messy_rows)

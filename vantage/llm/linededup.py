@@ -19,26 +19,38 @@ _END = re.compile(r"[.!?]\S*")
 def text_units(text: str, min_words: int) -> Iterator[tuple[int, int, bytes | None]]:
     """``(start, end, digest)`` of each unit of a text, in code points.
 
-    The digest covers the unit's lower-cased words joined by single spaces, together with as many
-    words before it as give ``min_words`` words. It is None where the text so far has fewer.
+    A unit that is a whole line is digested by its own lower-cased words joined by single spaces,
+    however few. For a piece of a line the digest covers its words together with as many words before
+    it as give ``min_words`` words; it is None where the text so far has fewer. A piece whose line has
+    fewer words up to its end comes a second time, with the digest of its whole line and its number.
     """
     recent: list[str] = []
     base = 0
     for line in text.split("\n"):
-        at = 0
+        at, seen, pieces, whole = 0, 0, 0, line.lower().split()
         for stop in [m.end() for m in _END.finditer(line)] + [len(line)]:
             part = line[at:stop]
             words = part.lower().split()
             if words:
                 start = base + stop - len(part.lstrip())
                 end = base + at + len(part.rstrip())
+                seen, pieces = seen + len(words), pieces + 1
                 body = words if len(words) >= min_words else recent[len(words) - min_words :] + words
                 recent = body[-min_words:]
-                yield start, end, xxhash.xxh3_128_digest(" ".join(body).encode("utf-8", "surrogatepass")) if len(body) >= min_words else None
+                if len(words) == len(whole):
+                    yield start, end, _digest(" ".join(words))
+                else:
+                    yield start, end, _digest(" ".join(body)) if len(body) >= min_words else None
+                    if seen < min_words:
+                        yield start, end, _digest(" ".join(whole) + f"\n{pieces}")  # no word holds a line end
             at = stop
         base += len(line) + 1
 
 
+def _digest(words: str) -> bytes:
+    return xxhash.xxh3_128_digest(words.encode("utf-8", "surrogatepass"))
+
+
 def _units(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,8 +119,8 @@ def dedup_units(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id", tex
     """Remove every unit that an earlier place of the corpus has already.
 
     Units are lines, cut again after words holding ``.``, ``!`` or ``?``; a unit is compared by the
-    digest of its normalised words, and short units together with the words before them (see
-    ``text_units``); text with fewer than ``min_words`` words before a unit's end is kept. Places are
+    digest of its normalised words, and a short piece of a line together with the words before it, or
+    with its whole line (see ``text_units``). What repeats inside a unit without being one is kept. Places are
     ranked by (doc_id, content hash, start), null ids last. All digests are grouped
     over the whole corpus: the smallest place is a partial aggregate, and only digests seen twice are
     joined back, so a line that fills a third of the corpus is neither gathered nor paired.
