@@ -67,3 +67,14 @@ def test_odd_rows(spark):
     assert search(df.limit(0)).collect() == []
     alone = spark.createDataFrame([(0, [1.0, 2.0])], "vec_id long, embedding array<double>")
     assert search(alone).collect() == []
+
+
+def test_queries_whose_buckets_are_empty_are_searched_exactly(spark):
+    rng = np.random.default_rng(6)
+    q = rng.normal(size=64)
+    cone = (q + 0.01 * rng.normal(size=(300, 64))).tolist()
+    for rows in ([(0, q.tolist()), (1, (-q).tolist())], [(0, (-q).tolist())] + [(i + 1, v) for i, v in enumerate(cone)]):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        want, got = brute(rows), collect(search(df, block=64))
+        assert got.keys() == want.keys() and got[0][0] == want[0][0]
+        assert np.allclose(got[0][1], want[0][1]) and all(len(got[i][0]) == len(want[i][0]) for i in want)

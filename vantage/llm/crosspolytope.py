@@ -105,8 +105,9 @@ def search(
     vector; a query looks into the ``probes`` buckets nearest to it in each table, and what it finds is
     ranked by exact distance. Vectors that are null, zero, hold null or non-finite components, or
     differ in length from the commonest length take no part, nor do rows with a null id. Repeated rows
-    count once; rows that share an id are never each other's neighbours. A query with fewer candidates
-    gets all of them. An empty table gives an empty table; other columns are ignored.
+    count once; rows that share an id are never each other's neighbours. A query that finds fewer than
+    ``k`` rows so, though there are more, is searched again in all buckets of one table, which is exact;
+    one with fewer than ``k`` candidates gets all of them. An empty table gives an empty table; other columns are ignored.
 
     Equal vectors are searched as one, with their ``k`` + 1 smallest ids, which is all a query
     can need of them. Large buckets are cut into blocks of about ``block`` vectors that are searched apart.
@@ -141,22 +142,35 @@ def search(
         .join(sizes, ["tbl", "bucket"])
         .select("k1", "k2", "vec", "tbl", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
     )
-    found = (
-        probing.groupBy("tbl", "bucket", "at")
-        .cogroup(posted.select("tbl", "bucket", "at", "gid", "vec").groupBy("tbl", "bucket", "at"))
-        .applyInArrow(_nearest(dim, k + 1), "q1 long, q2 long, gid long, score double")
-        .groupBy("q1", "q2", "gid")
-        .agg(F.min("score").alias("score"))
-    )
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q1", "q2").orderBy("score", "gid"))).filter(F.col("r") <= k + 1).drop("r")
-    named = best.join(index.select("gid", "ids"), "gid")
-    pairs = (
-        asked.select(F.col("vec_id").alias("query_id"), F.col("k1").alias("q1"), F.col("k2").alias("q2"))
-        .join(named, ["q1", "q2"])
-        .select("query_id", "score", F.explode("ids").alias("vec_id"))
-        .filter("vec_id <> query_id")
-        .groupBy("query_id", "vec_id")
-        .agg(F.min("score").alias("score"))
-    )
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return pairs.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def ranked(probing: DataFrame, posted: DataFrame) -> DataFrame:
+        found = (
+            probing.groupBy("tbl", "bucket", "at")
+            .cogroup(posted.select("tbl", "bucket", "at", "gid", "vec").groupBy("tbl", "bucket", "at"))
+            .applyInArrow(_nearest(dim, k + 1), "q1 long, q2 long, gid long, score double")
+            .groupBy("q1", "q2", "gid")
+            .agg(F.min("score").alias("score"))
+        )
+        best = found.withColumn("r", F.row_number().over(Window.partitionBy("q1", "q2").orderBy("score", "gid"))).filter(F.col("r") <= k + 1).drop("r")
+        named = best.join(index.select("gid", "ids"), "gid")
+        pairs = (
+            asked.select(F.col("vec_id").alias("query_id"), F.col("k1").alias("q1"), F.col("k2").alias("q2"))
+            .join(named, ["q1", "q2"])
+            .select("query_id", "score", F.explode("ids").alias("vec_id"))
+            .filter("vec_id <> query_id")
+            .groupBy("query_id", "vec_id")
+            .agg(F.min("score").alias("score"))
+        )
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        return pairs.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    first = materialize(ranked(probing, posted), "ranked")
+    want = min(k, rows.select("vec_id").distinct().limit(k + 1).count() - 1)
+    full = first.groupBy("query_id").count().filter(F.col("count") >= want).select("query_id") if want > 0 else asked.select(F.col("vec_id").alias("query_id"))
+    short = materialize(asked.join(full, F.col("vec_id") == F.col("query_id"), "left_anti"), "short")
+    if short.isEmpty():
+        return first
+    everywhere = short.dropDuplicates(["k1", "k2"]).join(F.broadcast(sizes.filter("tbl = 0")))  # every row is in a bucket of table 0
+    everywhere = everywhere.select("k1", "k2", "vec", "tbl", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
+    rest = ranked(everywhere, posted.filter("tbl = 0")).join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_semi")
+    return first.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(rest)
