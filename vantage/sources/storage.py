@@ -4,23 +4,62 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one where it names none (tests only)."""
+    """The session's checkpoint folder. In local mode, a temporary one where it names none; on a cluster that is an error."""
     found = spark.conf.get(_SETTING, None)
     if not found:
+        master = spark.conf.get("spark.master", "local")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vantage-")
         spark.conf.set(_SETTING, found)
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write and read back: iterations start from a table, not from a growing plan."""
+    """Write and read back: lineage is cut, and a lost executor costs no more than its running tasks."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[found] = path
+    return found
+
+
+def measured(df: DataFrame, name: str, **figures) -> tuple[DataFrame, dict]:
+    """``materialize`` and, from the same job, aggregates over the rows written."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[c.alias(k) for k, c in figures.items()]), name)
+    return out, seen.get
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and that no later plan reads."""
+    path = _PATHS.pop(df, None)
+    if path:
+        jvm = df.sparkSession.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def join_once(rows: DataFrame, lookup: DataFrame, key: str, count: str, per: int = 100_000) -> DataFrame:
+    """Inner join of ``rows`` with ``lookup``, which has one row a key and says in ``count`` how many rows have it.
+
+    Keys of more than ``per`` rows are parted among salts, so no task gets all the rows of one. There
+    are at most rows / ``per`` such keys, which is what is broadcast.
+    """
+    salts = F.ceil(F.col(count) / per).cast("int")
+    hot = lookup.filter(F.col(count) > per).select(key, salts.alias("salts"))
+    left = rows.join(F.broadcast(hot), key, "left")
+    others = [c for c in rows.columns if c != key] or [key]
+    left = left.withColumn("salt", F.pmod(F.xxhash64(*others), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    right = lookup.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return left.join(right.drop(count), [key, "salt"]).drop("salt")
