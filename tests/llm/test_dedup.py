@@ -1,10 +1,11 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from vantage.llm.components import connected_components
 from vantage.llm.linededup import dedup_units, text_units
-from vantage.llm.simhash import fingerprint, keep_one, link_fingerprints, simhash_components
+from vantage.llm.simhash import WIDE, ByteIndex, fingerprint, keep_one, link_fingerprints, link_nodes, near_duplicates, shared_bytes, simhash_components, words_of
 
 
 def slow_fingerprint(text):
@@ -33,7 +34,7 @@ def roots(prints, radius):
 
 def test_fingerprints():
     for t in [None, "", "  ", "one", "a b c", "A B c d E", "x " * 300, "é ü ß a\x1cb"]:
-        assert fingerprint(t) == slow_fingerprint(t)
+        assert int(fingerprint(words_of(t))[0]) == slow_fingerprint(t)
 
 
 def check(rows, got):
@@ -85,15 +86,105 @@ def test_long_chain_and_hub(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-def test_keep_one(messy, documents):
+def slow_wide(text):
+    """The 256-bit fingerprint over five words, bit by bit."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    out, full = 0, 2**64 - 1
+    h = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 5]), 42) for i in range(max(1, len(words) - 4))]
+    for lane in range(4):
+        values = []
+        for x in h:
+            if lane:
+                x = (x + lane * 0x9E3779B97F4A7C15) & full
+                x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+                x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+                x ^= x >> 31
+            values.append(x)
+        for b in range(64):
+            if sum(x >> b & 1 for x in values) * 2 > len(values):
+                out |= 1 << 64 * lane + b
+    return out
+
+
+def slow_kept(rows):
+    """First id of each component, every pair of texts compared; rows are (id, text) with distinct ids."""
+    prints = [slow_wide(t).to_bytes(32, "little") for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    choices = WIDE.choices()
+    for i in range(len(rows)):
+        for j in range(i):
+            same = {p for p in range(32) if prints[i][p] == prints[j][p]}
+            apart = sum((x ^ y).bit_count() for x, y in zip(prints[i], prints[j]))
+            if apart <= WIDE.radius and len(same) >= 3 and any(same.issuperset(c) for c in choices):
+                parent[find(i)] = find(j)
+    first = {}
+    for i, (d, _) in enumerate(rows):
+        first[find(i)] = min(d, first.get(find(i), d))
+    return set(first.values())
+
+
+def test_tally_of_shared_bytes(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for _ in range(50):
+        a, b = rng.integers(-(2**63), 2**63 - 1, 2).tolist()
+        keep = int(rng.integers(0, 256))
+        mask = sum(255 << 8 * i for i in range(8) if keep >> i & 1)
+        b = (a & mask | b & ~mask & (2**64 - 1)) & (2**64 - 1)
+        rows.append((a, b - 2**64 if b >> 63 else b))
+    got = spark.createDataFrame(rows, "a long, b long").select("a", "b", shared_bytes([F.col("a")], [F.col("b")]).alias("n")).collect()
+    assert all(r.n == sum((r.a ^ r.b) >> 8 * i & 255 == 0 for i in range(8)) for r in got)
+
+
+def test_keep_one(messy, messy_rows, documents, empty):
     kept = keep_one(messy)
-    ids = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
     assert kept.columns == messy.columns
-    first = {}
-    for r in simhash_components(messy).collect():
-        first.setdefault(r.component_id if r.component_id is not None else r.fingerprint, r)
-    assert len(ids) == len(first)
-    assert keep_one(documents).count() == len({r.component_id for r in simhash_components(documents).collect()})
+    known = list({d: (d, t) for d, t, _ in messy_rows if d is not None}.values())
+    rows = kept.collect()
+    assert {r.doc_id for r in rows if r.doc_id is not None} == slow_kept(known)
+    assert len(rows) == len(slow_kept(known)) + 1  # the row without an id, repeated, stays once
+    docs = [(r.doc_id, r.text) for r in documents.collect()]
+    assert {r.doc_id for r in keep_one(documents).collect()} == slow_kept(docs)
+    assert keep_one(empty).collect() == [] and near_duplicates(empty).collect() == []
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "w" + str(rng.integers(0, 5000))
+    rows, copies = [], []
+    for d in range(40):
+        words = [word() for _ in range(300)]
+        rows.append((d, " ".join(words)))
+        words[int(rng.integers(20, 280))] = "changed"  # five of 296 shingles
+        copies.append((100 + d, " ".join(words).upper() if d % 2 else " ".join(words)))
+    got = {r.doc_id for r in keep_one(spark.createDataFrame(rows + copies, "doc_id long, text string")).collect()}
+    assert got == set(range(40))
+
+
+def test_a_large_group_is_compared_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    prints = set()
+    for _ in range(400):  # all share four bytes; about half of the pairs are too far apart
+        x = 0x0123456700000000
+        for b in rng.integers(0, 32, rng.integers(0, 8)).tolist():
+            x ^= 1 << b
+        prints.add(x)
+    prints = sorted(prints)
+    root = roots(prints, 2)
+    nodes = spark.createDataFrame([(p, p) for p in prints], "node long, f0 long")
+    got = {r.node: r.root for r in link_nodes(nodes, ByteIndex(1, 4, 2), block=16).collect()}
+    same = {}
+    for p, r in zip(prints, root):
+        same.setdefault(r, set()).add(got.get(p, p))
+    assert all(len(s) == 1 for s in same.values()) and len({min(s) for s in same.values()}) == len(same)
 
 
 def slow_dedup(rows, min_words):

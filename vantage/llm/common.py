@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SETTING = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one where the session names none (tests only)."""
-    found = spark.conf.get(_SETTING, None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="vantage-")
-        spark.conf.set(_SETTING, found)
-    return found.rstrip("/")
-
+from ..sources.storage import discard, join_once, materialize, measured
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "join_once", "materialize", "measured", "row_key", "table"]
 
 
-def row_key(*cols: str) -> list[F.Column]:
+def row_key(*cols: str) -> list[Column]:
     """Two independent 64-bit hashes that name a row by its content; equal rows share a key."""
     return [F.xxhash64(*cols).alias("k1"), F.xxhash64(F.lit("second"), *cols).alias("k2")]
 

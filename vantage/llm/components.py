@@ -2,55 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, measured
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step. Each node u points its neighbours at the smallest node m it sees.
+def _round(edges: DataFrame) -> DataFrame:
+    """A large and a small step over ``(a, b)`` links of any orientation; gives links with b < a.
 
-    The large step moves the neighbours above u, the small step those below it and u itself. The
-    smallest neighbour is a partial aggregate and the rest an equi-join, so a hub is never gathered.
+    Large: every node u, with m the smallest of u and its neighbours, points its larger neighbours at
+    m. The minimum is a partial aggregate and the rest an equi-join, so a hub is never gathered.
+    Small: every node points its smaller neighbours, and itself, at the smallest of them. A node has
+    few smaller neighbours after the large step, so they are read in order, in one shuffle.
     """
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    if not large:
-        both = both.filter("b < a")
+    both = edges.filter("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    joined = both.join(least, "a")
-    if large:
-        moved = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            least.select("a", F.col("m").alias("b"))
-        )
-    return moved.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def _print(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+    large = both.filter("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    links = large.repartition("a").dropDuplicates(["a", "b"])
+    m = F.first("b").over(Window.partitionBy("a").orderBy("b"))
+    small = links.withColumn("m", m).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+    return small.dropDuplicates(["a", "b"])
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(a, b)`` links of any orientation to ``(node, root)``, root the smallest node of the component.
 
     Nodes without a link to another node are absent. Self links and repeated links change nothing;
-    an empty table gives an empty table. Each round is written to the shared folder.
+    null ends link nothing; an empty table gives an empty table. Each round is written to the shared
+    folder, with its number of links and a checksum of them, and the one before it deleted.
     """
-    now = materialize(
-        edges.filter("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct(),
-        "links",
-    )
-    seen = _print(now)
+    now, seen, last = edges, None, None
     for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        now = materialize(_star(_star(now, True), False), "links")
-        last, seen = seen, _print(now)
-        if seen == last:
+        new, figures = measured(_round(now), "links", n=F.count(F.lit(1)), print=F.expr("bit_xor(xxhash64(a, b))"))
+        if last is not None:
+            discard(now)
+        now, last, seen = new, seen, (figures["n"], figures["print"])
+        if not seen[0] or seen == last:
             break
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")

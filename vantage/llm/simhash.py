@@ -2,141 +2,248 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key
+from .common import discard, join_once, materialize, measured, row_key
 from .components import connected_components
 
-BYTES = 8
-_BLOCK = 1 << 16
+_BLOCK = 1 << 14
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash over all shingles of ``width`` words, repeats included; 0 without a word."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+@dataclass(frozen=True)
+class ByteIndex:
+    """How fingerprints of ``lanes`` 64-bit words are indexed, filtered and linked.
+
+    A posting holds the bytes at ``matches`` chosen positions, so sharing one means sharing at least
+    ``matches`` positional bytes. With all choices (``tables`` None) every pair whose tally of shared
+    bytes reaches ``matches`` has a posting in common; with ``tables`` of them, drawn once at random, a
+    pair that shares more bytes than that most likely has.
+    """
+
+    lanes: int = 1
+    matches: int = 4
+    radius: int = 4
+    tables: int | None = None
+
+    def choices(self) -> list[tuple[int, ...]]:
+        every = list(combinations(range(8 * self.lanes), self.matches))
+        return every if self.tables is None else random.Random(7).sample(every, self.tables)
+
+    def masks(self) -> list[list[int]]:
+        """For each choice of positions, the bits of each lane that it reads."""
+        out = []
+        for chosen in self.choices():
+            lane = [sum(255 << 8 * (p % 8) for p in chosen if p // 8 == i) for i in range(self.lanes)]
+            out.append([m - (1 << 64) if m >> 63 else m for m in lane])
+        return out
+
+
+#: Links at 4 bits of 64 share 4 of 8 bytes at least: a changed bit touches one byte.
+EXACT = ByteIndex()
+#: Links at 46 bits of 256: about what texts with 0.8 of their shingles in common differ by, and no guarantee.
+WIDE = ByteIndex(lanes=4, matches=3, radius=46, tables=160)
+
+
+def _lanes(h: np.ndarray, lanes: int) -> np.ndarray:
+    """The hashes themselves, then as many mixtures of them as there are further lanes."""
+    out = [h]
+    for i in range(1, lanes):
+        x = h + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(x ^ (x >> np.uint64(31)))
+    return np.stack(out, 1)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Words, with A-Z lower-cased, parted by ASCII white space."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def fingerprint(words: list[bytes], width: int = 4, seed: int = 42, lanes: int = 1) -> np.ndarray:
+    """SimHash over all shingles of ``width`` words, repeats included, in 64-bit lanes; zero without a word."""
     if not words:
-        return 0
+        return np.zeros(lanes, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     span = min(width, len(words))
     firsts, lasts = starts[: len(words) - span + 1].tolist(), ends[span - 1 :].tolist()
-    counts, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    counts, digest = np.zeros(64 * lanes, np.int64), xxhash.xxh64_intdigest
     for at in range(0, len(firsts), _BLOCK):
         h = np.array([digest(joined[s:e], seed) for s, e in zip(firsts[at : at + _BLOCK], lasts[at : at + _BLOCK])], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > len(firsts), bitorder="little")
-    return int(bits.view(np.uint64)[0])
+        bits = np.unpackbits(_lanes(h, lanes).view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
+        for part in range(0, len(h), 255):  # sums of at most 255 bits fit a byte
+            counts += np.add.reduce(bits[part : part + 255], axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(firsts), bitorder="little").view(np.uint64)
+
 
+def _fingerprints(width: int, seed: int, lanes: int, keyed: bool):
+    """Fingerprints of the last column; with ``keyed``, digests of the normalised words before them."""
 
-def _fingerprints(width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), width, seed) for t in batch.column(batch.num_columns - 1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
+            texts = batch.column(batch.num_columns - 1)
+            found, digests = np.empty((len(texts), lanes), np.uint64), np.empty((len(texts), 2), np.uint64)
+            for i, text in enumerate(texts):
+                words = words_of(text.as_py())
+                found[i] = fingerprint(words, width, seed, lanes)
+                if keyed:
+                    digests[i] = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), np.uint64)
+            every = np.concatenate((digests, found), 1) if keyed else found
+            names = (["t1", "t2"] if keyed else []) + _names(lanes)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], *[pa.array(c) for c in np.ascontiguousarray(every.T).view(np.int64)]], names=[*batch.schema.names[:-1], *names]
+            )
 
     return run
 
 
-def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints(width, seed), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+def _names(lanes: int) -> list[str]:
+    return [f"f{i}" for i in range(lanes)]
 
 
-def positional_index(prints: DataFrame, matches: int) -> DataFrame:
-    """``(fp, slot, value)``: the bytes of each fingerprint at every choice of ``matches`` positions.
+def shared_bytes(left: list[Column], right: list[Column]) -> Column:
+    """The tally of a pair: at how many positions the bytes of two fingerprints are equal."""
+    differing = []
+    for a, b in zip(left, right):
+        x = a.bitwiseXOR(b)
+        for shift, keep in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):  # fold each byte onto its lowest bit
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(keep))
+        differing.append(F.bit_count(x))
+    return F.lit(8 * len(differing)) - reduce(add, differing)
 
-    Two fingerprints share at least ``matches`` positional bytes exactly if they share a posting here,
-    so a posting list stands for the pairs whose tally reaches the minimum, without the pairs that
-    share fewer bytes ever being formed.
-    """
 
-    def byte(i: int) -> F.Column:
-        return F.shiftright("fp", 8 * i).bitwiseAND(255)
+def linked(left: list[Column], right: list[Column], index: ByteIndex) -> Column:
+    """Count filter first, then the distance itself."""
+    apart = reduce(add, [F.bit_count(a.bitwiseXOR(b)) for a, b in zip(left, right)])
+    return (shared_bytes(left, right) >= index.matches) & (apart <= index.radius)
 
-    keys = []
-    for n, chosen in enumerate(combinations(range(BYTES), matches)):
-        value = F.lit(0).cast("long")
-        for i in chosen:
-            value = F.shiftleft(value, 8).bitwiseOR(byte(i))
-        keys.append(F.struct(F.lit(n).alias("slot"), value.alias("value")))
-    return prints.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.slot", "key.value")
 
+def _postings(nodes: DataFrame, index: ByteIndex) -> DataFrame:
+    """``(key, node)``: one row for each choice of positions; a key is the choice and the bytes there."""
+    masks = F.array(*[F.array(F.lit(n).cast("long"), *[F.lit(m).cast("long") for m in row]) for n, row in enumerate(index.masks())])
+    key = lambda m: F.xxhash64(m[0], *[F.col(f).bitwiseAND(m[i + 1]) for i, f in enumerate(_names(index.lanes))])
+    return nodes.select("node", F.explode(F.transform(masks, key)).alias("key"))
 
-def link_fingerprints(prints: DataFrame, radius: int = 4) -> DataFrame:
-    """Components ``(node, root)`` of distinct fingerprints linked at ``radius`` or fewer bits.
 
-    ``radius`` flipped bits touch at most ``radius`` of the eight bytes, so a linked pair shares at
-    least 8 - radius positional bytes, the guaranteed minimum. First each member of a posting list is
-    verified against the list's smallest member only. What that joins needs no further
-    proof; the second pass verifies just the pairs of a list that are still in different components,
-    which loses no link between components and never forms all pairs of a group of copies.
+def _with_lanes(rows: DataFrame, col: str, mark: str, nodes: DataFrame, index: ByteIndex) -> DataFrame:
+    """The fingerprint of the node in ``col``, as lanes named with ``mark``; a single lane is its own node."""
+    if index.lanes == 1:
+        return rows.withColumn(f"{mark}f0", F.col(col))
+    return rows.join(nodes.select(F.col("node").alias(col), *[F.col(f).alias(mark + f) for f in _names(index.lanes)]), col)
+
+
+def link_nodes(nodes: DataFrame, index: ByteIndex, block: int = 256) -> DataFrame:
+    """Components ``(node, root)`` of distinct ``(node, f0, ..)`` that are linked; nodes without a link are absent.
+
+    First each member of a posting list is filtered and verified against the list's smallest member.
+    What that joins needs no further proof; the second pass takes only lists whose members are still in
+    different components, and of these only the pairs that are. It compares blocks of about ``block``
+    members, block pair by block pair, so no task holds a long list. No link between
+    different components is lost, and a group of copies never becomes all its pairs.
     """
-    if not 0 < radius < BYTES:
-        raise ValueError("radius must be from 1 to 7")
-    parts = max(8, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # by a hash of its own: a second dealing by fp alone would be merged with that of the distinct before it, and coalesced
-    spread = prints.repartition(parts, F.xxhash64("fp"))
-    index = positional_index(spread, BYTES - radius)
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    lists = index.groupBy("slot", "value").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a <> z").drop("z")
-    shared = materialize(index.join(lists, ["slot", "value"]), "postings")
-    stars = shared.select("a", F.col("fp").alias("b")).filter("a <> b").filter(near).distinct()
-    first = materialize(connected_components(stars), "stars")
-    marked = (
-        shared.select("slot", "value", "fp")
-        .join(first.select(F.col("node").alias("fp"), "root"), "fp", "left")
-        .select("slot", "value", "fp", F.coalesce("root", "fp").alias("root"))
-    )
-    mixed = marked.groupBy("slot", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("slot", "value")
-    open_ = materialize(marked.join(mixed, ["slot", "value"]), "open")
-    left = open_.select("slot", "value", F.col("fp").alias("a"), F.col("root").alias("ra"))
-    right = open_.select("slot", "value", F.col("fp").alias("b"), F.col("root").alias("rb"))
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    same = (left.slot == right.slot) & (left.value == right.value)
-    bridges = left.join(right, same & (F.col("ra") < F.col("rb")) & close).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
-    second = connected_components(bridges)
+    names = _names(index.lanes)
+    posted = _postings(nodes, index)
+    lists = posted.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").drop("z")
+    lists = materialize(lists, "lists")
+    shared = materialize(posted.join(lists, "key"), "postings")
+    left, right = [F.col("a" + f) for f in names], [F.col("b" + f) for f in names]
+    pairs = shared.filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+    pairs = _with_lanes(_with_lanes(pairs, "b", "b", nodes, index), "a", "a", nodes, index)
+    first = connected_components(pairs.filter(linked(left, right, index)).select("a", "b"))
+    marked = shared.join(first, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    open_, figures = measured(marked.join(mixed.filter("lo <> hi").drop("lo", "hi"), "key"), "open", n=F.count(F.lit(1)))
+    discard(shared)
+    discard(lists)
+    if not figures["n"]:
+        return first
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = open_.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "root")
+
+    def side(mark: str) -> DataFrame:
+        rows = _with_lanes(dealt.withColumnRenamed("node", mark), mark, mark, nodes, index)
+        return rows.withColumnsRenamed({"own": f"{mark}own", "root": f"{mark}root"})
+
+    apart = (F.col("aroot") < F.col("broot")) & ((F.col("aown") != F.col("bown")) | (F.col("lo") == F.col("hi")))  # a pair within a block meets once
+    met = side("a").join(side("b"), ["key", "lo", "hi"]).filter(apart & linked(left, right, index))
+    second = materialize(connected_components(met.select(F.col("aroot").alias("a"), F.col("broot").alias("b"))), "bridges")
+    discard(open_)
     over = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
     wide = first.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     alone = second.join(first.select("node"), "node", "left_anti").select("node", "root")
     return wide.unionByName(alone)
 
 
+def link_fingerprints(prints: DataFrame, radius: int = 4) -> DataFrame:
+    """Components ``(node, root)`` of distinct 64-bit fingerprints ``fp`` linked at ``radius`` or fewer bits, up to 7.
+
+    ``radius`` flipped bits touch at most ``radius`` of the eight bytes, so a linked pair shares at
+    least 8 - radius positional bytes, the guaranteed minimum.
+    """
+    if not 0 < radius < 8:
+        raise ValueError("radius must be from 1 to 7")
+    return link_nodes(prints.select(F.col("fp").alias("node"), F.col("fp").alias("f0")), ByteIndex(1, 8 - radius, radius))
+
+
 def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint and near-duplicate component of every row.
 
     Returns doc_id, fingerprint (16 lowercase hex digits) and component_id, the smallest doc_id that
     links reach, the row's own included. A null or empty text, or one without words, has fingerprint
     zero and links like any other. Null ids take part and are named only where a component has no
-    other id. Repeated rows stay rows. An empty table gives an empty table; other columns are ignored.
+    other id. Repeated rows stay rows. A text is read whole, in blocks of shingles, however long. An
+    empty table gives an empty table; other columns are ignored, whatever their names.
     """
-    prints = materialize(fingerprints(docs, width, 42, id_col, text_col), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = materialize(link_fingerprints(distinct.select("fp"), radius), "linked")
-    rooted = distinct.join(linked.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    tops = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(tops, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    prints = materialize(rows.mapInArrow(_fingerprints(width, 42, 1, False), f"doc_id {kind}, f0 long").withColumnRenamed("f0", "fp"), "fingerprints")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
+    roots = link_fingerprints(distinct.select("fp"), radius)
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "n")
+    placed = join_once(prints, materialize(named, "components"), "fp", "n")
+    return placed.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each near-duplicate component, that with the smallest id (null ids last), all columns as they are.
+def near_duplicates(docs: DataFrame, width: int = 5, index: ByteIndex = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(k1, k2)`` of the row that each component of near-duplicates keeps: the smallest id, null ids last, then by content.
 
-    Of rows that are equal in id and text, one stays.
+    Texts of the same words are one node, however many rows have them.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    prints = materialize(rows.mapInArrow(_fingerprints(width, 42), f"doc_id {kind}, k1 long, k2 long, fp long"), "fingerprints")
-    linked = link_fingerprints(prints.select("fp").distinct(), radius)
-    rooted = prints.join(linked.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    kind, names = rows.schema["doc_id"].dataType.simpleString(), _names(index.lanes)
+    shape = f"doc_id {kind}, k1 long, k2 long, t1 long, t2 long, " + ", ".join(f"{f} long" for f in names)
+    prints = rows.mapInArrow(_fingerprints(width, 42, index.lanes, True), shape)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("first")
-    kept = rooted.groupBy("root").agg(first).select("first.k1", "first.k2")
+    texts = prints.groupBy("t1", "t2").agg(first, *[F.min(f).alias(f) for f in names])
+    nodes = materialize(texts.select("first", *names, F.monotonically_increasing_id().alias("node")), "texts")
+    roots = link_nodes(nodes.select("node", *names), index)
+    rooted = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.k1", "first.k2")
+
+
+def keep_one(docs: DataFrame, width: int = 5, index: ByteIndex = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of near-duplicates, that with the smallest id (null ids last), all columns as they are.
+
+    Texts are near-duplicates where their fingerprints over shingles of ``width`` words are linked by
+    ``index``; the default stands for 0.8 of the shingles in common. Of rows that are equal in id and
+    text, one stays. Null and empty texts, and those without words, are one component. An empty table
+    gives an empty table; columns may have any names.
+    """
+    kept = near_duplicates(docs, width, index, id_col, text_col)
     marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *row_key(id_col, text_col))
     return marked.join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
