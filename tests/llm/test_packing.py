@@ -1,4 +1,5 @@
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from vantage.llm import packing
-from vantage.llm.packing import best_fit_decreasing, default_tokenizer, lower_bound, pack_documents, pack_items, packing_gap
+from vantage.llm.packing import WordTokenizer, best_fit_decreasing, default_tokenizer, lower_bound, pack_documents, pack_items, packing_gap
 
 
 @pytest.fixture(scope="module")
@@ -46,6 +47,18 @@ def test_messy_and_empty(messy, messy_rows, empty, tokenizer):
     assert pack_documents(empty).collect() == []
 
 
+def test_words_alone_give_the_ids_of_the_text(tokenizer, monkeypatch):
+    rng = random.Random(1)
+    signs = "abZ'sdlrvetm019 .,!?-<|>ÀÉßİſµªº²½÷×¿¡\u0301Ω \x1c\x85日ΣσςǅﬁK\t\n😀"
+    texts = [None, "", "don't we'll I'D o'clock 'S", "a<|endoftext|>b <|", "x" * 3000, "日本 ok １２", "'s't're A'S'"]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    words = WordTokenizer(default_tokenizer())
+    want = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [words.encode(t) for t in texts] == want
+    monkeypatch.setattr(packing, "_CACHE_BYTES", 1000)  # forgets all the time
+    assert [words.encode(t) for t in texts] == want and words.words.held < 100_000
+
+
 def fewest(lengths, capacity):
     """By trying all."""
     best = len(lengths)

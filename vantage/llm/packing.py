@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import functools
+import gc
 import logging
 import os
+import re
+import sys
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -17,9 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-_CACHE_WORDS, _TEXTS = 800_000, 256
+_CACHE_BYTES = 128 << 20
 _LOG = logging.getLogger(__name__)
 
+#: Words of these characters alone need none of the tokenizer's normalising but lower case: they are composed
+#: forms, and their letters, digits and marks are told apart by ``_PARTS`` as by the tokenizer's own pattern.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -27,55 +35,95 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters that byte-level models write bytes with: printable ones stand for themselves, the rest follow from 256."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Words(dict):
+    """Token ids by word, as little-endian bytes; a word not seen yet is encoded when it is asked for."""
+
+    def __init__(self, full, model):
+        super().__init__()
+        self.full, self.model, self.parts, self.held = full, model, {}, 0
+        self.letters = _byte_letters()
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            text = text.lower()
+            if text.isalpha():
+                found = self.part(text)
+            elif text[:-1].isalpha():  # one mark or digit at the end
+                found = self.part(text[:-1]) + self.part(text[-1])
+            else:
+                found = b"".join([self.part(p) for p in _PARTS.findall(text)])
+        else:
+            found = _bytes(self.full.encode(text, add_special_tokens=False).ids)
+        self[word] = found
+        self.held += len(word) + len(found) + 140
+        return found
+
+    def part(self, text: str) -> bytes:
+        found = self.parts.get(text)
+        if found is None:
+            written = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+            found = self.parts[text] = _bytes([t.id for t in self.model.tokenize(written)])
+            self.held += len(text) + len(found) + 140
+        return found
+
+
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordTokenizer:
     """Token ids of whole texts, encoded one white-space-delimited word at a time.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are its
-    words' ids in order. Words seen are kept; past ``_CACHE_WORDS`` only those that came up again are.
+    words' ids in order. Plain words go to the tokenizer's merges directly, all others through the
+    whole tokenizer. Words seen are kept up to ``_CACHE_BYTES``, then all are forgotten.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model, self.seen, self.again = Tokenizer.from_file(path), {}, set()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [(t or "").encode().split() for t in texts]
-        used = set().union(*split)
-        new = used.difference(self.seen)
-        self.again |= used - new
-        if len(self.seen) + len(new) > _CACHE_WORDS:
-            self.seen = {w: self.seen[w] for w in (self.again if len(self.again) <= _CACHE_WORDS // 2 else used - new)}
-            self.again = set()
-            new = used.difference(self.seen)
-        seen = self.seen
-        for w, e in zip(new, self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False) if new else ()):
-            seen[w] = array("I", e.ids).tobytes()
-        return [b"".join(map(seen.__getitem__, words)) for words in split]
+        self.full = _tokenizer(path)
+        self.model = self.full.model
+        self.words = _Words(self.full, self.model)
+
+    def encode(self, text: str | None) -> bytes:
+        """Little-endian unsigned 32-bit ids of a text."""
+        if self.words.held > _CACHE_BYTES:
+            self.words = _Words(self.full, self.model)
+        return b"".join(map(self.words.__getitem__, (text or "").encode().split()))
 
 
 @functools.lru_cache(maxsize=2)
-def _tokenizer(path: str) -> WordTokenizer:
-    """One a worker process, kept from task to task."""
-    return WordTokenizer(path)
+def _tokenizer(path: str):
+    """The file as read, one a worker process; what is learned from texts lives no longer than a task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = _tokenizer(path), np.array([end_id], "<u4").tobytes()
+        tokenizer, end = WordTokenizer(path), _bytes([end_id])
+        gc.set_threshold(100_000, 50, 1000)  # the many small objects below hold no cycles, and need not be looked through so often
         for batch in batches:
             rows, cols = [], ([], [], [], [])
-            texts = batch.column(1)
-            for first in range(0, len(texts), _TEXTS):
-                for i, ids in enumerate(tokenizer.encode(texts[first : first + _TEXTS].to_pylist()), first):
-                    ids += end
-                    for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        rows.append(i)
-                        for col, x in zip(cols, (n, at // 4, len(part) // 4, zlib.crc32(part))):
-                            col.append(x)
+            for i, text in enumerate(batch.column(1)):
+                ids = tokenizer.encode(text.as_py()) + end
+                for n, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[at : at + 4 * capacity]
+                    rows.append(i)
+                    for col, x in zip(cols, (n, at // 4, len(part) // 4, zlib.crc32(part))):
+                        col.append(x)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int32())), pa.array(cols[0], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[1:]]],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
