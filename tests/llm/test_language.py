@@ -2,7 +2,8 @@ import zlib
 
 import numpy as np
 
-from vantage.llm.langid import Chain, identify_language, keep_identified, train_tagger, words_of
+from vantage.llm import langid
+from vantage.llm.langid import Chain, Reader, identify_language, keep_identified, sample_labelled, train_tagger, words_of
 
 
 def slow_marginals(e, moves):
@@ -61,3 +62,33 @@ def test_messy_and_empty(spark, messy, messy_rows, empty):
     assert identify_language(unlabelled).first().lang_pred == "und"
     kept = keep_identified(messy)
     assert kept.columns == messy.columns and {4, 5, 6, 7}.isdisjoint({r.doc_id for r in kept.collect()})
+
+
+def test_letters_only_and_whole_words():
+    assert words_of("m² ½ ① ² 12 _ Ⅷ -") == ["m"]
+    run = "abcdefghij" * 7
+    assert "".join(words_of(run)) == run and max(map(len, words_of(run))) <= 32
+    assert words_of("Été 日本 ça") == ["été", "日本", "ça"]
+
+
+def test_numbers_alone_have_no_language(spark):
+    rows = [(i, "the quick fox and the lazy dog", "en") for i in range(20)] + [(i, "der schnelle fuchs und die katze", "de") for i in range(20, 40)]
+    rows += [(100 + i, t, None) for i, t in enumerate(["²", "½ ① 12", "the ²", "²the"])]
+    got = {r.doc_id: r.lang_pred for r in identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100] == got[101] == "und" and got[102] == got[103] == "en"
+
+
+def test_cache_is_bounded_and_changes_nothing(monkeypatch):
+    tagger = train_tagger([("the quick fox and the dog", "en"), ("der fuchs und die katze mit", "de")] * 20, rounds=10)
+    texts = ["the fox und die dog", None, "", "der der der", "unseen words entirely"] * 3
+    want = Reader(tagger).predict(texts)
+    monkeypatch.setattr(langid, "_CACHE_BYTES", 10)
+    monkeypatch.setattr(langid, "_SLICE", 3)
+    got = Reader(tagger).predict(texts)
+    assert got[0] == want[0] and np.allclose(got[1], want[1], atol=1e-6)
+
+
+def test_sample_is_bounded_however_many_labels(spark):
+    rows = [(i, "some words here", f"l{i % 300}") for i in range(3000)] + [(5000, "x " * 40_000, "long")]
+    got = sample_labelled(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 5, max_rows=700)
+    assert len(got) == 700 and {lab for _, lab in got} == {f"l{i}" for i in range(300)}

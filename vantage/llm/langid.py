@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,17 +13,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W\d_]+")
-_SEGMENT, _SLICE, _CACHE = 64, 150_000, 400_000
+_SEGMENT, _SLICE, _CACHE_BYTES = 64, 150_000, 48 << 20
+_LONGEST = 32
 UNKNOWN = "und"
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters, lower-cased; a run of more than ``_LONGEST`` letters is read as several words, so all of it counts."""
+    found = _WORD.findall(text.lower())
+    if not text.isascii():  # numbers such as a superscript two are no letters
+        found = [p for w in found for p in ((w,) if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+    if any(len(w) > _LONGEST for w in found):
+        found = [w[i : i + _LONGEST] for w in found for i in range(0, len(w), _LONGEST)]
+    return found
 
 
 def word_features(word: str, lexicon: dict[str, int]) -> list[str]:
     """Affixes to three letters, letter bigrams and trigrams, and the language lists that hold the word."""
-    w = word[:32]
+    w = word
     out = [f"^{w[:1]}", f"^{w[:2]}", f"^{w[:3]}", f"{w[-1:]}$", f"{w[-2:]}$", f"{w[-3:]}$"]
     out += [w[i : i + 2] for i in range(len(w) - 1)]
     out += [w[i : i + 3] for i in range(len(w) - 2)]
@@ -114,58 +121,76 @@ class Chain:
 
 
 class Tagger:
-    """A trained model: feature weights by label, transitions, word lists."""
+    """A trained model: feature weights by label, transitions, word lists. It holds nothing of the texts it judges."""
 
     def __init__(self, labels: list[str], index: dict[str, int], weights: np.ndarray, moves: np.ndarray, lexicon: dict[str, int]):
         self.labels, self.index, self.weights, self.moves, self.lexicon = labels, index, weights, moves, lexicon
+
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Log emissions, a row for each word."""
+        flat, ends, get = [], [0], self.index.get
+        for w in words:
+            flat += [i for f in word_features(w, self.lexicon) if (i := get(f)) is not None]
+            ends.append(len(flat))
+        sums = np.concatenate((np.zeros((1, len(self.labels))), np.cumsum(self.weights[flat], axis=0)))
+        return (sums[ends[1:]] - sums[ends[:-1]]).astype(np.float32)
+
+    def predict(self, texts: Iterable[str | None]) -> tuple[list[str], list[float]]:
+        return Reader(self).predict(texts)
+
+
+class Reader:
+    """Judges texts by a ``Tagger`` and keeps the emissions of words seen, up to ``_CACHE_BYTES``, for one task."""
+
+    def __init__(self, tagger: Tagger):
+        self.tagger = tagger
+        self.forget()
+
+    def forget(self) -> None:
         self.seen: dict[str, int] = {}
-        self.rows = np.zeros((0, len(labels)), np.float32)
+        self.rows, self.used, self.held = np.zeros((1024, len(self.tagger.labels)), np.float32), 0, 0
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        """Log emissions of the words; those of words seen lately are kept, up to a fixed number."""
+        if self.held > _CACHE_BYTES:
+            self.forget()
         seen = self.seen
         new = [w for w in dict.fromkeys(words) if w not in seen]
-        if len(seen) + len(new) > _CACHE:
-            seen.clear()
-            self.rows = self.rows[:0]
-            new = list(dict.fromkeys(words))
-        if new:
-            flat, ends, get = [], [0], self.index.get
-            for w in new:
-                flat += [i for f in word_features(w, self.lexicon) if (i := get(f)) is not None]
-                ends.append(len(flat))
-            sums = np.concatenate((np.zeros((1, len(self.labels))), np.cumsum(self.weights[flat], axis=0)))
-            fresh = (sums[ends[1:]] - sums[ends[:-1]]).astype(np.float32)
-            base = len(self.rows)
-            self.rows = np.concatenate((self.rows, fresh))
-            seen.update(zip(new, range(base, base + len(new))))
+        for at in range(0, len(new), 20_000):
+            fresh = self.tagger.emissions(new[at : at + 20_000])
+            while self.used + len(fresh) > len(self.rows):
+                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+            self.rows[self.used : self.used + len(fresh)] = fresh
+            seen.update(zip(new[at : at + 20_000], range(self.used, self.used + len(fresh))))
+            self.used += len(fresh)
+        self.held += sum(map(len, new)) + (140 + 8 * len(self.tagger.labels)) * len(new)
         return self.rows[np.fromiter(map(seen.__getitem__, words), np.int64, len(words))].astype(np.float64)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: Iterable[str | None]) -> tuple[list[str], list[float]]:
         """The label with the largest share of word marginals, and that share; ``und`` without a letter."""
-        out_l, out_s = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if not self.labels:
-            return out_l, out_s
+        labels, moves = self.tagger.labels, self.tagger.moves
+        out_l, out_s = [], []
         rows: list[int] = []
         words: list[str] = []
         lengths: list[int] = []
 
         def flush():
             n = np.array(lengths, np.int64)
-            p = Chain(n).run(self.emissions(words), self.moves)
+            p = Chain(n).run(self.emissions(words), moves)
             share = np.add.reduceat(p, np.cumsum(n) - n, axis=0) / n[:, None]
             for row, best, x in zip(rows, share.argmax(1).tolist(), share):
-                out_l[row], out_s[row] = self.labels[best], float(min(1.0, x[best]))
+                out_l[row], out_s[row] = labels[best], float(min(1.0, x[best]))
             rows.clear(), words.clear(), lengths.clear()
 
         for row, text in enumerate(texts):
-            found = words_of(text) if text else []
+            out_l.append(UNKNOWN)
+            out_s.append(0.0)
+            found = words_of(text) if text and labels else []
             if found:
+                if words and len(words) + len(found) > _SLICE:
+                    flush()
                 rows.append(row)
                 words.extend(found)
                 lengths.append(len(found))
-                if len(words) > _SLICE:
-                    flush()
         if rows:
             flush()
         return out_l, out_s
@@ -256,21 +281,24 @@ def remainder(id_col: str, modulus: int) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
 
 
-def sample_labelled(docs: DataFrame, per_label: int) -> list[tuple[str, str]]:
-    """At most ``per_label`` whole texts of each label, by least hash of id and label; the rest is only ranked by key."""
-    keys = docs.select(F.col("doc_id"), "lang", F.xxhash64("doc_id", "lang").alias("h"))
+def sample_labelled(docs: DataFrame, per_label: int, max_rows: int = 20_000, max_chars: int = 50_000) -> list[tuple[str, str]]:
+    """Whole texts to learn from, by least hash of id and label: at most ``per_label`` of each label, at most
+    ``max_rows`` in all however many labels there are, none of more than ``max_chars`` code points."""
+    short = docs.filter(F.length("text") <= max_chars)
+    keys = short.select(F.col("doc_id"), "lang", F.xxhash64("doc_id", "lang").alias("h"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = keys.withColumn("r", rank).filter(F.col("r") <= per_label).select("doc_id", "lang").distinct()
-    if chosen.count() <= 100_000:  # per_label of each label; a broadcast spares the texts a shuffle
-        chosen = F.broadcast(chosen)
-    rows = docs.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id", F.xxhash64("text"))).alias("r"))
-    return [(r["text"], r["lang"]) for r in rows.filter(F.col("r") <= per_label).collect()]
+    ranked = keys.withColumn("r", rank).filter(F.col("r") <= per_label)
+    chosen = ranked.orderBy("r", "h", "lang").limit(max_rows).select("doc_id", "lang").distinct()
+    again = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id", F.xxhash64("text")))
+    rows = short.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text", again.alias("r"))  # max_rows at most
+    return [(r["text"], r["lang"]) for r in rows.filter(F.col("r") <= per_label).orderBy("r", "lang").limit(max_rows).collect()]
 
 
 def _predict(tagger: Tagger):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(tagger)
         for batch in batches:
-            labels, scores = tagger.predict(batch.column(2).to_pylist())
+            labels, scores = reader.predict(x.as_py() for x in batch.column(2))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"]
             )
@@ -284,18 +312,22 @@ def _tagger(rows: DataFrame, per_label: int, modulus: int, held: int) -> Tagger:
     return train_tagger(sample_labelled(learn, per_label))
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.5, per_label: int = 200, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
+def keep_identified(docs: DataFrame, min_score: float = 0.0, per_label: int = 200, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text has a language with a score of at least ``min_score``.
 
-    Learning is that of ``identify_language``. Null texts and texts without a letter go.
+    Learning is that of ``identify_language``; ``docs`` must have the three named columns. Null texts and
+    texts without a letter go; by default nothing else does, a text of several languages included. If
+    there is nothing to learn from, no text has a language and all go. Repeated rows stay or go
+    together. An empty table gives an empty table; other columns may have any names.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("lang"))
     shared = docs.sparkSession.sparkContext.broadcast(_tagger(rows, per_label, 4, 2))  # features of a sample of bounded size
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(shared.value)
         for batch in batches:
-            labels, scores = shared.value.predict(batch.column(at).to_pylist())
+            labels, scores = reader.predict(x.as_py() for x in batch.column(at))
             yield batch.filter(pa.array([lab != UNKNOWN and x >= min_score for lab, x in zip(labels, scores)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -305,8 +337,9 @@ def identify_language(docs: DataFrame, per_label: int = 200, modulus: int = 4, h
     """doc_id, held_out, lang_pred and score of every text.
 
     The field learns from at most ``per_label`` texts of each non-null label, among rows whose
-    crc32(id) modulo ``modulus`` is not ``held``; this bounds what the driver fits on. Prediction reads the text alone.
-    Words are tagged by marginals of the whole text; the prediction is the label with the largest
+    crc32(id) modulo ``modulus`` is not ``held`` (see ``sample_labelled``); this bounds what the driver fits
+    on. Prediction reads the text alone, and all of it: texts are judged in groups of about 150,000 words, a longer
+    one by itself in segments, with memory in proportion to its words. Words are tagged by marginals of the whole text; the prediction is the label with the largest
     mean marginal, the score. ``und`` with score 0 where the text is null or has no letter, or nothing
     could be learned. Rows with a null id are predicted but not learned from (held_out false). Rows with equal ids
     are predicted each on its own. An empty table gives an empty table; other columns are ignored.
