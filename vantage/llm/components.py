@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 from .common import discard, measured
 
+_SALTS = 8
+
 
 def _round(edges: DataFrame) -> DataFrame:
     """A large and a small step over ``(a, b)`` links of any orientation; gives links with b < a.
 
     Large: every node u, with m the smallest of u and its neighbours, points its larger neighbours at
-    m. The minimum is a partial aggregate and the rest an equi-join, so a hub is never gathered.
-    Small: every node points its smaller neighbours, and itself, at the smallest of them. A node has
-    few smaller neighbours after the large step, so they are read in order, in one shuffle.
+    m. The minimum is a partial aggregate and the rest an equi-join whose keys are parted among
+    ``_SALTS``, so a hub is never gathered in one task. Small: every node points its smaller
+    neighbours, and itself, at the smallest of them. They are what the large step leaves, few as a rule; they are
+    read in order, in one shuffle, and spill where a node has many.
     """
     both = edges.filter("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    large = both.filter("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salted = both.filter("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(_SALTS)).cast("int"))
+    large = salted.join(least.hint("merge"), ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
     links = large.repartition("a").dropDuplicates(["a", "b"])
     m = F.first("b").over(Window.partitionBy("a").orderBy("b"))
     small = links.withColumn("m", m).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))

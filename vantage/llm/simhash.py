@@ -155,10 +155,11 @@ def link_nodes(nodes: DataFrame, index: ByteIndex, block: int = 256) -> DataFram
     different components is lost, and a group of copies never becomes all its pairs.
     """
     names = _names(index.lanes)
-    posted = _postings(nodes, index)
+    parts = max(8, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    posted = _postings(nodes.repartition(parts, F.xxhash64("node")), index)  # a node becomes many postings: spread them
     lists = posted.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").drop("z")
     lists = materialize(lists, "lists")
-    shared = materialize(posted.join(lists, "key"), "postings")
+    shared = materialize(posted.join(lists.hint("merge"), "key"), "postings")
     left, right = [F.col("a" + f) for f in names], [F.col("b" + f) for f in names]
     pairs = shared.filter("a <> node").select("a", F.col("node").alias("b")).distinct()
     pairs = _with_lanes(_with_lanes(pairs, "b", "b", nodes, index), "a", "a", nodes, index)
