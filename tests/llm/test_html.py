@@ -1,5 +1,6 @@
 import itertools
 import re
+import time
 from html import unescape
 
 import numpy as np
@@ -63,7 +64,45 @@ def test_marginals_are_those_of_enumeration():
 
 def test_held_out_pages():
     index, w, bias, pair = train()
-    pages = [Page(h) for h in labelled_pages(150, seed=123)]
+    pages = [Page(h, labelled=True) for h in labelled_pages(150, seed=123)]
     p, _ = Forest(pages, index).marginals(w, bias, pair)
     y = np.array([1 if v is None else v for x in pages for v in x.labels])
     assert ((p >= 0.5) == y).mean() > 0.98
+
+
+def texts(spark, pages):
+    found = extract_main_text(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").selectExpr("page_id", "'u' as url", "html"))
+    return [r.text for r in sorted(found.collect(), key=lambda r: r.page_id)]
+
+
+def test_labels_of_corpus_pages_are_not_read(spark):
+    cell = lambda attribute: f"<article><h1>Prices of the year</h1><table><tr><td {attribute}>Ten euros a kilo.</td></tr></table><p>They rose a little, as they do each year.</p></article>"
+    want = "Prices of the year Ten euros a kilo. They rose a little, as they do each year."
+    assert texts(spark, [cell('data-label="Price"'), cell("data-label"), cell('data-label="0"'), cell("data-label=1")]) == [want] * 4
+
+
+def test_broken_markup_takes_linear_time():
+    long = 1 << 20
+    pages = ["<a b='" + "<a c " * (long // 5), "<a c " * (long // 5), "<svg>" * (long // 5), "<b>" * (long // 3) + "</i>" * 1000]
+    pages += ['<a ">" ' * (long // 7) + "'", "<div>" * (long // 10) + "</p>" * (long // 10), "<!--" + "<p " * (long // 3), "<b><td>" + "<i>" * 100_000 + "</b>" * 100_000, '<p class="' * (long // 10)]
+    for html in pages:
+        began = time.process_time()
+        Page(html)
+        assert time.process_time() - began < 2, html[:20]
+    deep = Page("<div>" * 3000 + "in" + "</div>" * 3000 + "<p>out</p>")
+    assert [t for _, t in deep.runs] == ["in", "out"] and deep.parent[deep.runs[1][0]] == 0
+
+
+def test_pages_without_article(spark):
+    pages = [
+        "<div class='site-header'><a href='/'>Home</a> <a href='/b'>Blog</a></div><div id='content'><h2>A walk by the sea</h2><p>We left early in the morning and walked along the shore.</p><p>The wind was strong, and nobody else was out.</p></div><div class='footer'>Copyright the author.</div>",
+        "<body><ul class=menu><li><a href=/>Start</a><li><a href=/c>Contact</a></ul><main><p>Bread needs flour, water, salt and time, and most of all it needs time.</main><aside><h3>More recipes</h3><p>Soup</p></aside></body>",
+        "<table><tr><td><p>A first paragraph of plain text, laid out in a table cell.</p><p>And then a second one follows it here.</p></td></tr></table>",
+        "<div class='cookie-banner'><p>We use cookies to make this site work.</p></div><section class='post'><p>The council met on Monday to decide on the new bridge.</p></section><form class='newsletter'><p>Subscribe to our letter.</p></form>",
+    ]
+    assert texts(spark, pages) == [
+        "A walk by the sea We left early in the morning and walked along the shore. The wind was strong, and nobody else was out.",
+        "Bread needs flour, water, salt and time, and most of all it needs time.",
+        "A first paragraph of plain text, laid out in a table cell. And then a second one follows it here.",
+        "The council met on Monday to decide on the new bridge.",
+    ]

@@ -13,8 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_ATTR = re.compile(r"""(?<![\w-])(class|id|role|aria-label|data-label|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_REST = re.compile(r"""((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role|aria-label|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_LABEL = re.compile(r' data-label="([01])"')
+_DEEPEST = 500  # open elements; what is nested deeper writes to the element it is in, as in browsers
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s")
 
@@ -27,6 +30,7 @@ _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset
 _ENDS_WITH_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _TEXTUAL = frozenset("p li h1 h2 h3 h4 h5 h6 ul ol dl dt dd tr td th tbody thead blockquote pre figcaption".split())
 _SCOPES = frozenset("ul ol dl table body html".split())
+_CELLS = frozenset("td th table article body".split())
 
 #: Words in class, id and role attributes that speak against or for main text.
 _AGAINST = {
@@ -47,15 +51,21 @@ _GROUPS |= {t: "cell" for t in ("td", "th", "tr", "tbody", "thead")} | {t: "form
 
 
 class Page:
-    """Block elements of a page as a tree, and its text runs in page order."""
+    """Block elements of a page as a tree, and its text runs in page order.
+
+    The time is linear in the page: a tag whose quotes do not close ends at the next ``>``, and from there
+    on quotes are not minded; closing tags known to be missing are not sought again; nesting is bounded.
+    ``labelled`` pages are those this module writes; no label is read from others.
+    """
 
     __slots__ = ("parent", "depth", "feats", "kind", "labels", "runs")
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, labelled: bool = False):
         self.parent, self.depth, self.labels, self.runs = [-1], [0], [None], []
         info: list[list] = [["root", (), 0, 0, False, False]]  # tag, name classes, words, words in links, sentence end, inside an article
         stack: list[tuple[str, int]] = [("root", 0)]  # open elements and the block each writes to
         at, links, held = 0, 0, []
+        minded, unclosed, beyond = True, set(), {}  # beyond: elements too deep to open, by tag
 
         def flush():
             text = " ".join("".join(held).split())
@@ -67,11 +77,29 @@ class Page:
                 mine[2] += text.count(" ") + 1
                 mine[4] |= text[-1] in ".!?:;\"'”»…)"
 
+        places: dict[str, list[int]] = {"root": [0]}  # where in the stack each tag is open
+        blocks, cells = [0], []  # where elements are that are not inline, and those that inline ends do not cross
+
+        def open_(tag: str, node: int):
+            places.setdefault(tag, []).append(len(stack))
+            if tag not in _INLINE:
+                blocks.append(len(stack))
+            if tag in _CELLS:
+                cells.append(len(stack))
+            stack.append((tag, node))
+
         def close(depth: int):
             nonlocal links
-            for tag, _ in stack[depth:]:
+            while len(stack) > depth:
+                tag, _ = stack.pop()
+                places[tag].pop()
                 links -= tag == "a"
-            del stack[depth:]
+            for kept in (blocks, cells):
+                while kept and kept[-1] >= depth:
+                    kept.pop()
+
+        def last(tags) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=-1)
 
         while True:
             m = _TOKEN.search(html, at)
@@ -85,21 +113,32 @@ class Page:
             at = m.end()
             if not m[2]:
                 continue
+            rest = _REST.match(html, at) if minded else None
+            if rest:
+                attributes, at = rest[1], rest.end()
+            else:
+                minded, end = False, html.find(">", at)
+                if end < 0:  # no tag any more
+                    held.append(unescape(html[m.start() :]))
+                    break
+                attributes, at = html[at:end], end + 1
             tag = m[2].lower()
             if m[1]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        if tag not in _INLINE:
-                            flush()
-                        close(i)
-                        break
-                    if stack[i][0] in ("td", "th", "table", "article", "body") and tag in _INLINE:
-                        break
+                if beyond.get(tag):
+                    beyond[tag] -= 1
+                    continue
+                i = last((tag,))
+                if i > 0 and not (tag in _INLINE and cells and cells[-1] > i):
+                    if tag not in _INLINE:
+                        flush()
+                    close(i)
                 continue
             if tag in _RAW:
-                if tag != "head" and not m[3].endswith("/"):
+                if tag != "head" and not attributes.endswith("/") and tag not in unclosed:
                     end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                     at = end.end() if end else len(html) if tag in _TO_END else at
+                    if not end:
+                        unclosed.add(tag)
                 if tag != "head":
                     held.append(" ")
                 continue
@@ -107,29 +146,33 @@ class Page:
                 if tag == "br":
                     held.append(" ")
                 elif tag not in _VOID:
+                    if len(stack) >= _DEEPEST:
+                        beyond[tag] = beyond.get(tag, 0) + 1
+                        continue
                     links += tag == "a"
-                    stack.append((tag, stack[-1][1]))
+                    open_(tag, stack[-1][1])
                 continue
             flush()
             if tag in _VOID:
                 continue
-            like = _ENDS_WITH_LIKE.get(tag)
-            for i in range(len(stack) - 1, 0, -1):
-                if like and stack[i][0] in like or tag in _CLOSES_P and stack[i][0] == "p":
+            if tag in _ENDS_WITH_LIKE:
+                if (i := last(_ENDS_WITH_LIKE[tag])) > last(_SCOPES):
                     close(i)
-                    break
-                if stack[i][0] in _SCOPES or not like and stack[i][0] not in _INLINE:
-                    break
+            elif tag in _CLOSES_P and stack[blocks[-1]][0] == "p":
+                close(blocks[-1])
             names, label, hidden = [], None, False
-            if m[3]:
-                for a in _ATTR.finditer(m[3]):
+            if labelled and (found := _LABEL.search(attributes)):
+                label = int(found[1])
+            if attributes:
+                for a in _ATTR.finditer(attributes):
                     value = (a[2] or "").strip("\"'")
-                    if a[1].lower() == "data-label":
-                        label = int(value)
-                    elif a[1].lower() == "hidden":
+                    if a[1].lower() == "hidden":
                         hidden = True
                     else:
                         names += [w.lower() for w in _NAME.findall(value)]
+            if len(stack) >= _DEEPEST:
+                beyond[tag] = beyond.get(tag, 0) + 1
+                continue
             classes = {_CLASS_OF[w] for w in names if w in _CLASS_OF} | ({"for"} if any(w in _FOR for w in names) else set()) | ({"hidden"} if hidden else set())
             above = stack[-1][1]
             node = len(self.parent)
@@ -137,7 +180,7 @@ class Page:
             self.depth.append(self.depth[above] + 1)
             self.labels.append(label)
             info.append([tag, tuple(sorted(classes)), 0, 0, False, info[above][5] or info[above][0] in ("article", "main")])
-            stack.append((tag, node))
+            open_(tag, node)
         flush()
         self.feats = [_features(*x) for x in info]
         self.kind = [int(x[0] in _TEXTUAL) for x in info]  # text elements go with their parent more than boxes do
@@ -226,8 +269,8 @@ def labelled_pages(n: int, seed: int = 7) -> list[str]:
         w = r.choice(_AGAINST[kind].split())
         return r.choice((w, f"{w} box", f"site-{w}", f"{w}-{r.randint(1, 9)}"))
 
-    def links(y: int = 0) -> str:
-        return el("ul", y, "".join(el("li", y, f'<a href="/x">{words(1, 3)}</a>') for _ in range(r.randint(2, 8))))
+    def links(y: int = 0, names: str = "") -> str:
+        return el("ul", y, "".join(el("li", y, f'<a href="/x">{words(1, 3)}</a>', closed=r.random() > 0.2) for _ in range(r.randint(2, 8))), names)
 
     def paragraph() -> str:
         body = sentences(r.randint(1, 6))
@@ -273,7 +316,8 @@ def labelled_pages(n: int, seed: int = 7) -> list[str]:
     def junk(kind: str) -> str:
         tag = r.choice(("div", "div", "section"))
         if kind == "menu":
-            return el("nav", 0, links()) if r.random() < 0.6 else el(tag, 0, links(), name(kind))
+            how = r.random()
+            return el("nav", 0, links()) if how < 0.5 else el(tag, 0, links(), name(kind)) if how < 0.75 else links(0, name(kind))
         if kind == "frame":
             low = r.random() < 0.5
             body = r.choice((f"&copy; {words(1, 6, '.')}", words(1, 5), el("p", 0, sentences(1)), links()))
@@ -306,7 +350,7 @@ def labelled_pages(n: int, seed: int = 7) -> list[str]:
 @functools.lru_cache(maxsize=4)
 def train(pages: int = 600, seed: int = 7, rounds: int = 250, l2: float = 0.5) -> tuple[dict[str, int], np.ndarray, float, np.ndarray]:
     """Feature weights, bias and parent-child potentials of greatest likelihood on labelled pages."""
-    found = [Page(h) for h in labelled_pages(pages, seed)]
+    found = [Page(h, labelled=True) for h in labelled_pages(pages, seed)]
     index: dict[str, int] = {}
     forest = Forest(found, index, grow=True)
     y = np.array([1 if v is None else v for p in found for v in p.labels], float)
@@ -354,7 +398,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     Block elements are nodes of a tree; their marginal chance to be main text comes from messages sent
     up and down it. Text of likely blocks is kept in page order, white space made single, joined by one
     space. Null or empty html, and pages without likely blocks, give an empty text. Rows with null or
-    equal ids are read each on its own. An empty table gives an empty table; other columns are ignored.
+    equal ids are read each on its own. A page is read whole, however long, in time linear in its length. An
+    empty table gives an empty table; other columns are ignored, whatever their names.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(_extract(train()), f"page_id {rows.schema['page_id'].dataType.simpleString()}, url {rows.schema['url'].dataType.simpleString()}, text string, n_chars long")
