@@ -100,3 +100,28 @@ def test_candidates_do_not_overlap_in_a_kind():
         for kind in KINDS:
             spans = sorted((s, e) for k, s, e, *_ in candidates(text)[1] if k == kind)
             assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_secrets(spark):
+    rows = [(i, f'the run token = "{hashlib.sha1(str(i).encode()).hexdigest()}" is here') for i in range(40)]
+    rows += [(100, "see http://www.example.com/some/long/path and note: incomprehensibilities ahead"), (101, "ratio=0.1234567890123456789")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in find_pii(docs).collect()}
+    assert got[0].secrets == "secret:17:57" and got[0].spans == "" and got[0].n_secret == got[0].n_spans == 1
+    assert got[100].n_spans == got[101].n_spans == 0
+    assert {r.text for r in redact(docs).collect() if r.doc_id < 40} == {'the run token = "<SECRET>" is here'}
+
+
+def test_redact_keeps_rows_and_columns(spark, messy, messy_rows, empty):
+    docs = spark.createDataFrame([(1, "x@y.zz", 1, "r"), (1, "x@y.zz", 1, "r"), (2, None, None, None)], "doc_id long, text string, spans int, row string")
+    out = redact(docs, length_col="n_chars")
+    assert out.columns == docs.columns and sorted((r.doc_id, r.text, r.spans, r.row) for r in out.collect() if r.doc_id == 1) == [(1, "<EMAIL>", 1, "r")] * 2
+    assert redact(messy).count() == len(messy_rows) and redact(empty).collect() == []
+
+
+def test_classifier_in_blocks_is_the_same():
+    rng = np.random.default_rng(3)
+    patterns = sorted({tuple(int(x) for x in rng.integers(0, 4, 5)) for _ in range(300)})
+    counts = rng.integers(1, 50, len(patterns)).astype(float)
+    positive = counts * rng.random(len(patterns))
+    assert np.allclose(train_classifier(patterns, positive, counts), train_classifier(patterns, positive, counts, block=7))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
+EVERY = (*KINDS, "secret")  # secrets have no base pattern: all of them are the classifier's
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)++")
@@ -21,6 +22,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]|[(\[]at[)\]]")
+_SECRET = re.compile(r"[=:][ \t]{0,3}[\"']?([A-Za-z0-9+/_.-]{16,})")
 
 #: Candidate shapes beyond the base patterns.
 _MORE = (
@@ -41,7 +43,9 @@ _CUES = {
     "ip": ("ip", "host", "server", "address", "login", "adresse"),
     "card": ("card", "visa", "credit", "pay", "karte", "carte", "tarjeta"),
     "phone": ("call", "phone", "tel", "mobile", "fax", "telefon", "appel"),
+    "secret": ("api", "auth", "access", "bearer", "export", "config", "private"),
 }
+_NAMES = ("token", "secret", "key", "passw", "pwd", "credential")
 _AGAINST = ("version", "isbn", "serial", "order no", "invoice", "section", "chapter", "release")
 
 
@@ -105,6 +109,9 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int,
         shape, valid, gaz = int(all(len(p) <= 3 for p in parts)), int(_octets(s)), 1 if parts[0].lstrip("0") and 1 <= int(parts[0][-3:]) <= 223 else 0
     elif kind == "card":
         shape, valid, gaz = int(re.fullmatch(r"[0-9]{16,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}", s) is not None), int(luhn(d)), 1 if d.startswith(_ISSUERS) else 0
+    elif kind == "secret":
+        name = near.rstrip(" \t\"'=:")[-12:]
+        shape, valid, gaz = int(re.fullmatch(r"[0-9a-fA-F]+|[A-Za-z0-9+_-]+", s) is not None), int(len(set(s.lower())) >= 8), int(any(name.endswith(w) or w in name.split()[-1:] for w in _NAMES))
     else:
         code = re.match(r"\+([0-9]{1,3})", s)
         shape = int(re.fullmatch(r"(\+[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}", s) is not None)
@@ -118,7 +125,7 @@ def features(text: str, kind: str, start: int, end: int, seen: tuple[int, ...])
     """What the final classifier sees: kind, length class, separators, signs and the non-base votes."""
     s = text[start:end]
     return (
-        KINDS.index(kind),
+        EVERY.index(kind),
         min(len(_digits(s)), 20),
         int(" " in s) + 2 * int("-" in s) + 4 * int("(" in s) + 8 * int(s[:1] == "+") + 16 * int("@" in s),
         *seen[1:],
@@ -141,6 +148,7 @@ def candidates(text: str) -> tuple[list[tuple[str, int, int]], list[tuple]]:
             if at == len(held) or held[at][0] >= e:
                 spans.append((kind, s, e, False))
                 taken[kind].append((s, e))
+    spans += [("secret", *m.span(1), False) for m in _SECRET.finditer(text) if len(_digits(m[1])) >= 4 and any(c.isalpha() for c in m[1])]
     out = []
     for kind, s, e, is_base in spans:
         v = votes(text, kind, s, e, is_base)
@@ -165,6 +173,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(_SPAN))], names=["doc_id", "spans"])
 
 
+def _scan_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_scan`` of the second column, with both columns kept."""
+    for batch in batches:
+        for found in _scan(iter([batch])):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found.column(1)], names=["row", "text", "spans"])
+
+
 def estimate_reliabilities(table: np.ndarray, counts: np.ndarray, rounds: int = 50) -> dict:
     """Two-class EM over vote patterns: ``table`` holds -1, 0, 1 by labeler, ``counts`` how often each was seen.
 
@@ -187,47 +202,52 @@ def estimate_reliabilities(table: np.ndarray, counts: np.ndarray, rounds: int =
     return {"prior": prior, "true": true, "false": false, "posterior": p}
 
 
-def _one_hot(patterns: list[tuple[int, ...]]) -> tuple[np.ndarray, dict]:
+def _active(patterns: list[tuple[int, ...]]) -> tuple[np.ndarray, int]:
+    """Of each pattern, the columns that are one: each feature's value, the same by kind, and a constant; and how many there are."""
     index: dict = {}
-    for f in patterns:
-        for i, v in enumerate(f):
-            index.setdefault((i, v), len(index))
-            index.setdefault(("kind", f[0], i, v), len(index))
-    x = np.zeros((len(patterns), len(index) + 1))
-    x[:, -1] = 1
-    for r, f in enumerate(patterns):
-        for i, v in enumerate(f):
-            x[r, index[(i, v)]] = x[r, index[("kind", f[0], i, v)]] = 1
-    return x, index
-
-
-def train_classifier(patterns: list[tuple[int, ...]], positive: np.ndarray, counts: np.ndarray, l2: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Logistic regression (Newton steps) on soft labels, by feature pattern; the patterns' probabilities."""
+    rows = [[index.setdefault(x, len(index)) for i, v in enumerate(f) for x in ((i, v), ("kind", f[0], i, v))] for f in patterns]
+    return np.array([[*r, len(index)] for r in rows], np.int64), len(index) + 1
+
+
+def train_classifier(patterns: list[tuple[int, ...]], positive: np.ndarray, counts: np.ndarray, l2: float = 1.0, rounds: int = 30, block: int = 4096) -> np.ndarray:
+    """Logistic regression (Newton steps) on soft labels, by feature pattern; the patterns' probabilities.
+
+    Patterns are laid out in blocks; of all of them only the numbers of their columns are held."""
     if not patterns:
         return np.zeros(0)
-    x, _ = _one_hot(patterns)
-    w = np.zeros(x.shape[1])
+    active, width = _active(patterns)
+    w = np.zeros(width)
+
+    def chances() -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(w[active].sum(1), -30, 30)))
+
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (positive - counts * p) - l2 * w
-        hess = (x * (counts * p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w))
+        p = chances()
+        grad, hess = -l2 * w, l2 * np.eye(width)
+        for at in range(0, len(active), block):
+            some = active[at : at + block]
+            x = np.zeros((len(some), width))
+            x[np.arange(len(some))[:, None], some] = 1
+            q, n = p[at : at + block], counts[at : at + block]
+            grad = grad + x.T @ (positive[at : at + block] - n * q)
+            hess += (x * (n * q * (1 - q))[:, None]).T @ x
         step = np.linalg.solve(hess, grad)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return chances()
 
 
 def fit(scanned: DataFrame) -> dict[str, float]:
     """Probability of each feature pattern. Only counts by pattern leave the executors, and there are
-    few patterns whatever the corpus: three votes to the sixth power by four kinds at most, and lengths
+    few patterns whatever the corpus: three votes to the sixth power by five kinds at most, and lengths
     and separators of bounded range."""
     rows = scanned.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.features").agg(F.count("*").alias("n")).collect()
     rows.sort(key=lambda r: (r["kind"], r["votes"], r["features"]))
     if not rows:
         return {}
     belief: dict[tuple, float] = {}
-    for kind in KINDS:
+    for kind in EVERY:
         seen: dict[tuple[int, ...], int] = {}
         for r in rows:
             if r["kind"] == kind:
@@ -250,26 +270,28 @@ def fit(scanned: DataFrame) -> dict[str, float]:
 
 
 def _decide(prob: dict[str, float], threshold: float):
-    order = {k: i for i, k in enumerate(KINDS)}
+    order = {k: i for i, k in enumerate(EVERY)}
 
     def text_of(spans: list) -> str:
         return ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base_n, added_n, digest, joined = [], [], [], []
+            base_n, more_n, digest, joined, secrets = [], [], [], [], []
             for spans in batch.column(1).to_pylist():
                 spans = sorted(spans or [], key=lambda s: (order[s["kind"]], s["start"], s["end"]))
                 base = [s for s in spans if s["base"]]
-                kept = [s for s in spans if s["base"] or prob.get(s["features"], 0.0) >= threshold]
+                every = [s for s in spans if s["base"] or prob.get(s["features"], 0.0) >= threshold]
+                kept = [s for s in every if s["kind"] != "secret"]
                 base_n.append([sum(s["kind"] == k for s in base) for k in KINDS])
-                added_n.append(len(kept) - len(base))
+                more_n.append([len(kept) - len(base), len(every) - len(kept), len(every)])
                 digest.append(hashlib.sha256(text_of(base).encode()).hexdigest())
                 joined.append(text_of(kept))
-            n = np.array(base_n, np.int64).reshape(-1, len(KINDS))
+                secrets.append(text_of(every[len(kept) :]))
+            n, more = np.array(base_n, np.int64).reshape(-1, len(KINDS)), np.array(more_n, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(n[:, i]) for i in range(len(KINDS))], pa.array(digest, pa.string()), pa.array(joined, pa.string()), pa.array(added_n, pa.int64())],
-                names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"],
+                [batch.column(0), *[pa.array(c) for c in n.T.copy()], pa.array(digest, pa.string()), pa.array(joined, pa.string()), *[pa.array(c) for c in more.T.copy()], pa.array(secrets, pa.string())],
+                names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added", "n_secret", "n_spans", "secrets"],
             )
 
     return run
@@ -280,42 +302,47 @@ def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
 
     Returns doc_id, n_email, n_ip, n_card and n_phone (spans of the base patterns), base_sha256 (of
     those spans), spans (they and what the classifier adds, ``kind:start:end`` by kind, then start; in code
-    points, end exclusive) and n_added. Base spans always stay; an added span overlaps no other of its
-    kind. A null or empty text has none. Rows with null or equal ids are judged each on its own. An
-    empty table gives an empty table; other columns are ignored.
+    points, end exclusive), n_added, n_secret, n_spans (base, added and secret ones) and secrets (spans of
+    tokens and keys, which have no base pattern). Base spans always stay; an added span overlaps no other of its
+    kind. A null or empty text has none. A text is read whole, in time linear in its length. Rows with null or
+    equal ids are judged each on its own. An empty table gives an empty table; other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     scanned = materialize(rows.mapInArrow(_scan, f"doc_id {kind}, spans {_SPAN_DDL}"), "spans")
-    return scanned.mapInArrow(
-        _decide(fit(scanned), threshold), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    )
+    counts = ", ".join(f"n_{k} long" for k in KINDS)
+    shape = f"doc_id {kind}, {counts}, base_sha256 string, spans string, n_added long, n_secret long, n_spans long, secrets string"
+    return scanned.mapInArrow(_decide(fit(scanned), threshold), shape)
 
 
 def redact(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """``docs`` with every span that ``find_pii`` finds replaced by its kind in angle brackets.
+    """``docs`` with every span that ``find_pii`` finds, secrets included, replaced by its kind in angle brackets.
 
-    Overlapping spans are replaced together, by the kind of the first. Other columns stay, but for
-    ``length_col``, which gets the new number of code points. Null texts stay null.
+    Overlapping spans are replaced together, by the kind of the first. Other columns stay as they are, whatever
+    their names, but for ``length_col``, which gets the new number of code points where it is given and
+    there. Null texts stay null; repeated rows are all cleaned; an empty table gives an empty table. Rows
+    are written with their spans, so texts are scanned once.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scanned = materialize(rows.mapInArrow(_scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, spans {_SPAN_DDL}"), "spans")
-    prob, at = fit(scanned), docs.columns.index(text_col)
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    kept = whole.schema["row"].dataType.simpleString()
+    scanned = materialize(whole.mapInArrow(_scan_beside, f"row {kept}, text string, spans {_SPAN_DDL}"), "spans")
+    prob = fit(scanned)
 
-    def clean(text: str | None) -> str | None:
-        if not text:
-            return text
-        found = [(s, e, k) for k, s, e, base, _, f in candidates(text)[1] if base or prob.get(" ".join(map(str, f)), 0.0) >= threshold]
+    def clean(text: str | None, spans: list) -> str | None:
         out, done = [], 0
-        for s, e, k in sorted(found):
+        for s, e, k in sorted((x["start"], x["end"], x["kind"]) for x in spans if x["base"] or prob.get(x["features"], 0.0) >= threshold):
             if s >= done:
                 out += [text[done:s], f"<{k.upper()}>"]
             done = max(done, e)
-        return "".join([*out, text[done:]])
+        return "".join([*out, text[done:]]) if out else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.set_column(at, batch.schema.names[at], pa.array([clean(t.as_py()) for t in batch.column(at)], pa.string()))
-
-    out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col else out
+            texts = [clean(t.as_py(), x.as_py()) for t, x in zip(batch.column(1), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "cleaned"])
+
+    out = scanned.mapInArrow(run, f"row {kept}, cleaned string")
+    changed = {text_col: F.col("cleaned").cast(docs.schema[text_col].dataType)}
+    if length_col and length_col in docs.columns:
+        changed[length_col] = F.length("cleaned").cast(docs.schema[length_col].dataType)
+    return out.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
