@@ -53,8 +53,8 @@ def test_edits_ends_and_shuffle_join(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute(texts.items(), items)
-    for rows in (10**6, 0):
-        got = {(r.doc_id, r.item_id): r.similarity for r in find_contamination(docs, bench, broadcast_rows=rows).collect()}
+    for limit in (10**6, 0):
+        got = {(r.doc_id, r.item_id): r.similarity for r in find_contamination(docs, bench, broadcast_bytes=limit).collect()}
         assert got.keys() == want.keys() and {d for d, _ in got} == {1, 2, 3, 6, 7}
 
 
@@ -66,3 +66,24 @@ def test_messy_and_empty(spark, messy, empty):
     assert find_contamination(messy, bench.limit(0)).collect() == []
     kept = drop_contaminated(messy, bench)
     assert kept.columns == messy.columns and kept.count() == messy.count() - 4
+
+
+def test_items_that_share_a_template(spark):
+    """Light shingles that all items have and a few heavy ones: what differs weighs far more than what is shared."""
+    template = " ".join(f"t{i}" for i in range(195))
+    items = [(i, f"{template} " + " ".join(f"own{i}x{j}" for j in range(4))) for i in range(40)]
+    docs = [(d, f"{template} " + " ".join(f"new{d}x{j}" for j in range(4 + d % 2))) for d in range(12)]
+    want = brute(docs, items)
+    got = {(r.doc_id, r.item_id): r.similarity for r in find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) == 480 and min(want.values()) < 0.85
+    assert {d for d, _ in got} == {d for d, _ in want} and len(got) >= 0.98 * len(want)  # a radius of 20 bits is no certainty
+    assert all(abs(want[k] - x) < 2e-3 for k, x in got.items())
+
+
+def test_best_start_lies_between_two_runs(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = [(1, " ".join(["a"] * 9 + words[:6] + ["in", "sert"] + words[6:] + ["b"] * 9)), (2, " ".join(words[:30] + ["in", "sert", "ed"] + words[30:]))]
+    items = [(1, " ".join(words)), (2, " ".join(words[:40]))]
+    want = brute(docs, items)
+    got = {(r.doc_id, r.item_id): r.similarity for r in find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-3 for k in want)
