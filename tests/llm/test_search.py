@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import types as T
 
-from vantage.llm.crosspolytope import Rotations, hadamard, search
+from vantage.llm.crosspolytope import Rotations, hadamard, nearest, search
 
 
 def brute(rows, every=100, k=10):
@@ -78,3 +78,25 @@ def test_queries_whose_buckets_are_empty_are_searched_exactly(spark):
         want, got = brute(rows), collect(search(df, block=64))
         assert got.keys() == want.keys() and got[0][0] == want[0][0]
         assert np.allclose(got[0][1], want[0][1]) and all(len(got[i][0]) == len(want[i][0]) for i in want)
+
+
+def test_nearest_keeps_the_smaller_id_of_ties_and_measures_exactly():
+    axes = np.concatenate((np.eye(64), -np.eye(64)))
+    rng = np.random.default_rng(2)
+    far = 1e8 + rng.normal(size=(200, 3))
+    for q, x in ((np.full((3, 64), 1 / 8), axes), (far[:5], far), (np.array([[1e200, 0.0]]), np.array([[1e200, 1.0], [-1e200, 0.0], [1e200, 0.5]])), (rng.normal(size=(4, 2)), np.zeros((0, 2)))):
+        gid = rng.permutation(len(x))
+        with np.errstate(over="ignore"):
+            norms = (x * x).sum(1)
+        row, col, exact = nearest(q, x, norms, gid, 10)
+        for i, v in enumerate(q):
+            with np.errstate(over="ignore"):
+                want = sorted(zip(np.sqrt(((v - x) ** 2).sum(1)).tolist(), gid.tolist()))[:10]
+            assert list(zip(exact[row == i].tolist(), gid[col[row == i]].tolist())) == want
+
+
+def test_six_rows_have_all_their_neighbours(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=64).tolist()) for i in range(6)]
+    got = collect(search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert got[0][0] == brute(rows)[0][0] and len(got[0][0]) == 5

@@ -62,6 +62,29 @@ def _hash(rotations: Rotations, probes: int):
     return run
 
 
+def nearest(q: np.ndarray, x: np.ndarray, norms: np.ndarray, gid: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``q``, rows of ``x`` and distances of the ``keep`` nearest to each query, ties to the smaller ``gid``.
+
+    A matrix product finds who may be among them: all whose rounded distance is not above the ``keep``-th
+    smallest by more than rounding can be. Those are measured exactly and sorted. Where numbers are
+    too large for the product, all are measured.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        own = (q * q).sum(1)
+        rough = norms + own[:, None] - 2 * (q @ x.T)
+        if keep < len(x) and np.isfinite(rough).all():
+            slack = 8 * (q.shape[1] + 4) * np.finfo(float).eps * (norms.max() + own)
+            row, col = np.nonzero(rough <= (np.partition(rough, keep - 1, axis=1)[:, keep - 1] + slack)[:, None])
+        else:
+            row, col = np.divmod(np.arange(len(q) * len(x)), max(1, len(x)))
+        exact = np.concatenate([np.zeros(0), *[np.sqrt(((q[row[i : i + 65536]] - x[col[i : i + 65536]]) ** 2).sum(1)) for i in range(0, len(row), 65536)]])
+    order = np.lexsort((gid[col], exact, row))
+    row, col, exact = row[order], col[order], exact[order]
+    first = np.searchsorted(row, row)
+    best = np.arange(len(row)) - first < keep
+    return row[best], col[best], exact[best]
+
+
 def _nearest(dim: int, keep: int):
     """The ``keep`` nearest vectors of a bucket to each query probing it, by exact distance."""
 
@@ -73,16 +96,10 @@ def _nearest(dim: int, keep: int):
         gid = index.column("gid").to_numpy()
         q = _matrix(queries.column("vec").combine_chunks(), dim)
         q1, q2 = queries.column("k1").to_numpy(), queries.column("k2").to_numpy()
-        norms, take, parts = (x * x).sum(1), min(len(x), 2 * keep), []
+        norms, parts = (x * x).sum(1), []
         for at in range(0, len(q), 512):
-            some = q[at : at + 512]
-            rough = norms - 2 * some @ x.T
-            near = np.argpartition(rough, take - 1, axis=1)[:, :take] if take < len(x) else np.tile(np.arange(len(x)), (len(some), 1))
-            exact = np.sqrt(((some[:, None] - x[near]) ** 2).sum(2))
-            order = np.lexsort((gid[near], exact), axis=1)[:, :keep]
-            near, exact = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
-            rows = np.repeat(np.arange(at, at + len(some)), near.shape[1])
-            parts.append((q1[rows], q2[rows], gid[near.ravel()], exact.ravel()))
+            row, col, exact = nearest(q[at : at + 512], x, norms, gid, keep)
+            parts.append((q1[at + row], q2[at + row], gid[col], exact))
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=out)
 
     return run
@@ -93,7 +110,7 @@ def search(
     every: int = 100,
     k: int = 10,
     tables: int = 8,
-    probes: int = 24,
+    probes: int = 12,
     block: int = 8192,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
@@ -110,7 +127,8 @@ def search(
     one with fewer than ``k`` candidates gets all of them. An empty table gives an empty table; other columns are ignored.
 
     Equal vectors are searched as one, with their ``k`` + 1 smallest ids, which is all a query
-    can need of them. Large buckets are cut into blocks of about ``block`` vectors that are searched apart.
+    can need of them. A bucket's rows, and the queries that look into it, are cut into blocks of about
+    ``block`` vectors; each task compares one block with another.
     """
     kept = "array<float>" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"  # floats move as they are; distances are of doubles
     vec = F.col(vec_col).cast(kept)
@@ -131,22 +149,28 @@ def search(
     asked = materialize(rows.filter(F.col("vec_id") % every == 0).select("vec_id", "k1", "k2", "vec").dropDuplicates(["vec_id", "k1", "k2"]), "asked")
     shape = f"k1 long, k2 long, gid long, vec {kept}, buckets array<int>"
     queries = asked.groupBy("k1", "k2").agg(F.min("vec_id").alias("gid"), F.first("vec").alias("vec")).select("k1", "k2", "gid", "vec").mapInArrow(_hash(rotations, probes), shape)
+    queries = materialize(queries, "probing")
 
-    posted = index.select("gid", "vec", F.posexplode("buckets").alias("tbl", "bucket"))
-    sizes = index.select(F.posexplode("buckets").alias("tbl", "bucket")).groupBy("tbl", "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = index.select("gid", "vec", F.posexplode("buckets").alias("tbl", "bucket"))
+    sizes = placed.groupBy("tbl", "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     sizes = F.broadcast(sizes)  # tables x signed axes rows at most
-    posted = posted.join(sizes, ["tbl", "bucket"]).withColumn("at", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
-    probing = (
-        queries.select("k1", "k2", "vec", F.posexplode("buckets").alias("i", "bucket"))
-        .withColumn("tbl", F.floor(F.col("i") / probes).cast("int"))
-        .join(sizes, ["tbl", "bucket"])
-        .select("k1", "k2", "vec", "tbl", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
-    )
+    wanted = queries.select("k1", "k2", "vec", F.posexplode("buckets").alias("i", "bucket")).withColumn("tbl", F.floor(F.col("i") / probes).cast("int"))
+
+    def met(wanted: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Queries and rows by bucket, in blocks of each: a query block meets every row block of its bucket."""
+        asking = F.broadcast(wanted.groupBy("tbl", "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("turns")))
+        both = sizes.join(asking, ["tbl", "bucket"])
+        probing = wanted.join(both, ["tbl", "bucket"]).withColumn("turn", F.pmod(F.xxhash64("k1", "k2"), F.col("turns")).cast("int"))
+        posted = placed.join(both, ["tbl", "bucket"]).withColumn("at", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
+        return (
+            probing.select("k1", "k2", "vec", "tbl", "bucket", "turn", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at")),
+            posted.select("gid", "vec", "tbl", "bucket", "at", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn")),
+        )
 
     def ranked(probing: DataFrame, posted: DataFrame) -> DataFrame:
         found = (
-            probing.groupBy("tbl", "bucket", "at")
-            .cogroup(posted.select("tbl", "bucket", "at", "gid", "vec").groupBy("tbl", "bucket", "at"))
+            probing.groupBy("tbl", "bucket", "at", "turn")
+            .cogroup(posted.groupBy("tbl", "bucket", "at", "turn"))
             .applyInArrow(_nearest(dim, k + 1), "q1 long, q2 long, gid long, score double")
             .groupBy("q1", "q2", "gid")
             .agg(F.min("score").alias("score"))
@@ -164,13 +188,13 @@ def search(
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
         return pairs.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    first = materialize(ranked(probing, posted), "ranked")
+    first = materialize(ranked(*met(wanted, placed)), "ranked")
     want = min(k, rows.select("vec_id").distinct().limit(k + 1).count() - 1)
     full = first.groupBy("query_id").count().filter(F.col("count") >= want).select("query_id") if want > 0 else asked.select(F.col("vec_id").alias("query_id"))
     short = materialize(asked.join(full, F.col("vec_id") == F.col("query_id"), "left_anti"), "short")
     if short.isEmpty():
         return first
     everywhere = short.dropDuplicates(["k1", "k2"]).join(F.broadcast(sizes.filter("tbl = 0")))  # every row is in a bucket of table 0
-    everywhere = everywhere.select("k1", "k2", "vec", "tbl", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
-    rest = ranked(everywhere, posted.filter("tbl = 0")).join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_semi")
+    everywhere = materialize(everywhere.select("k1", "k2", "vec", "tbl", "bucket"), "everywhere")
+    rest = ranked(*met(everywhere, placed.filter("tbl = 0"))).join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_semi")
     return first.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(rest)
