@@ -50,16 +50,17 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def join_once(rows: DataFrame, lookup: DataFrame, key: str, count: str, per: int = 100_000) -> DataFrame:
+def join_once(rows: DataFrame, lookup: DataFrame, keys: str | list[str], count: str, per: int = 100_000) -> DataFrame:
     """Inner join of ``rows`` with ``lookup``, which has one row a key and says in ``count`` how many rows have it.
 
     Keys of more than ``per`` rows are parted among salts, so no task gets all the rows of one. There
     are at most rows / ``per`` such keys, which is what is broadcast.
     """
+    keys = [keys] if isinstance(keys, str) else keys
     salts = F.ceil(F.col(count) / per).cast("int")
-    hot = lookup.filter(F.col(count) > per).select(key, salts.alias("salts"))
-    left = rows.join(F.broadcast(hot), key, "left")
-    others = [c for c in rows.columns if c != key] or [key]
+    hot = lookup.filter(F.col(count) > per).select(*keys, salts.alias("salts"))
+    left = rows.join(F.broadcast(hot), keys, "left")
+    others = [c for c in rows.columns if c not in keys] or keys
     left = left.withColumn("salt", F.pmod(F.xxhash64(*others), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
     right = lookup.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return left.join(right.drop(count), [key, "salt"]).drop("salt")
+    return left.join(right.drop(count), [*keys, "salt"]).drop("salt")
