@@ -1,8 +1,11 @@
+import re
+
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from vantage.llm.common import join_once
 from vantage.llm.components import connected_components
 from vantage.llm.linededup import dedup_units, text_units
 from vantage.llm.simhash import WIDE, ByteIndex, fingerprint, keep_one, link_fingerprints, link_nodes, near_duplicates, shared_bytes, simhash_components, words_of
@@ -187,62 +190,95 @@ def test_a_large_group_is_compared_in_blocks(spark):
     assert all(len(s) == 1 for s in same.values()) and len({min(s) for s in same.values()}) == len(same)
 
 
-def slow_dedup(rows, min_words):
-    places = []
-    for d, t in rows:
-        for s, e, digest in text_units(t or "", min_words):
-            if digest:
-                places.append((digest, d, s, e))
-    first = {}
-    for digest, d, s, _ in places:
-        first[digest] = min(first.get(digest, (d, s)), (d, s))
-    return {(d, s) for digest, d, s, _ in places if first[digest] != (d, s)}
+def slow_units(text, min_words):
+    """Units word by word: ``[start, end, words]``."""
+    out, base = [], 0
+    for line in (text or "").split("\n"):
+        unit, sentence = [], 0
+        for m in re.finditer(r"\S+", line):
+            unit.append(m)
+            sentence += 1
+            if set(m[0]) & set(".!?"):
+                if sentence >= min_words:
+                    out.append(unit)
+                    unit = []
+                sentence = 0
+        out.append(unit)
+        for i, u in enumerate(out):
+            if u and not isinstance(u, tuple):
+                out[i] = (base + u[0].start(), base + u[-1].end(), [x[0].lower() for x in u])
+        base += len(line) + 1
+    return [u for u in out if u]
+
+
+def slow_dedup(rows, min_words, min_run):
+    """Removed units and kept text of each id, by walking the corpus in the order of ids."""
+    seen, out = set(), {}
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        units = slow_units(t, min_words)
+        again = []
+        for s, e, w in units:
+            again.append(tuple(w) in seen)
+            seen.add(tuple(w))
+        gone, i = [], 0
+        while i < len(units):
+            j = i
+            while j < len(units) and again[j]:
+                j += 1
+            run = list(range(i, j))
+            while run and len(units[run[0]][2]) < min_words:
+                del run[0]
+            while run and len(units[run[-1]][2]) < min_words:
+                del run[-1]
+            if run and sum(len(units[x][2]) for x in run) >= min_run:
+                gone.append((units[run[0]][0], units[run[-1]][1], len(run)))
+            i = j + 1
+        left = t
+        for s, e, _ in reversed(gone):
+            left = left[:s] + left[e:]
+        out[d] = sum(n for *_, n in gone), [(s, e) for s, e, _ in gone], left
+    return out
 
 
 def test_units_cover_the_words():
     text = "First sentence here. Second one!  third\n\n  Fourth line, no end\nlast."
-    spans = [(s, e) for s, e, _ in text_units(text, 3)]
-    assert [text[s:e] for s, e in spans] == ["First sentence here.", "Second one!", "third", "Fourth line, no end", "last."]
-    digests = [d for *_, d in text_units("a b. c d e f", 5)]
-    assert digests[0] is None and digests[1] is not None
+    assert [text[s:e] for s, e, *_ in text_units(text, 3)] == ["First sentence here.", "Second one!  third", "Fourth line, no end", "last."]
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        text = "".join(rng.choice(list("ab .!?\n\t\u2003é"), 80))
+        assert [(s, e, n) for s, e, n, _ in text_units(text, 2)] == [(s, e, len(w)) for s, e, w in slow_units(text, 2)]
+    same = [d for *_, d in text_units("x y. A b C d. e\nq", 3)][1:] , [d for *_, d in text_units("a B c D.\n", 3)]
+    assert same[1][0] not in same[0]  # after a short sentence in its line it is another unit
 
 
-def test_dedup_of_documents(documents):
+@pytest.mark.parametrize("min_words, min_run", [(8, 30), (1, 1), (3, 10)])
+def test_dedup_of_documents(documents, min_words, min_run):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
-    gone = slow_dedup(rows, 8)
-    texts = dict(rows)
-    for r in dedup_units(documents).collect():
-        mine = sorted(s for d, s in gone if d == r.doc_id)
-        assert r.n_removed == len(mine)
-        left, at = "", 0
-        for span in r.removed:
-            left += texts[r.doc_id][at : span.start]
-            at = span.end
-        assert r.kept_text == left + texts[r.doc_id][at:]
-        assert all(any(x.start <= s < x.end for x in r.removed) for s in mine)
+    want = slow_dedup(rows, min_words, min_run)
+    got = {r.doc_id: (r.n_removed, [(x.start, x.end) for x in r.removed], r.kept_text) for r in dedup_units(documents, min_words, min_run).collect()}
+    assert got == want and any(n for n, *_ in want.values())
 
 
 def test_dedup_passage_in_the_middle_of_a_line(spark):
-    passage = "Here a passage starts that many texts share word for word. It has a second sentence which goes on for a while too. And a third one follows at the very end of it."
-    rows = [(i, f"Text number {i} has {i} things to say {passage} and then {i} other things come at {i}.") for i in range(5)]
-    got = {r.doc_id: r for r in dedup_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[0].n_removed == 0 and got[0].kept_text == rows[0][1]
-    assert all("second sentence" not in got[i].kept_text and f"Text number {i}" in got[i].kept_text for i in range(1, 5))
-
-
-def test_dedup_short_lines_after_differing_text(spark):
-    lines = ["Released under the MIT license.", "Copyright 2020. All rights reserved.", "Read more", "Note. These are eight or more words of one sentence."]
-    rows = [(i, "\n".join(f"Something else number {i}{j} stands here\n{line}" for j, line in enumerate(lines))) for i in range(3)]
-    rows += [(3, "read  MORE"), (4, "Copyright 2020. Some rights reserved."), (5, "They read more")]
+    passage = "Here a passage starts that many texts of this corpus share word for word. It has a second sentence which goes on for a while too. Yes. And a third one follows, no shorter than the others, at the very end of it all."
+    rows = [(i, f"Text number {i} has {i} things to say to all who read this. {passage} and then {i} other things come at {i}.") for i in range(5)]
+    rows += [(9, "A short line that is here twice.\nOnce more it comes.\nA short line that is here twice."), (10, "A short line that is here twice.")]
     got = {r.doc_id: r for r in dedup_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[0].n_removed == 0 and got[3].kept_text == "" and got[4].n_removed == got[5].n_removed == 0
-    for i in (1, 2):
-        assert got[i].kept_text.split() == " ".join(f"Something else number {i}{j} stands here" for j in range(4)).split() and got[i].n_removed == 6
+    assert got[0].n_removed == got[9].n_removed == got[10].n_removed == 0 and got[0].kept_text == rows[0][1]
+    for i in range(1, 5):
+        assert got[i].kept_text == rows[i][1].replace(passage, "") and got[i].n_removed == 3
 
 
 def test_dedup_messy_and_empty(messy, messy_rows, empty):
-    out = dedup_units(messy).collect()
+    out = dedup_units(messy, min_run=8).collect()
     assert len(out) == len(messy_rows)
     assert next(r for r in out if r.doc_id == 4).kept_text is None
     assert [r.n_removed for r in out if r.doc_id == 1] == [0] and [r.n_removed for r in out if r.doc_id == 2] == [2]
     assert dedup_units(empty).collect() == []
+
+
+def test_a_very_common_unit_is_joined_in_parts(spark):
+    units = spark.range(1000).selectExpr("id % 3 as d1", "id as place")
+    lookup = spark.createDataFrame([(0, 334, "zero"), (1, 333, "one"), (5, 1, "none")], "d1 long, n long, name string")
+    got = join_once(units, lookup, "d1", "n", per=50).groupBy("name").count().collect()
+    assert {r["name"]: r["count"] for r in got} == {"zero": 334, "one": 333}
