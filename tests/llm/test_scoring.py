@@ -5,7 +5,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from vantage.llm.brown import END, _association, exchange_classes, score_texts, tokens_of, transition_table
+from vantage.llm import brown
+from vantage.llm.brown import END, _association, class_counts, class_information, exchange_classes, score_texts, tokens_of, transition_table
 
 
 def expected_base(rows):
@@ -67,7 +68,12 @@ def test_exchange_finds_the_blocks(spark):
     pairs = spark.createDataFrame(rows, "a long, b long, n long")
     best = None
     for sizes in ([50, 49, 48, 47, 46, 30, 31, 32, 33, 34, 5], [9, 1, 8, 2, 7, 3, 6, 4, 5, 0, 1]):
-        got = exchange_classes(pairs, np.array(sizes), 3, 12, 10)
+        got, matrix = exchange_classes(pairs, np.array(sizes), 3, 12, 10)
+        began = np.empty(11, int)
+        began[np.argsort(-np.array(sizes), kind="stable")] = np.arange(11) % 2
+        began[10] = 2
+        assert class_information(matrix) >= class_information(class_counts(pairs, began, 3)) - 1e-12
+        assert np.array_equal(matrix, class_counts(pairs, got, 3))
         assert got[10] == 2 and 2 not in got[:10]
         best = best or (len(set(got[:5])) == 1 and len(set(got[5:10])) == 1 and got[0] != got[5])
     assert best
@@ -80,3 +86,51 @@ def test_association_is_finite():
 @pytest.mark.parametrize("text,n", [(None, 1), ("", 1), ("a", 2)])
 def test_lengths(text, n):
     assert len(tokens_of(text)) == n
+
+
+def test_scores_are_those_of_a_plain_model(spark, monkeypatch, documents):
+    """All words in given classes; transitions, discounted emissions and new words by plain counting."""
+    k, strength = 5, 50.0
+    rows = [(r.doc_id, " ".join((r.text or "").split()[:60])) for r in documents.limit(60).collect()]
+    of = lambda w: k - 1 if w == END else zlib.crc32(w) % (k - 1)
+
+    def given(pairs, sizes, classes, rounds, fixed):
+        words = sorted({END, *(w for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2 for w in tokens_of(t))})
+        found = np.array([of(w) for w in words])
+        return found, class_counts(pairs, found, k)
+
+    monkeypatch.setattr(brown, "exchange_classes", given)
+    got = {r.doc_id: r.score for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string"), classes=k, share=0.0, strength=strength).collect()}
+    learned = [tokens_of(t) for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    n = Counter(w for t in learned for w in t)
+    once, twice = sum(c == 1 for c in n.values()), sum(c == 2 for c in n.values())
+    discount = min(max(once / (once + 2 * twice), 0.05), 0.95)
+    tokens, words = Counter(), Counter()
+    for w, c in n.items():
+        tokens[of(w)] += c
+        words[of(w)] += 1
+    moves = Counter((of(a), of(b)) for t in learned for a, b in zip([END, *t], t))
+    total, into, out = sum(moves.values()), Counter(), Counter()
+    for (a, b), c in moves.items():
+        into[b] += c
+        out[a] += c
+    move = lambda a, b: (moves[a, b] + strength * (into[b] + 1) / (total + k)) / (out[a] + strength)
+    new = lambda c: 0.0 if c == k - 1 else discount * words[c] / tokens[c] if tokens[c] else 1.0
+    for d, t in rows:
+        at, score = k - 1, 0.0
+        for w in tokens_of(t):
+            if n[w]:
+                c = of(w)
+                score += math.log10(move(at, c) * (n[w] - (0 if c == k - 1 else discount)) / tokens[c])
+                at = c
+            else:
+                chances = [move(at, c) * new(c) for c in range(k)]
+                score += math.log10(sum(chances))
+                at = int(np.argmax(chances))
+        assert abs(score - got[d]) < 1e-6 * max(1, abs(score))
+
+
+def test_long_texts_are_chunks_of_their_own(spark, documents):
+    docs = documents.limit(40)
+    key = lambda rows: sorted((r.doc_id, r.n_tokens, r.n_known, round(r.score, 6)) for r in rows)
+    assert key(score_texts(docs, classes=4, rounds=1).collect()) == key(score_texts(docs, classes=4, rounds=1, chunk_rows=3, long_bytes=500).collect())

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,12 +25,15 @@ def tokens_of(text: str | None) -> list[bytes]:
     return out
 
 
+def _strings(words: Iterable[bytes]) -> pa.Array:
+    return pa.array(list(words), pa.binary()).cast(pa.string())
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
     def out():
-        words = pa.array([w.decode("utf-8", "surrogatepass") for w in counts], pa.string())
-        return pa.RecordBatch.from_arrays([words, pa.array(counts.values(), pa.int64())], names=["word", "n"])
+        return pa.RecordBatch.from_arrays([_strings(counts), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
     for batch in batches:
         for text in batch.column(0):
@@ -121,22 +124,37 @@ def _association(matrix: np.ndarray) -> np.ndarray:
     return np.log(m) - np.log(m.sum(1, keepdims=True)) - np.log(m.sum(0, keepdims=True))
 
 
-def exchange_classes(pairs: DataFrame, sizes: np.ndarray, k: int, rounds: int, fixed: int) -> np.ndarray:
-    """Class of each frequent word; word ``fixed`` keeps the last class to itself.
+def class_information(matrix: np.ndarray) -> float:
+    """Mutual information of neighbouring classes, in nats a token, from their counts: what exchange raises."""
+    total = matrix.sum()
+    if not total:
+        return 0.0
+    expected = np.outer(matrix.sum(1), matrix.sum(0)) / total
+    on = matrix > 0
+    return float((matrix[on] * np.log(matrix[on] / expected[on])).sum() / total)
+
+
+def class_counts(pairs: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
+    matrix = np.zeros(k * k)
+    for row in pairs.mapInArrow(_class_matrix(classes, k), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        matrix[row["id"]] = row["n"]
+    return matrix.reshape(k, k)
+
+
+def exchange_classes(pairs: DataFrame, sizes: np.ndarray, k: int, rounds: int, fixed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each frequent word, and the counts of neighbouring classes; word ``fixed`` keeps the last class to itself.
 
     In a round, every other word in turn is put where the mutual information of neighbouring classes
-    gains most, given the classes of the words around it. Only class counts (k x k) and the words'
+    gains most, given the classes of the words around it. Words of a round move at once, so the
+    information is counted anew after each; a round that lowers it is undone. Only class counts (k x k) and the words'
     new classes come to the driver; what stands around a word is gathered by word on the executors.
     """
     classes = np.empty(len(sizes), np.int64)
     classes[np.argsort(-sizes, kind="stable")] = np.arange(len(sizes)) % (k - 1)
     classes[fixed] = k - 1
+    matrix, still = class_counts(pairs, classes, k), 0
     for r in range(rounds):
-        counts = pairs.mapInArrow(_class_matrix(classes, k), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-        matrix = np.zeros(k * k)
-        for row in counts:
-            matrix[row["id"]] = row["n"]
-        link = _association(matrix.reshape(k, k))
+        link = _association(matrix)
         gain = np.concatenate((link, link.T))
         gain[:, k - 1] = -1e9
         around = (
@@ -144,14 +162,21 @@ def exchange_classes(pairs: DataFrame, sizes: np.ndarray, k: int, rounds: int, f
             .groupBy("w", "c").agg(F.sum("n").alias("n"))
             .groupBy("w").agg(F.collect_list(F.struct("c", "n")).alias("seen"))  # at most 2k contexts
         )
-        moved = 0
+        new = classes.copy()
         for row in around.filter(F.pmod(F.xxhash64("w"), F.lit(2)) == r % 2).mapInArrow(_best_class(gain, 1), "w long, cls int").collect():
-            if row["w"] != fixed and classes[row["w"]] != row["cls"]:
-                classes[row["w"]] = row["cls"]
-                moved += 1
-        if not moved and r:
+            if row["w"] != fixed:
+                new[row["w"]] = row["cls"]
+        if (new == classes).all():
+            still += 1
+        else:
+            after = class_counts(pairs, new, k)
+            if class_information(after) >= class_information(matrix):
+                classes, matrix, still = new, after, 0
+            else:
+                still += 1
+        if still == 2:  # neither half of the words has anything to gain
             break
-    return classes
+    return classes, matrix
 
 
 def _left_classes(index: dict[bytes, int], classes: np.ndarray, k: int):
@@ -162,7 +187,7 @@ def _left_classes(index: dict[bytes, int], classes: np.ndarray, k: int):
         counts: Counter = Counter()
 
         def out():
-            words = pa.array([w.decode("utf-8", "surrogatepass") for w, _ in counts], pa.string())
+            words = _strings(w for w, _ in counts)
             c = pa.array([c for _, c in counts], pa.int32())
             return pa.RecordBatch.from_arrays([words, c, pa.array(counts.values(), pa.int64())], names=["word", "c", "n"])
 
@@ -180,20 +205,24 @@ def _left_classes(index: dict[bytes, int], classes: np.ndarray, k: int):
 
 
 def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of each chunk as far as its rows come together; a long text is a chunk of its own."""
     held, words = None, set()
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array([held] * len(words), pa.int64()), pa.array([w.decode("utf-8", "surrogatepass") for w in words], pa.string())], names=["chunk", "word"])
+    def out(chunk: int, words: set):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), chunk)), _strings(words)], names=["chunk", "word"])
 
     for batch in batches:
         for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if chunk < 0:
+                yield out(chunk, set(tokens_of(text.as_py())))
+                continue
             if chunk != held:
                 if words:
-                    yield out()
+                    yield out(held, words)
                 held, words = chunk, set()
             words.update(tokens_of(text.as_py()))
     if words:
-        yield out()
+        yield out(held, words)
 
 
 @dataclass
@@ -212,7 +241,7 @@ def _sequences(sizes: Sizes):
     """Texts and words of a chunk to one row a text: classes in order (0: unknown), and sums over known words."""
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        names = [w.encode("utf-8", "surrogatepass") for w in words.column("word").to_pylist()]
+        names = words.column("word").cast(pa.binary()).to_pylist()
         c = np.nan_to_num(words.column("n").to_numpy().astype(float)).astype(np.int64)
         cls = np.nan_to_num(words.column("cls").to_numpy().astype(float), nan=-1).astype(np.int64)
         index = dict(zip(names, range(len(names))))
@@ -224,8 +253,8 @@ def _sequences(sizes: Sizes):
         emit[known] = np.log10((c[known] - off[known]) / sizes.class_tokens[cls[known]])
         code = np.where(known, cls + 1, 0).astype(np.uint8)
         out: dict[str, list] = {x: [] for x in ("n_tokens", "n_known", "base_score", "emitted", "classes")}
-        for text in docs.column("text").to_pylist():
-            t = tokens_of(text)
+        for text in docs.column("text"):
+            t = tokens_of(text.as_py())
             ids = np.fromiter(map(index.__getitem__, t), np.int64, len(t))
             out["n_tokens"].append(len(t))
             out["n_known"].append(int(known[ids].sum()))
@@ -304,6 +333,8 @@ def score_texts(
     modulus: int = 7,
     held: int = 2,
     chunk_rows: int = 4096,
+    long_bytes: int = 1 << 16,
+    stable: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -321,13 +352,17 @@ def score_texts(
     learned from, and not held out. Equal rows are scored each on its own. With nothing to learn from,
     score is base_score. An empty table gives an empty table; other columns are ignored.
 
-    Words of a text are looked up by a join: the texts of a scan are taken in chunks, whose distinct
-    words meet the word table and come back with their chunk, so no task holds the vocabulary.
+    Words of a text are looked up by a join: texts are taken in chunks of ``chunk_rows`` rows, whose distinct
+    words meet the word table and come back with their chunk, so no task holds the vocabulary. A text of more
+    than ``long_bytes`` is a chunk of its own, which bounds the bytes of the others. Texts are written first,
+    so that a repeated task sees the same chunks, unless they are ``stable``: read from a table as it is.
     """
     mod = F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumns(
         {"held_out": F.coalesce(mod == held, F.lit(False)), "learned": F.coalesce(mod != held, F.lit(False))}
     )
+    if not stable:
+        rows = materialize(rows, "texts")
     kind = rows.schema["doc_id"].dataType.simpleString()
     learn = rows.filter("learned").select("text")
 
@@ -340,12 +375,8 @@ def score_texts(
 
     pairs = learn.mapInArrow(_pair_counts(index), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     pairs = materialize(pairs, "pairs")
-    of = exchange_classes(pairs, sizes, classes, rounds, index[END])
+    of, matrix = exchange_classes(pairs, sizes, classes, rounds, index[END])
 
-    matrix = np.zeros(classes * classes)
-    for row in pairs.mapInArrow(_class_matrix(of, classes), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        matrix[row["id"]] = row["n"]
-    matrix = matrix.reshape(classes, classes)
     gain = np.concatenate((_association(matrix), np.log((matrix.sum(0) + 1) / (matrix.sum() + classes))[None]))
     gain[:, classes - 1] = -1e9
     left = learn.mapInArrow(_left_classes(index, of, classes), "word string, c int, n long").repartition("word")
@@ -359,8 +390,8 @@ def score_texts(
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in choose(batches):
             cls = batch.column(2).to_pylist()
-            for i, w in enumerate(batch.column(0).to_pylist()):
-                if (own := given.get(w.encode("utf-8", "surrogatepass"))) is not None:
+            for i, w in enumerate(batch.column(0).cast(pa.binary()).to_pylist()):
+                if (own := given.get(w)) is not None:
                     cls[i] = own
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cls, pa.int32())], names=["word", "n", "cls"])
 
@@ -372,7 +403,8 @@ def score_texts(
     discount = min(max(n1 / (n1 + 2 * n2), 0.05), 0.95) if n1 + n2 else 0.5
     totals = Sizes(tokens, distinct, discount, class_tokens, class_words, classes)
 
-    chunked = rows.withColumn("chunk", F.floor(F.monotonically_increasing_id() / chunk_rows))
+    place = F.monotonically_increasing_id()
+    chunked = rows.withColumn("chunk", F.when(F.octet_length("text") > long_bytes, -1 - place).otherwise(F.floor(place / chunk_rows)))
     wanted = chunked.select("chunk", "text").mapInArrow(_chunk_words, "chunk long, word string").distinct()
     found = wanted.join(words, "word", "left").select("chunk", "word", "n", "cls")
     ordered = chunked.select("chunk", "doc_id", "held_out", "learned", "text")

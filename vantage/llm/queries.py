@@ -19,7 +19,8 @@ from .simhash import simhash_components
 
 
 def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(table(spark, sf_dir, "documents"))
+    out = score_texts(table(spark, sf_dir, "documents"), stable=True)
+    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
 def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
