@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
-    """Edges both ways, weights within 0 and 1, no self loops; repeated edges stay."""
+    """Edges both ways, weights within 0 and 1, no self loops; of repeated edges, either way round, the largest weight."""
     e = edges.filter("u <> v").withColumn("w", F.least(F.greatest(F.col("w"), F.lit(0.0)), F.lit(1.0)))
-    return e.unionByName(e.select("scene", F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    both = e.unionByName(e.select("scene", F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    return both.groupBy("scene", "u", "v").agg(F.max("w").alias("w"))
 
 
 def neighbor_lists(nodes: DataFrame, edges: DataFrame, threshold: float, distinct: bool = True) -> DataFrame:
@@ -75,7 +76,9 @@ def samples_of(n: Column, per_sample: int) -> Column:
 
 def hashed(id_col: Column, seed: int) -> Column:
     """A repeatable order of ids that other engines can compute too."""
-    return F.pmod((id_col + F.lit(seed).cast("long")) * F.lit(2654435761), F.lit(2**32))
+    x, factor = id_col + F.lit(seed).cast("long"), F.lit(2654435761)
+    low, high = x.bitwiseAND(65535) * factor, F.shiftleft((F.shiftright(x, 16).bitwiseAND(65535) * factor).bitwiseAND(65535), 16)
+    return F.pmod(low + high, F.lit(2**32))  # the product modulo 2^32 in parts: no id is too large
 
 
 def epoch_plan(nodes: DataFrame, per_sample: int, seed: int = 0) -> DataFrame:
@@ -176,9 +179,9 @@ def triplets(anchors: DataFrame, nodes: DataFrame, edges: DataFrame, threshold:
 
 
 def collate_labels(samples: DataFrame) -> DataFrame:
-    """A sample's images carry its number; its last image 1000 plus that."""
+    """A sample's images carry its number; its last image a label that no sample has, -1 less that number."""
     last = F.max("slot").over(Window.partitionBy("sample"))
-    return samples.withColumn("label", F.when(F.col("slot") == last, 1000 + F.col("sample")).otherwise(F.col("sample")))
+    return samples.withColumn("label", F.when(F.col("slot") == last, -1 - F.col("sample")).otherwise(F.col("sample")))
 
 
 def scene_runs(rows: DataFrame, key: str, order: list[str], within: list[str] | None = None) -> DataFrame:

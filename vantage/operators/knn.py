@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.storage import materialize
 
 #: BLAS sums in another order than ours; what is this close is compared by our own sum.
 _CLOSE = 1e-9
@@ -74,8 +75,9 @@ def _counts(queries: DataFrame, gallery: DataFrame, block: int) -> tuple[int, in
 
 
 def prepare(df: DataFrame, metric: str, id_col: str = "id", vec_col: str = "v") -> DataFrame:
+    """``id`` and ``v``; rows with a null vector, or one with a null component, have no place in a search."""
     v = V.as_vector(vec_col)
-    return df.select(F.col(id_col).cast("long").alias("id"), (V.normalize(v) if metric == "cosine" else v).alias("v"))
+    return df.filter(F.col(vec_col).isNotNull() & F.forall(vec_col, lambda x: x.isNotNull())).select(F.col(id_col).cast("long").alias("id"), (V.normalize(v) if metric == "cosine" else v).alias("v"))
 
 
 def knn(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = False, block: int = 4096) -> DataFrame:
@@ -106,19 +108,21 @@ def _beaten(metric: str, exclude_self: bool):
             return schema.empty_table()
         q, x = _matrix(queries, "v"), _matrix(gallery, "v")
         qid, gid = queries.column("id").to_numpy(), gallery.column("id").to_numpy()
-        refs = queries.column("refs").to_pylist()
-        parts = []
+        refs, parts = queries.column("refs").combine_chunks(), []
+        by_id = np.argsort(gid, kind="stable")
         for at in range(0, len(q), 256):
             rough = _rough(q[at : at + 256], x, metric)
             for r in range(len(rough)):
-                want = np.array([d["dst"] for d in refs[at + r]], np.int64)
-                sims = np.array([d["sim"] for d in refs[at + r]])
+                mine = refs[at + r].values
+                want, sims = mine.field("dst").to_numpy(), mine.field("sim").to_numpy()
                 use = rough[r] if not exclude_self else np.where(gid == qid[at + r], -np.inf, rough[r])
                 order = np.sort(use)
                 hi = np.searchsorted(order, sims + _CLOSE, side="right")
                 lo = np.searchsorted(order, sims - _CLOSE, side="left")
                 better = len(use) - hi
-                for i in np.flatnonzero(hi > lo):
+                at_id = by_id[np.minimum(np.searchsorted(gid, want, sorter=by_id), len(gid) - 1)]
+                itself = (gid[at_id] == want) & (np.abs(use[at_id] - sims) <= _CLOSE)
+                for i in np.flatnonzero(hi - lo > itself):  # others this close
                     near = np.flatnonzero(np.abs(use - sims[i]) <= _CLOSE)
                     near = near[gid[near] != want[i]]
                     if len(near):
@@ -149,6 +153,7 @@ def pair_ranks(queries: DataFrame, gallery: DataFrame, pairs: DataFrame, metric:
         .join(gs.select(F.col("id").alias("dst"), F.col("v").alias("gv")), "dst")
         .select("src", "dst", sim.alias("sim"))
     )
+    stated = materialize(stated, "stated")
     listed = stated.groupBy("src").agg(F.collect_list(F.struct("dst", "sim")).alias("refs"))
     asked = qs.join(listed.withColumnRenamed("src", "id"), "id")
     q, g = _blocks(asked, "qb", nq, "gb", ng), _blocks(gs, "gb", ng, "qb", nq)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -231,19 +233,25 @@ def attention_map(q: DataFrame, k: DataFrame, dim: int) -> DataFrame:
     return s.withColumn("e", e).select("image_id", "head", "qpos", "kpos", (F.col("e") / F.sum("e").over(own)).alias("a"))
 
 
-def rotary(local: DataFrame, base: float = 100.0) -> DataFrame:
-    """Vectors turned by their place: the first half of the pairs by x, the second by y.
+def rotary(local: DataFrame, base: float = 100.0, height: int | None = None, width: int | None = None) -> DataFrame:
+    """Vectors turned by their place: the first half of the pairs by the row, the second by the column.
 
-    Angles are coordinate / base^(2 i / (D / 2)); each component i is paired with i + D / 2.
+    A row y of ``height`` lies at 2 (y + 1/2) / height - 1, a column likewise; where the grid's size is not
+    given it is that of the image's places. Angles are 2 pi times that over base^(2 i / (D / 2)); each component
+    i is paired with i + D / 2.
     """
+    sizes = local.groupBy("image_id").agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
+    rows = local.join(sizes, "image_id") if height is None or width is None else local
+    h, w = (F.col(c) if n is None else F.lit(n) for c, n in (("_h", height), ("_w", width)))
     d = F.size("v")
     half, quarter = F.floor(d / 2).cast("int"), F.floor(d / 4).cast("int")
+    down, along = 2 * (F.col("y") + 0.5) / h - 1, 2 * (F.col("x") + 0.5) / w - 1
 
     def turned(i):
         j = i % half
-        place = F.when(j < quarter, F.col("x")).otherwise(F.col("y"))
-        angle = place / F.pow(F.lit(base), (j % quarter) / quarter)
+        place = F.when(j < quarter, down).otherwise(along)
+        angle = 2 * math.pi * place / F.pow(F.lit(base), (j % quarter) / quarter)
         other = F.when(i < half, -F.get("v", i + half)).otherwise(F.get("v", i - half))
         return F.get("v", i) * F.cos(angle) + other * F.sin(angle)
 
-    return local.withColumn("v", F.transform(F.sequence(F.lit(0), d - 1), turned))
+    return rows.withColumn("v", F.transform(F.sequence(F.lit(0), d - 1), turned)).select(*local.columns)

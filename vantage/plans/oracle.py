@@ -212,7 +212,7 @@ h2 AS (SELECT DISTINCT o.scene, o.v AS idx, 2 AS hop FROM o JOIN h1 ON o.scene =
 seen AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2),
 alls AS (SELECT * FROM seen UNION ALL SELECT scene, idx, -1 FROM nodes WHERE (scene, idx) NOT IN (SELECT scene, idx FROM seen))
 SELECT scene, idx, hop FROM (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY hop < 0, hop, {_hash('idx', 2)}, idx) AS r FROM alls) WHERE r <= 16""",
-    "collate_labels": f"WITH {_NODES} SELECT scene AS sample, idx AS slot, CASE WHEN idx = max(idx) OVER (PARTITION BY scene) THEN 1000 + scene ELSE scene END AS label FROM nodes",
+    "collate_labels": f"WITH {_NODES} SELECT scene AS sample, idx AS slot, CASE WHEN idx = max(idx) OVER (PARTITION BY scene) THEN -1 - scene ELSE scene END AS label FROM nodes",
     "scene_runs": f"WITH {_RUNS} SELECT user_id, CAST(run AS BIGINT) AS run, min(scene) AS scene, count(*) AS n FROM runs GROUP BY user_id, run",
     "scene_batches": f"""WITH {_RUNS}, b AS (SELECT *, (row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) - 1) // 2 AS batch FROM runs)
 SELECT event_id, user_id, CAST(run AS BIGINT) AS run, batch FROM (SELECT *, count(*) OVER (PARTITION BY user_id, run, batch) AS c FROM b) WHERE c = 2""",
@@ -222,8 +222,8 @@ SELECT event_id, user_id, CAST(run AS BIGINT) AS run, batch FROM (SELECT *, coun
     "cross_view_pairs": f"WITH {_VIEWS} SELECT id, cls FROM vw WHERE view = 'drone' AND cls IN (SELECT cls FROM vw WHERE view = 'satellite' AND cls <> 4)",
     "multi_view_collate": f"WITH {_VIEWS} SELECT cls, id FROM vw WHERE id % 4 <> 1",
     "match_pairs": f"WITH {_N}, {_knn('k', 6)}{_MATCH} SELECT DISTINCT name_a, name_b FROM mp",
-    "match_pairs_capped": f"""WITH {_N}, {_knn('k', 9)}{_MATCH}, ft AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name_a, name_b ORDER BY src, rank) AS o FROM mp) WHERE o = 1)
-SELECT name_a, name_b FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY rank) AS c FROM ft) WHERE c <= 3""",
+    "match_pairs_capped": f"""WITH {_N}, {_knn('k', 9)}{_MATCH}, own AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY rank) AS c FROM mp)
+SELECT DISTINCT name_a, name_b FROM own WHERE c <= 3""",
     "pool_avg": f"WITH {_LOCAL}, {_D} SELECT image_id, CAST(i - 1 AS INT) AS i, round(avg(v[i]), 6) AS x FROM lo, d GROUP BY image_id, i",
     "pool_cls": f"WITH {_LOCAL}, {_D} SELECT image_id, CAST(i - 1 AS INT) AS i, round(v[i], 6) AS x FROM lo, d WHERE pos = 0",
     "pool_gem": f"WITH {_LOCAL}, {_D} SELECT image_id, CAST(i - 1 AS INT) AS i, round(x, 6) AS x FROM ({_gem('lo', 'image_id')})",
@@ -253,7 +253,8 @@ SELECT item, CAST(i - 1 AS INT) AS i, round(x / greatest(sqrt(sum(x * x) OVER (P
     "attention_mass": f"WITH {_PER_IMAGE} SELECT image_id AS head, pos, sum(abs(x)) OVER (PARTITION BY image_id ORDER BY abs(x), pos ROWS UNBOUNDED PRECEDING) / sum(abs(x)) OVER (PARTITION BY image_id) > 0.5 AS kept FROM sc",
     "attention_map": f"""WITH {_LOCAL}, s AS (SELECT a.image_id, a.pos AS qpos, b.pos AS kpos, list_inner_product(a.v, b.v) / 8 AS s FROM lo a JOIN lo b ON a.image_id = b.image_id),
 e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY image_id, qpos)) AS e FROM s) SELECT image_id, 0 AS head, qpos, kpos, round(e / sum(e) OVER (PARTITION BY image_id, qpos), 6) AS a FROM e""",
-    "rotary_embedding": f"""WITH {_LOCAL}, {_D}, a AS (SELECT image_id, pos, v, i, (CASE WHEN (i - 1) % 32 < 16 THEN pos % 8 ELSE pos // 8 END) / pow(100.0, ((i - 1) % 16) / 16.0) AS t FROM lo, d)
+    "rotary_embedding": f"""WITH {_LOCAL}, {_D}, hw AS (SELECT image_id, max(pos // 8) + 1 AS h, max(pos % 8) + 1 AS w FROM lo GROUP BY image_id),
+a AS (SELECT image_id, pos, v, i, 2 * pi() * (CASE WHEN (i - 1) % 32 < 16 THEN 2 * (pos // 8 + 0.5) / h - 1 ELSE 2 * (pos % 8 + 0.5) / w - 1 END) / pow(100.0, 2 * ((i - 1) % 16) / 32.0) AS t FROM lo JOIN hw USING (image_id), d)
 SELECT image_id, pos, CAST(i - 1 AS INT) AS i, round(v[i] * cos(t) + (CASE WHEN i <= 32 THEN -v[i + 32] ELSE v[i - 32] END) * sin(t), 6) AS x FROM a""",
     "loss_supcon": _supcon("1.0"),
     "loss_supcon_soft": _supcon("(ov * ov)"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 
+_LOG = logging.getLogger(__name__)
+
 
 def require_columns(df: DataFrame, names: list[str], what: str) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
@@ -83,11 +86,15 @@ def image_names(index: DataFrame, listing: DataFrame | None = None) -> DataFrame
 
 
 def find_images(spark: SparkSession, roots: list[str], extensions: tuple[str, ...] = (".jpg", ".jpeg", ".png")) -> DataFrame:
-    """Sorted paths below the roots with one of the extensions in any case; contents are not read."""
-    out = None
+    """Sorted paths below the roots with one of the extensions in any case; contents are not read. A root that is not there is passed over with a warning."""
+    out = spark.createDataFrame([], "path string")
     for root in roots:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            _LOG.warning("no folder %s", root)
+            continue
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-        out = files if out is None else out.unionByName(files)
+        out = out.unionByName(files)
     return out.filter(P.has_extension(F.col("path"), list(extensions))).distinct().orderBy("path")
 
 
