@@ -90,13 +90,13 @@ def test_long_chain_and_hub(spark):
 
 
 def slow_wide(text):
-    """The 256-bit fingerprint over five words, bit by bit."""
+    """The 512-bit fingerprint over five words, bit by bit."""
     words = (text or "").encode().lower().split()
     if not words:
         return 0
     out, full = 0, 2**64 - 1
     h = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 5]), 42) for i in range(max(1, len(words) - 4))]
-    for lane in range(4):
+    for lane in range(8):
         values = []
         for x in h:
             if lane:
@@ -113,7 +113,7 @@ def slow_wide(text):
 
 def slow_kept(rows):
     """First id of each component, every pair of texts compared; rows are (id, text) with distinct ids."""
-    prints = [slow_wide(t).to_bytes(32, "little") for _, t in rows]
+    prints = [slow_wide(t).to_bytes(64, "little") for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -124,9 +124,9 @@ def slow_kept(rows):
     choices = WIDE.choices()
     for i in range(len(rows)):
         for j in range(i):
-            same = {p for p in range(32) if prints[i][p] == prints[j][p]}
+            same = {p for p in range(64) if prints[i][p] == prints[j][p]}
             apart = sum((x ^ y).bit_count() for x, y in zip(prints[i], prints[j]))
-            if apart <= WIDE.radius and len(same) >= 3 and any(same.issuperset(c) for c in choices):
+            if apart <= WIDE.radius and len(same) >= 4 and any(same.issuperset(c) for c in choices):
                 parent[find(i)] = find(j)
     first = {}
     for i, (d, _) in enumerate(rows):

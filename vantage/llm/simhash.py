@@ -40,19 +40,11 @@ class ByteIndex:
         every = list(combinations(range(8 * self.lanes), self.matches))
         return every if self.tables is None else random.Random(7).sample(every, self.tables)
 
-    def masks(self) -> list[list[int]]:
-        """For each choice of positions, the bits of each lane that it reads."""
-        out = []
-        for chosen in self.choices():
-            lane = [sum(255 << 8 * (p % 8) for p in chosen if p // 8 == i) for i in range(self.lanes)]
-            out.append([m - (1 << 64) if m >> 63 else m for m in lane])
-        return out
-
 
 #: Links at 4 bits of 64 share 4 of 8 bytes at least: a changed bit touches one byte.
 EXACT = ByteIndex()
-#: Links at 46 bits of 256: about what texts with 0.8 of their shingles in common differ by, and no guarantee.
-WIDE = ByteIndex(lanes=4, matches=3, radius=46, tables=160)
+#: Links at 90 bits of 512: texts with 0.8 of their shingles in common differ by 78 in the mean. No guarantee.
+WIDE = ByteIndex(lanes=8, matches=4, radius=90, tables=320)
 
 
 def _lanes(h: np.ndarray, lanes: int) -> np.ndarray:
@@ -132,10 +124,24 @@ def linked(left: list[Column], right: list[Column], index: ByteIndex) -> Column:
 
 
 def _postings(nodes: DataFrame, index: ByteIndex) -> DataFrame:
-    """``(key, node)``: one row for each choice of positions; a key is the choice and the bytes there."""
-    masks = F.array(*[F.array(F.lit(n).cast("long"), *[F.lit(m).cast("long") for m in row]) for n, row in enumerate(index.masks())])
-    key = lambda m: F.xxhash64(m[0], *[F.col(f).bitwiseAND(m[i + 1]) for i, f in enumerate(_names(index.lanes))])
-    return nodes.select("node", F.explode(F.transform(masks, key)).alias("key"))
+    """``(key, node)``: one row for each choice of positions; a key is the choice's number and the bytes there."""
+    choices = np.array(index.choices())
+    if (len(choices) - 1).bit_length() + 8 * index.matches > 63:
+        raise ValueError("a posting's bytes and number do not fit 63 bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = np.arange(len(choices), dtype=np.int64) << 8 * index.matches
+        for batch in batches:
+            prints = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], 1).view(np.uint8)
+            for at in range(0, len(prints), 1024):
+                some = prints[at : at + 1024]
+                keys = np.tile(numbers, (len(some), 1))
+                for j in range(index.matches):
+                    keys |= some[:, choices[:, j]].astype(np.int64) << 8 * j
+                node = np.repeat(batch.column(0)[at : at + 1024].to_numpy(zero_copy_only=False), len(choices))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node)], names=["key", "node"])
+
+    return nodes.select("node", *_names(index.lanes)).mapInArrow(run, "key long, node long")
 
 
 def _with_lanes(rows: DataFrame, col: str, mark: str, nodes: DataFrame, index: ByteIndex) -> DataFrame:
@@ -145,11 +151,19 @@ def _with_lanes(rows: DataFrame, col: str, mark: str, nodes: DataFrame, index: B
     return rows.join(nodes.select(F.col("node").alias(col), *[F.col(f).alias(mark + f) for f in _names(index.lanes)]), col)
 
 
+def _joined(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``(node, root)`` after the roots of ``first`` have been linked as ``second`` says."""
+    over = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    wide = first.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return wide.unionByName(second.join(first.select("node"), "node", "left_anti").select("node", "root"))
+
+
 def link_nodes(nodes: DataFrame, index: ByteIndex, block: int = 256) -> DataFrame:
     """Components ``(node, root)`` of distinct ``(node, f0, ..)`` that are linked; nodes without a link are absent.
 
-    First each member of a posting list is filtered and verified against the list's smallest member.
-    What that joins needs no further proof; the second pass takes only lists whose members are still in
+    Each member of a posting list is filtered and verified against the list's smallest member. Of these links
+    each node follows that to the smallest first; then those that still join different components count. What
+    they join needs no further proof. The last pass takes only lists whose members are still in
     different components, and of these only the pairs that are. It compares blocks of about ``block``
     members, block pair by block pair, so no task holds a long list. No link between
     different components is lost, and a group of copies never becomes all its pairs.
@@ -163,14 +177,21 @@ def link_nodes(nodes: DataFrame, index: ByteIndex, block: int = 256) -> DataFram
     left, right = [F.col("a" + f) for f in names], [F.col("b" + f) for f in names]
     pairs = shared.filter("a <> node").select("a", F.col("node").alias("b")).distinct()
     pairs = _with_lanes(_with_lanes(pairs, "b", "b", nodes, index), "a", "a", nodes, index)
-    first = connected_components(pairs.filter(linked(left, right, index)).select("a", "b"))
-    marked = shared.join(first, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    stars = materialize(pairs.filter(linked(left, right, index)).select("a", "b"), "stars")
+    found = materialize(connected_components(stars.groupBy("b").agg(F.min("a").alias("a"))), "roots")
+    ends = stars
+    for end in ("a", "b"):
+        ends = ends.join(found.select(F.col("node").alias(end), F.col("root").alias(f"{end}root")), end, "left").withColumn(f"{end}root", F.coalesce(f"{end}root", end))
+    more, figures = measured(ends.filter("aroot <> broot").select(F.col("aroot").alias("a"), F.col("broot").alias("b")).distinct(), "between", n=F.count(F.lit(1)))
+    if figures["n"]:
+        found = materialize(_joined(found, connected_components(more)), "roots")
+    marked = shared.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     open_, figures = measured(marked.join(mixed.filter("lo <> hi").drop("lo", "hi"), "key"), "open", n=F.count(F.lit(1)))
-    discard(shared)
-    discard(lists)
+    for done in (shared, lists, stars, more):
+        discard(done)
     if not figures["n"]:
-        return first
+        return found
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = open_.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
     dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "root")
@@ -183,10 +204,7 @@ def link_nodes(nodes: DataFrame, index: ByteIndex, block: int = 256) -> DataFram
     met = side("a").join(side("b"), ["key", "lo", "hi"]).filter(apart & linked(left, right, index))
     second = materialize(connected_components(met.select(F.col("aroot").alias("a"), F.col("broot").alias("b"))), "bridges")
     discard(open_)
-    over = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    wide = first.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    alone = second.join(first.select("node"), "node", "left_anti").select("node", "root")
-    return wide.unionByName(alone)
+    return _joined(found, second)
 
 
 def link_fingerprints(prints: DataFrame, radius: int = 4) -> DataFrame:
