@@ -36,3 +36,13 @@ def has_extension(path: Column, extensions: list[str]) -> Column:
 
 def unordered(a: Column, b: Column) -> tuple[Column, Column]:
     return F.least(a, b), F.greatest(a, b)
+
+
+def strip_wrappers(key: Column) -> Column:
+    """A parameter key without what training wrappers put before it: ``module.``, then ``model.``."""
+    return F.regexp_replace(F.regexp_replace(key, r"^module\.", ""), r"^model\.", "")
+
+
+def replace_prefix(key: Column, old: str, new: str) -> Column:
+    """``old`` at the start replaced by ``new``, where it is not there already."""
+    return F.when(key.startswith(old) & ~key.startswith(new), F.concat(F.lit(new), F.substr(key, F.lit(len(old) + 1)))).otherwise(key)

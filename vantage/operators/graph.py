@@ -241,3 +241,16 @@ def multi_view_sample(rows: DataFrame, anchor: str, others: list[str], n: int, s
 def multi_view_collate(samples: DataFrame) -> DataFrame:
     """Images and labels of samples with lists of ids by view; missing views give no row."""
     return samples.select("cls", F.explode("ids").alias("id")).filter("id is not null")
+
+
+def usable_scenes(nodes: DataFrame, edges: DataFrame, least: int = 1) -> DataFrame:
+    """``(scene, n, status)`` of every scene of either table: ok, or why it is passed over.
+
+    A scene needs ``least`` images, and its edges may name none that it does not have.
+    """
+    size = nodes.groupBy("scene").agg(F.count("*").alias("n"))
+    top = edges.groupBy("scene").agg(F.max(F.greatest("u", "v")).alias("_top"), F.min(F.least("u", "v")).alias("_low"))
+    rows = size.join(top, "scene", "full").withColumn("n", F.coalesce("n", F.lit(0)))
+    outside = (F.col("_top") >= F.col("n")) | (F.col("_low") < 0)
+    status = F.when(F.col("n") < least, "too few images").when(outside, "edge to no image").otherwise("ok")
+    return rows.select("scene", "n", status.alias("status"))

@@ -56,3 +56,29 @@ def bce_with_logits(rows: DataFrame) -> DataFrame:
 def total(main: DataFrame, aux: DataFrame, weight: float = 1.0) -> DataFrame:
     """Both parts (one row each, ``loss``) and their sum."""
     return main.select(F.col("loss").alias("main")).crossJoin(aux.select(F.col("loss").alias("aux"))).withColumn("loss", F.col("main") + weight * F.col("aux"))
+
+
+def multi_similarity_miner(pairs: DataFrame, epsilon: float = 0.1, pos_th: float = 0.25) -> DataFrame:
+    """The pairs worth learning from, with ``is_pos``: positives less similar than an anchor's most similar negative
+    plus ``epsilon``, negatives more similar than its least similar positive less that. Anchors need both kinds."""
+    marked = pairs.withColumn("is_pos", F.col("overlap") >= pos_th)
+    edge = marked.groupBy("sample", "i").agg(F.min(F.when(F.col("is_pos"), F.col("sim"))).alias("_low"), F.max(F.when(~F.col("is_pos"), F.col("sim"))).alias("_high"))
+    keep = F.when(F.col("is_pos"), F.col("sim") < F.col("_high") + epsilon).otherwise(F.col("sim") > F.col("_low") - epsilon)
+    return marked.join(edge, ["sample", "i"]).filter(keep).select("sample", "i", "j", "is_pos")
+
+
+def pair_margin_miner(pairs: DataFrame, pos_margin: float = 0.2, neg_margin: float = 0.8, pos_th: float = 0.25) -> DataFrame:
+    """Positives farther apart than ``pos_margin`` and negatives nearer than ``neg_margin``, by distance of unit vectors."""
+    distance = F.sqrt(F.greatest(2 - 2 * F.col("sim"), F.lit(0.0)))
+    marked = pairs.withColumn("is_pos", F.col("overlap") >= pos_th)
+    return marked.filter(F.when(F.col("is_pos"), distance > pos_margin).otherwise(distance < neg_margin)).select("sample", "i", "j", "is_pos")
+
+
+def semihard_triplets(pairs: DataFrame, margin: float = 0.1, pos_th: float = 0.25) -> DataFrame:
+    """``(sample, i, j, l)``: anchors with a positive j and a negative l that is farther away, but by ``margin`` at most."""
+    distance = F.sqrt(F.greatest(2 - 2 * F.col("sim"), F.lit(0.0)))
+    rows = pairs.select("sample", "i", "j", (F.col("overlap") >= pos_th).alias("is_pos"), distance.alias("d"))
+    near = rows.filter("is_pos").select("sample", "i", "j", F.col("d").alias("dp"))
+    far = rows.filter("not is_pos").select("sample", "i", F.col("j").alias("l"), F.col("d").alias("dn"))
+    gap = F.col("dn") - F.col("dp")
+    return near.join(far, ["sample", "i"]).filter((gap > 0) & (gap <= margin)).select("sample", "i", "j", "l")

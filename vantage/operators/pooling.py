@@ -255,3 +255,9 @@ def rotary(local: DataFrame, base: float = 100.0, height: int | None = None, wid
         return F.get("v", i) * F.cos(angle) + other * F.sin(angle)
 
     return rows.withColumn("v", F.transform(F.sequence(F.lit(0), d - 1), turned)).select(*local.columns)
+
+
+def combined_mass(values: DataFrame, keep: float = 0.5) -> DataFrame:
+    """``attention_mass`` of the heads' sum: ``(pos, kept)`` from ``(head, pos, x)``."""
+    summed = values.groupBy("pos").agg(F.sum("x").alias("x")).withColumn("head", F.lit(0))
+    return attention_mass(summed, keep).select("pos", "kept")

@@ -145,3 +145,9 @@ def sparse_similarity(rows: DataFrame, queries: DataFrame, gallery: DataFrame) -
     a = rows.join(queries.select(F.col("id").alias("i")), "i", "left_semi").select(F.col("i").alias("src"), "f", F.col("w").alias("wa"))
     b = rows.join(gallery.select(F.col("id").alias("i")), "i", "left_semi").select(F.col("i").alias("dst"), "f", F.col("w").alias("wb"))
     return a.join(b, "f").groupBy("src", "dst").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
+
+
+def sparse_ranking(rows: DataFrame, queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
+    """``(src, rank, dst, sim)``: the ``k`` best of ``sparse_similarity``; similarities within 1e-9 are ties, for the smaller id."""
+    order = Window.partitionBy("src").orderBy(F.desc(F.round("sim", 9)), "dst")
+    return sparse_similarity(rows, queries, gallery).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("src", "rank", "dst", "sim")

@@ -65,6 +65,9 @@ _CROSS_TRUTH = "t AS (SELECT a.id AS src, b.id AS dst FROM q a JOIN g b ON a.lab
 _GRADED = """t AS (SELECT a.id AS src, b.id AS dst, CASE WHEN (a.id + b.id) % 11 = 0 THEN 'junk' WHEN a.id % 3 = 0 THEN 'easy' ELSE 'hard' END AS grade FROM n a JOIN n b ON a.label = b.label WHERE a.id <> b.id)"""
 
 
+_OLD = "CASE WHEN grade = 'junk' THEN 'junk' ELSE 'ok' END"
+
+
 def _junk_map(name: str, case: str) -> str:
     """CTEs ending in {name}(src, n_pos, ap, p1, p5, p10)."""
     cut = lambda k: f"least(last, {k})"
@@ -190,6 +193,19 @@ SELECT round(sum(ap) / max(n), 6) AS map, round(count(*) FILTER (first < 1) / ma
     "rerank_gnn_similarity": "WITH " + ", ".join([_N, _knn("k", 5), "a0 AS (SELECT src AS i, dst AS f, 1.0::DOUBLE AS w FROM k)", _propagate("a1", "a0", "k", 2), _propagate("a2", "a1", "k", 2)]) + " SELECT a.i AS src, b.i AS dst, round(sum(a.w * b.w), 6) AS sim FROM a2 a JOIN a2 b ON a.f = b.f WHERE a.i % 5 = 0 AND b.i % 5 <> 0 GROUP BY a.i, b.i",
     "rerank_aqe_metrics": f"WITH {_AQE}, {_cross_rank('x1', 'g')}, {_CROSS_TRUTH}, {_metrics('r', 't', [1, 5, 10], 'SELECT count(*) FROM q', 4)} SELECT * FROM m",
     "gnn_adjacency": f"WITH {_N}, {_knn('k', 5)} SELECT src AS i, dst AS f, 1.0::DOUBLE AS w FROM k",
+    "gnn_ranking": "WITH " + ", ".join([_N, _knn("k", 5), "a0 AS (SELECT src AS i, dst AS f, 1.0::DOUBLE AS w FROM k)", _propagate("a1", "a0", "k", 2), _propagate("a2", "a1", "k", 2)]) + """, s AS (SELECT a.i AS src, b.i AS dst, sum(a.w * b.w) AS sim FROM a2 a JOIN a2 b ON a.f = b.f WHERE a.i % 5 = 0 AND b.i % 5 <> 0 GROUP BY a.i, b.i)
+SELECT * FROM (SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY round(sim, 9) DESC, dst) AS INT) AS rank, dst, round(sim, 6) AS sim FROM s) WHERE rank <= 5""",
+    "mine_multi_similarity": f"""WITH {_LOSS}, m AS (SELECT *, ov >= 0.25 AS is_pos, min(CASE WHEN ov >= 0.25 THEN sim END) OVER w AS low, max(CASE WHEN ov < 0.25 THEN sim END) OVER w AS high FROM p WINDOW w AS (PARTITION BY sample, i))
+SELECT sample, i, j, is_pos FROM m WHERE CASE WHEN is_pos THEN sim < high + 0.1 ELSE sim > low - 0.1 END""",
+    "mine_pair_margin": f"WITH {_LOSS}, m AS (SELECT *, ov >= 0.25 AS is_pos, sqrt(greatest(2 - 2 * sim, 0.0)) AS d FROM p) SELECT sample, i, j, is_pos FROM m WHERE CASE WHEN is_pos THEN d > 1.3 ELSE d < 1.3 END",
+    "mine_semihard": f"""WITH {_LOSS}, m AS (SELECT *, ov >= 0.25 AS is_pos, sqrt(greatest(2 - 2 * sim, 0.0)) AS d FROM p)
+SELECT a.sample, a.i, count(*) AS n, min(a.j) AS least_j, max(b.j) AS most_l FROM m a JOIN m b ON a.sample = b.sample AND a.i = b.i WHERE a.is_pos AND NOT b.is_pos AND b.d - a.d > 0 AND b.d - a.d <= 0.1 GROUP BY a.sample, a.i""",
+    "map_old": f"WITH {_N}, {_SELF_RANK}, {_GRADED}, {_junk_map('j', _OLD)} SELECT round(100 * avg(ap), 2) AS map FROM j",
+    "attention_mass_combined": f"WITH {_PER_IMAGE}, h AS (SELECT pos, sum(abs(x)) AS x FROM sc GROUP BY pos) SELECT pos, sum(x) OVER (ORDER BY x, pos ROWS UNBOUNDED PRECEDING) / sum(x) OVER () > 0.5 AS kept FROM h",
+    "usable_scenes": f"""WITH {_PAIRS}, raw AS (SELECT scene, u, CASE WHEN scene % 4 = 0 AND u = 0 THEN 100000 ELSE v END AS v FROM sp WHERE w >= 0.05),
+z AS (SELECT scene, count(*) AS n FROM nodes GROUP BY scene), t AS (SELECT scene, max(greatest(u, v)) AS top FROM raw GROUP BY scene)
+SELECT scene, n, CASE WHEN n < 3 THEN 'too few images' WHEN top >= n THEN 'edge to no image' ELSE 'ok' END AS status FROM z LEFT JOIN t USING (scene)""",
+    "parameter_keys": f"""WITH {_F} SELECT id, CASE id % 4 WHEN 0 THEN 'backbone.net.layer.' WHEN 1 THEN 'backbone.net.layer.' WHEN 2 THEN 'head.' ELSE 'backbone.net.' END || id AS key FROM f""",
     "overlap_symmetrize": f"WITH {_EDGES} SELECT scene, u, v, round(w, 6) AS w FROM e",
     "neighbor_lists": f"WITH {_EDGES} SELECT n.scene, n.idx, coalesce(string_agg(CAST(x.v AS VARCHAR), ',' ORDER BY x.v), '') AS neighbors FROM nodes n LEFT JOIN (SELECT DISTINCT scene, u, v FROM e WHERE w >= 0.15) x ON x.scene = n.scene AND x.u = n.idx GROUP BY n.scene, n.idx",
     "uniform_sample": f"WITH {_NODES} {_sample(12, 3)}",

@@ -196,6 +196,56 @@ def gnn_adjacency(spark, sf):
     return R.adjacency(knn_self(I.features(spark, sf), 10), 5)
 
 
+@query
+def gnn_ranking(spark, sf):
+    q, g = I.roles(spark, sf)
+    return _round(R.sparse_ranking(R.graph_rows(q, g, 5, 2), q, g, 5), "sim")
+
+
+@query
+def mine_multi_similarity(spark, sf):
+    return L.multi_similarity_miner(I.loss_pairs(I.nodes(I.features(spark, sf))))
+
+
+@query
+def mine_pair_margin(spark, sf):
+    return L.pair_margin_miner(I.loss_pairs(I.nodes(I.features(spark, sf))), 1.3, 1.3)
+
+
+@query
+def mine_semihard(spark, sf):
+    mined = L.semihard_triplets(I.loss_pairs(I.nodes(I.features(spark, sf))))
+    return mined.groupBy("sample", "i").agg(F.count("*").alias("n"), F.min("j").alias("least_j"), F.max("l").alias("most_l"))
+
+
+@query
+def map_old(spark, sf):
+    ranked, graded = _graded(spark, sf)
+    ok = graded.withColumn("grade", F.when(F.col("grade") == "junk", "junk").otherwise("ok"))
+    return M.old_protocol(ranked, ok).select(F.round("map", 2).alias("map"))
+
+
+@query
+def attention_mass_combined(spark, sf):
+    return PL.combined_mass(_scalar(spark, sf).select(F.col("image_id").alias("head"), "pos", F.abs("x").alias("x")))
+
+
+@query
+def usable_scenes(spark, sf):
+    """Every fourth scene has an edge to an image that is not there."""
+    n = I.nodes(I.features(spark, sf))
+    wrong = F.when((F.col("scene") % 4 == 0) & (F.col("u") == 0), F.lit(100_000)).otherwise(F.col("v"))
+    return G.usable_scenes(n, I.raw_edges(n).withColumn("v", wrong), 3)
+
+
+@query
+def parameter_keys(spark, sf):
+    i = I.features(spark, sf).select("id")
+    kinds = F.array(*[F.lit(x) for x in ("module.model.backbone.layer.", "backbone.net.layer.", "model.head.", "module.backbone.")])
+    named = i.select("id", F.concat(F.get(kinds, (F.col("id") % 4).cast("int")), F.col("id").cast("string")).alias("key"))
+    return named.select("id", P.replace_prefix(P.strip_wrappers(F.col("key")), "backbone.", "backbone.net.").alias("key"))
+
+
 # Graphs and sampling
 
 
