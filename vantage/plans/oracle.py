@@ -206,6 +206,17 @@ SELECT a.sample, a.i, count(*) AS n, min(a.j) AS least_j, max(b.j) AS most_l FRO
 z AS (SELECT scene, count(*) AS n FROM nodes GROUP BY scene), t AS (SELECT scene, max(greatest(u, v)) AS top FROM raw GROUP BY scene)
 SELECT scene, n, CASE WHEN n < 3 THEN 'too few images' WHEN top >= n THEN 'edge to no image' ELSE 'ok' END AS status FROM z LEFT JOIN t USING (scene)""",
     "parameter_keys": f"""WITH {_F} SELECT id, CASE id % 4 WHEN 0 THEN 'backbone.net.layer.' WHEN 1 THEN 'backbone.net.layer.' WHEN 2 THEN 'head.' ELSE 'backbone.net.' END || id AS key FROM f""",
+    "metrics_by_task": f"WITH {_N}, {_QG}, {_cross_rank()}, {_CROSS_TRUTH}, {_metrics('r', 't', [1, 5], 'SELECT count(*) FROM q')} SELECT 'cross' AS task, name, k, value FROM m",
+    "triplet_sample": f"""WITH {_EDGES}, near AS (SELECT DISTINCT scene, u AS anchor, v AS idx FROM e WHERE w >= 0.2), sz AS (SELECT scene, count(*) AS n FROM nodes GROUP BY scene),
+an AS (SELECT scene, anchor, np FROM (SELECT scene, anchor, count(*) AS np FROM near GROUP BY scene, anchor) JOIN sz USING (scene) WHERE n >= 3 AND n - 1 - np >= 1),
+lp AS (SELECT scene, anchor, idx, np, row_number() OVER (PARTITION BY scene, anchor ORDER BY {_hash('idx + anchor * 31', 4)}, idx) - 1 AS r FROM near JOIN an USING (scene, anchor)),
+lq AS (SELECT a.scene, a.anchor, b.idx, row_number() OVER (PARTITION BY a.scene, a.anchor ORDER BY {_hash('b.idx + a.anchor * 31', 4)}, b.idx) - 1 AS slot FROM an a JOIN nodes b ON b.scene = a.scene AND b.idx <> a.anchor
+WHERE NOT EXISTS (SELECT 1 FROM near p WHERE p.scene = a.scene AND p.anchor = a.anchor AND p.idx = b.idx))
+SELECT scene, anchor, 'positive' AS kind, CAST(slot AS INT) AS slot, idx FROM lp JOIN (SELECT unnest([0, 1]) AS slot) ON r = {_hash('anchor + slot * 977', 4)} % np
+UNION ALL SELECT scene, anchor, 'negative', CAST(slot AS INT), idx FROM lq WHERE slot < 2""",
+    "multi_view_sample": f"""WITH {_VIEWS}, l AS (SELECT cls, view, id, row_number() OVER (PARTITION BY cls, view ORDER BY {_hash('id', 6)}, id) - 1 AS r, count(*) OVER (PARTITION BY cls, view) AS n FROM vw),
+pl AS (SELECT DISTINCT cls, s.view, s.slot FROM vw, (VALUES ('satellite', 0), ('drone', 0), ('drone', 1), ('street', 0), ('street', 1)) s(view, slot) WHERE vw.view = 'satellite')
+SELECT pl.cls, pl.view, pl.slot, l.id FROM pl LEFT JOIN l ON l.cls = pl.cls AND l.view = pl.view AND l.r = {_hash('pl.cls * 7 + pl.slot', 6)} % l.n""",
     "overlap_symmetrize": f"WITH {_EDGES} SELECT scene, u, v, round(w, 6) AS w FROM e",
     "neighbor_lists": f"WITH {_EDGES} SELECT n.scene, n.idx, coalesce(string_agg(CAST(x.v AS VARCHAR), ',' ORDER BY x.v), '') AS neighbors FROM nodes n LEFT JOIN (SELECT DISTINCT scene, u, v FROM e WHERE w >= 0.15) x ON x.scene = n.scene AND x.u = n.idx GROUP BY n.scene, n.idx",
     "uniform_sample": f"WITH {_NODES} {_sample(12, 3)}",
