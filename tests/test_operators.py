@@ -1,12 +1,13 @@
 """Hand-computed cases: repeated edges, ties, null and zero vectors, large ids, empty tables, files written and read."""
 
+import itertools
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vantage.operators import graph, knn, metrics, pairs, pooling
+from vantage.operators import graph, knn, metrics, pairs, pooling, rerank
 from vantage.sources import storage, tables
 from vantage.streaming.search import search_stream
 
@@ -167,3 +168,49 @@ def test_search_of_a_stream(spark, tmp_path):
     assert run.awaitTermination(120)
     got = sorted((r.src, r["rank"], r.dst) for r in spark.read.parquet(f"file://{tmp_path}/found").collect())
     assert got == sorted((r.src, r["rank"], r.dst) for r in knn.knn(gallery.filter("id < 2"), gallery, 2).collect())
+
+
+def slow_balanced(n, order, near, target=0.5, slack=0.05):
+    """The same search over a whole scene."""
+    chosen = order[:n]
+    pairs = max(1, len(chosen) * (len(chosen) - 1) // 2)
+    count = lambda c: sum(frozenset(p) in near for p in itertools.combinations(c, 2))
+    for _ in range(min(50, len(order))):
+        off, best = abs(count(chosen) / pairs - target), (0.01, None)
+        unused = [x for x in order if x not in chosen][:20]
+        if off <= slack:
+            break
+        for i in range(len(chosen)):
+            for x in unused:
+                other = chosen[:i] + [x] + chosen[i + 1 :]
+                gain = off - abs(count(other) / pairs - target)
+                if gain > best[0] + 1e-12:
+                    best = (gain, other)
+        if best[1] is None:
+            break
+        chosen = best[1]
+    return set(chosen)
+
+
+def test_balanced_sample_is_that_of_the_whole_scene(spark):
+    rng = np.random.default_rng(5)
+    nodes, edges = [], []
+    for scene, (size, chance) in enumerate([(60, 0.1), (45, 0.9), (5, 0.5)]):
+        nodes += [(scene, i) for i in range(size)]
+        edges += [(scene, int(i), int(j), 1.0) for i, j in itertools.combinations(range(size), 2) if rng.random() < chance]
+    e = graph.symmetrize(spark.createDataFrame(edges, "scene long, u long, v long, w double"))
+    got = graph.balanced_sample(spark.createDataFrame(nodes, "scene long, idx long"), e, 6, 0.5, seed=2).collect()
+    for scene in range(3):
+        order = sorted((i for s, i in nodes if s == scene), key=lambda i: ((i + 2) * 2654435761 % 2**32, i))
+        near = {frozenset((u, v)) for s, u, v, _ in edges if s == scene}
+        assert {r.idx for r in got if r.scene == scene} == slow_balanced(6, order, near)
+
+
+def test_propagated_rows_as_dense_vectors(spark):
+    rng = np.random.default_rng(7)
+    f = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(20)], "id long, v array<double>")
+    q, g = rerank.apply_reranking("gnn", f.filter("id < 5"), f.filter("id >= 5"), k1=4, k2=2)
+    sparse = {(r.i, r.f): r.w for r in rerank.graph_rows(f.filter("id < 5"), f.filter("id >= 5"), 4, 2).collect()}
+    rows = q.collect() + g.collect()
+    assert len(rows) == 20 and all(len(r.v) == 20 for r in rows)
+    assert all(r.v[j] == pytest.approx(sparse.get((r.id, j), 0.0)) for r in rows for j in range(20))

@@ -129,18 +129,24 @@ def balanced_sample(nodes: DataFrame, edges: DataFrame, n: int, threshold: float
 
     Starts from the hashed sample; a round tries the first twenty unused nodes by hashed order in place
     of each chosen one and takes the best swap that gains more than 0.01, up to min(50, scene size)
-    rounds. The steps depend on each other, so a scene is one group.
+    rounds. The steps depend on each other, so they are one group; as no more than ``n`` nodes are chosen at any time, only
+    the first ``n`` + 20 by hashed order are ever tried, and the group holds these and the edges among them alone.
     """
-    lists = edges.filter(F.col("w") >= threshold).groupBy("scene", F.col("u").alias("idx")).agg(F.collect_set("v").alias("near"))
-    rows = nodes.select("scene", "idx").withColumn("h", hashed(F.col("idx"), seed)).join(lists, ["scene", "idx"], "left")
-
-    def choose(key, df: pd.DataFrame) -> pd.DataFrame:
+    own = Window.partitionBy("scene")
+    ranked = nodes.select("scene", "idx").withColumn("h", hashed(F.col("idx"), seed))
+    tried = ranked.withColumns({"r": F.row_number().over(own.orderBy("h", "idx")), "size": F.count("*").over(own)}).filter(F.col("r") <= n + 20).drop("r")
+    ends = tried.select("scene", F.col("idx").alias("v"))
+    among = edges.filter(F.col("w") >= threshold).join(ends, ["scene", "v"], "left_semi").join(ends.withColumnRenamed("v", "u"), ["scene", "u"], "left_semi")
+    lists = among.groupBy("scene", F.col("u").alias("idx")).agg(F.collect_set("v").alias("near"))  # at most n + 20
+    rows = tried.join(lists, ["scene", "idx"], "left")
+
+    def choose(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["h", "idx"])
         order = [int(x) for x in df["idx"]]
         near = {int(i): set(map(int, x)) if x is not None else set() for i, x in zip(df["idx"], df["near"])}
         chosen, pairs = order[:n], max(1, min(n, len(order)) * (min(n, len(order)) - 1) // 2)
         positive = sum(b in near[a] for i, a in enumerate(chosen) for b in chosen[i + 1 :])
-        for _ in range(min(50, len(order))):
+        for _ in range(min(50, int(df["size"].iloc[0]))):
             off = abs(positive / pairs - target)
             unused = [x for x in order if x not in set(chosen)][:20]
             if off <= slack or not unused:
