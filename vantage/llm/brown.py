@@ -405,7 +405,7 @@ def score_texts(
 
     place = F.monotonically_increasing_id()
     chunked = rows.withColumn("chunk", F.when(F.octet_length("text") > long_bytes, -1 - place).otherwise(F.floor(place / chunk_rows)))
-    wanted = chunked.select("chunk", "text").mapInArrow(_chunk_words, "chunk long, word string").distinct()
+    wanted = chunked.select("chunk", "text").mapInArrow(_chunk_words, "chunk long, word string").repartition("word").distinct()  # one shuffle for this and the join
     found = wanted.join(words, "word", "left").select("chunk", "word", "n", "cls")
     ordered = chunked.select("chunk", "doc_id", "held_out", "learned", "text")
     sequences = ordered.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(
