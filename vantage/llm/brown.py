@@ -350,7 +350,8 @@ def score_texts(
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score,
     both log10. A null text is empty: its end is its only token. Rows with a null id are scored, not
     learned from, and not held out. Equal rows are scored each on its own. With nothing to learn from,
-    score is base_score. An empty table gives an empty table; other columns are ignored.
+    score is base_score. A text is read whole, however long, with memory in proportion to its own length. An empty
+    table gives an empty table; other columns are ignored, whatever their names.
 
     Words of a text are looked up by a join: texts are taken in chunks of ``chunk_rows`` rows, whose distinct
     words meet the word table and come back with their chunk, so no task holds the vocabulary. A text of more

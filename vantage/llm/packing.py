@@ -290,8 +290,9 @@ def pack_documents(
 
     Returns, per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset. Documents end
     with ``end_id``; only longer ones are cut, into pieces of ``capacity`` tokens and a rest. A null or
-    empty text is the end id alone. Rows with null or equal ids are packed each on its own. An empty
-    table gives an empty table; other columns are ignored.
+    empty text is the end id alone. Rows with null or equal ids are packed each on its own. A text is encoded
+    whole, however long, with memory in proportion to its own length. An empty table gives an empty table; other columns
+    are ignored, whatever their names.
     """
     pieces = token_pieces(docs, capacity, tokenizer or default_tokenizer(), end_id, id_col, text_col)
     pieces = materialize(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")

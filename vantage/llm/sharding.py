@@ -65,7 +65,8 @@ def hash_tree_shards(
     each shard) and grown_shard, the shard with one more shard of weight 1 in the tree.
 
     A null text has no bytes (size 1, checksum 0). Null ids are one key and share a shard. Equal ids
-    share a shard; each of their rows has its own slot. An empty table gives an empty table; columns
+    share a shard; each of their rows has its own slot. Of a text, however long, only its size and checksum
+    are taken. An empty table gives an empty table; columns
     other than the two named are ignored, whatever their names.
 
     Slots: rows are numbered within (shard, input partition) and shifted by the rows of earlier
