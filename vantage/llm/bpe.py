@@ -66,6 +66,7 @@ class Vocabulary:
             names[t["id"]] = t["content"].encode()
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.bytes = [names.get(i, b"") for i in range(max(names) + 1)]
+        self.sizes = [len(b) for b in self.bytes]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for rank, m in enumerate(model["merges"]):
@@ -75,7 +76,7 @@ class Vocabulary:
             self.parts.setdefault(token, (rank, *pair))
         self.chains: tuple[dict, dict] = {}, {}
         self.table: dict[tuple[int, int], bool] = {}
-        self.prefixes: dict[int, int] = {}
+        self.prefixes: list[int | None] = [None] * len(self.bytes)
         self.valid: set[int] = set()
         for token in sorted(self.ids.values(), key=lambda t: self.parts.get(t, (-1,))[0]):
             if len(self.bytes[token]) == 1 or self._made_whole(token):
@@ -85,7 +86,7 @@ class Vocabulary:
             b = self.bytes[token]
             self.machine.add_word(b.decode("latin-1"), (len(b), token))
         self.machine.make_automaton()
-        self.offsets = np.concatenate(([0], np.cumsum([len(b) for b in self.bytes])))
+        self.offsets = np.concatenate(([0], np.cumsum(self.sizes)))
         self.blob = np.frombuffer(b"".join(self.bytes), np.uint8)
 
     def _made_whole(self, token: int) -> bool:
@@ -137,7 +138,7 @@ class Vocabulary:
 
     def _shorter(self, token: int) -> int:
         """The longest token that begins this one; -1 if none does."""
-        found = self.prefixes.get(token)
+        found = self.prefixes[token]
         if found is None:
             b = self.bytes[token]
             begins = (self.ids.get(b[:n]) for n in range(len(b) - 1, 0, -1))
@@ -150,23 +151,31 @@ class Vocabulary:
         The longest token at a place is tried first, then its shorter beginnings. A place from which nothing fits is never
         tried again, so the work is linear in the word.
         """
-        longest = array("i", bytes(4 * len(word)))
-        for end, (n, token) in self.machine.iter(word.decode("latin-1")):
-            longest[end + 1 - n] = token  # of those that begin at a place, the longest ends last
-        dead, out, at = bytearray(len(word) + 1), [], 0
+        found = self.ids.get(word)
+        if found in self.valid:
+            return [found]
+        longest, sizes, table = [0] * len(word), self.sizes, self.table
+        for end, (size, token) in self.machine.iter(word.decode("latin-1")):
+            longest[end + 1 - size] = token  # of those that begin at a place, the longest ends last
+        dead, out, at, last = set(), [], 0, -1
         token = longest[0] if word else -1
         while at < len(word):
-            end = at + len(self.bytes[token])
-            if not dead[end] and (not out or self.compatible(out[-1], token)):
-                out.append(token)
-                at = end
-                token = longest[at] if at < len(word) else -1
-                continue
+            end = at + sizes[token]
+            if end not in dead:
+                holds = last < 0 or table.get((last, token))
+                if holds is None:
+                    holds = self.compatible(last, token)
+                if holds:
+                    out.append(token)
+                    at, last = end, token
+                    token = longest[at] if at < len(word) else -1
+                    continue
             token = self._shorter(token)
             if token < 0:
-                dead[at] = 1
+                dead.add(at)
                 token = out.pop()
-                at -= len(self.bytes[token])
+                at -= sizes[token]
+                last = out[-1] if out else -1
         return out
 
     def decode(self, ids: np.ndarray) -> str:
