@@ -1,49 +1,319 @@
-"""Values of overlap-supervised losses over ``pairs(sample, i, j, overlap, sim)``, i and j different."""
+"""Values of losses over pairs within groups: ``GroupPairs`` of ``(sample, i, v)`` rows, which are never listed pair by pair.
+
+A loss takes sums by anchor and block of partners, then puts an anchor's blocks together. Log-sum-exps travel as
+a peak and a sum scaled by it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .blocks import GroupPairs, merged_peak
+
+_ANCHOR = ["sample", "i"]
+
+
+def _peak(z: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By row, the largest entry in use and the sum of exp(entry - that); -inf and 0 without any."""
+    masked = np.where(use, z, -np.inf)
+    top = masked.max(1, initial=-np.inf)
+    with np.errstate(invalid="ignore"):
+        return top, np.where(use, np.exp(masked - np.where(np.isfinite(top), top, 0.0)[:, None]), 0.0).sum(1)
 
 
-def supcon(pairs: DataFrame, tau: float = 0.1, pos_th: float = 0.25, gamma: float = 2.0, soft: bool = False, eps: float = 1e-8) -> DataFrame:
+def _merged(parts: DataFrame, peak: str, total: str, out: str, extra_zero: bool = False, **sums) -> DataFrame:
+    """Blocks of an anchor as one row: ``out``, their log-sum-exp (an ``extra_zero`` adds a logit of 0), and further sums."""
+    rows = merged_peak(parts.filter(F.col(peak) > F.lit(float("-inf"))), peak, _ANCHOR)
+    top = F.greatest(F.first("_top"), F.lit(0.0)) if extra_zero else F.first("_top")
+    scaled = F.sum(F.col(total) * F.exp(F.col(peak) - F.col("_top")))
+    whole = scaled * F.exp(F.first("_top") - top) + (F.exp(-top) if extra_zero else F.lit(0.0))
+    return rows.groupBy(*_ANCHOR).agg((top + F.log(whole)).alias(out), *[c.alias(n) for n, c in sums.items()])
+
+
+def supcon(pairs: GroupPairs, tau: float = 0.1, pos_th: float = 0.25, gamma: float = 2.0, soft: bool = False, eps: float = 1e-8) -> DataFrame:
     """Supervised contrastive loss, averaged over anchors with a positive."""
-    z = pairs.withColumn("z", F.col("sim") / tau)
-    lse = V.log_sum_exp(z, ["sample", "i"], "z")
-    pos = F.col("overlap") >= pos_th
-    weight = F.when(pos, F.pow("overlap", F.lit(gamma)) if soft else F.lit(1.0)).otherwise(0.0)
-    rows = z.join(lse, ["sample", "i"]).withColumn("wt", weight)
-    per = rows.groupBy("sample", "i").agg(F.sum(F.col("wt") * (F.col("z") - F.col("lse"))).alias("a"), F.sum("wt").alias("b"), F.count_if(pos).alias("n"))
-    return per.filter("n > 0").agg(F.coalesce(F.avg(-F.col("a") / (F.col("b") + eps)), F.lit(0.0)).alias("loss"))
+
+    def sums(sim, over, counts):
+        z, pos = sim / tau, counts & (over >= pos_th)
+        weight = np.where(pos, over**gamma if soft else 1.0, 0.0)
+        m, s = _peak(z, counts)
+        return {"m": m, "s": s, "a": (weight * z).sum(1), "b": weight.sum(1), "n": pos.sum(1)}
+
+    parts = pairs.fold(sums, "m double, s double, a double, b double, n long")
+    per = _merged(parts, "m", "s", "lse", a=F.sum("a"), b=F.sum("b"), n=F.sum("n")).filter("n > 0")
+    return per.agg(F.coalesce(F.avg(-(F.col("a") - F.col("lse") * F.col("b")) / (F.col("b") + eps)), F.lit(0.0)).alias("loss"))
 
 
-def circle(pairs: DataFrame, margin: float = 0.4, gamma: float = 80.0, pos_th: float = 0.3) -> DataFrame:
+def _two_sided(pairs: GroupPairs, positive, negative, pos_th: float, extra_zero: bool, every: bool = False) -> DataFrame:
+    """``lp`` and ``ln`` by anchor that has both kinds: log-sum-exps of the logits of its positives and negatives.
+
+    With ``every``, all anchors count, a kind that is missing as 0.
+    """
+
+    def sums(sim, over, counts):
+        pos = over >= pos_th
+        mp, sp = _peak(positive(sim), counts & pos)
+        mn, sn = _peak(negative(sim), counts & ~pos)
+        return {"mp": mp, "sp": sp, "mn": mn, "sn": sn}
+
+    parts = pairs.fold(sums, "mp double, sp double, mn double, sn double")
+    low = F.lit(float("-inf"))
+    shifted = merged_peak(merged_peak(parts, "mp", _ANCHOR).withColumnRenamed("_top", "tp"), "mn", _ANCHOR).withColumnRenamed("_top", "tn")
+
+    def lse(top: str, peak: str, total: str):
+        t = F.greatest(F.first(top), F.lit(0.0)) if extra_zero else F.first(top)
+        s = F.sum(F.when(F.col(peak) > low, F.col(total) * F.exp(F.col(peak) - F.col(top))).otherwise(0.0)) * F.exp(F.first(top) - t)
+        whole = t + F.log(s + (F.exp(-t) if extra_zero else F.lit(0.0)))
+        return F.when(F.first(top) > low, whole).otherwise(0.0)
+
+    kept = shifted if every else shifted.filter((F.col("tp") > low) & (F.col("tn") > low))
+    return kept.groupBy(*_ANCHOR).agg(lse("tp", "mp", "sp").alias("lp"), lse("tn", "mn", "sn").alias("ln"))
+
+
+def circle(pairs: GroupPairs, margin: float = 0.4, gamma: float = 80.0, pos_th: float = 0.3) -> DataFrame:
     """Circle loss: softplus of the positives' and negatives' log-sum-exp, averaged over anchors with both."""
-    s = F.col("sim")
-    pos = F.col("overlap") >= pos_th
-    zp = -gamma * F.greatest(1 + margin - s, F.lit(0.0)) * (s - (1 - margin))
-    zn = gamma * F.greatest(s + margin, F.lit(0.0)) * (s - margin)
-    p = V.log_sum_exp(pairs.filter(pos).withColumn("z", zp), ["sample", "i"], "z", "lp")
-    n = V.log_sum_exp(pairs.filter(~pos).withColumn("z", zn), ["sample", "i"], "z", "ln")
-    return p.join(n, ["sample", "i"]).agg(F.coalesce(F.avg(V.softplus(F.col("lp") + F.col("ln"))), F.lit(0.0)).alias("loss"))
+    both = _two_sided(
+        pairs, lambda s: -gamma * np.maximum(1 + margin - s, 0.0) * (s - (1 - margin)), lambda s: gamma * np.maximum(s + margin, 0.0) * (s - margin), pos_th, False
+    )
+    return both.agg(F.coalesce(F.avg(V.softplus(F.col("lp") + F.col("ln"))), F.lit(0.0)).alias("loss"))
+
 
+def multi_similarity(pairs: GroupPairs, alpha: float = 2.0, beta: float = 50.0, base: float = 0.5, pos_th: float = 0.25, every: bool = False) -> DataFrame:
+    """Multi-similarity loss over anchors that have both kinds of pairs, or over ``every`` anchor."""
+    both = _two_sided(pairs, lambda s: alpha * (base - s), lambda s: beta * (s - base), pos_th, True, every)
+    return both.agg(F.coalesce(F.avg(F.col("lp") / alpha + F.col("ln") / beta), F.lit(0.0)).alias("loss"))
 
-def multi_similarity(pairs: DataFrame, alpha: float = 2.0, beta: float = 50.0, base: float = 0.5, pos_th: float = 0.25) -> DataFrame:
-    """Multi-similarity loss over anchors that have both kinds of pairs."""
-    pos = F.col("overlap") >= pos_th
-    p = V.log_sum_exp(pairs.filter(pos).withColumn("z", alpha * (base - F.col("sim"))), ["sample", "i"], "z", "lp", extra_zero=True)
-    n = V.log_sum_exp(pairs.filter(~pos).withColumn("z", beta * (F.col("sim") - base)), ["sample", "i"], "z", "ln", extra_zero=True)
-    return p.join(n, ["sample", "i"]).agg(F.coalesce(F.avg(F.col("lp") / alpha + F.col("ln") / beta), F.lit(0.0)).alias("loss"))
 
+def dominance(s: np.ndarray, o: np.ndarray, overlap_margin: float, sim_margin: float) -> tuple[float, int]:
+    """Over all (j, k) with o[j] - o[k] > overlap_margin: the sum of max(0, sim_margin - (s[j] - s[k])), and how many there are.
 
-def overlap_ranking(pairs: DataFrame, overlap_margin: float = 0.05, sim_margin: float = 0.05, weight: float = 10.0) -> DataFrame:
+    Sorted by overlap, the partners that j outranks are a prefix. Prefixes are put together from sorted runs of 1, 2, 4, ...
+    entries; within a run, those that count are the ones past a bound on s, found by bisection, and their sum is a
+    difference of running sums. n log^2 n in all, and no pair of partners is formed.
+    """
+    order = np.argsort(o, kind="stable")
+    s, o = np.asarray(s, np.float64)[order], np.asarray(o, np.float64)[order]
+    n = len(s)
+    prefix = np.searchsorted(o, o - overlap_margin, side="left")
+    while True:  # the bound as the difference itself rounds
+        up = (prefix < n) & (o - o[np.minimum(prefix, n - 1)] > overlap_margin)
+        down = ~up & (prefix > 0) & ~(o - o[np.maximum(prefix - 1, 0)] > overlap_margin)
+        if not up.any() and not down.any():
+            break
+        prefix = prefix + up - down
+    pairs = int(prefix.sum())
+    if not pairs:
+        return 0.0, 0
+    by_s = np.sort(s)
+    rank, bound = np.argsort(np.argsort(s, kind="stable"), kind="stable"), np.searchsorted(by_s, s - sim_margin, side="right")
+    total, size = 0.0, 1
+    while size <= n:
+        mine = np.flatnonzero(prefix & size)
+        if len(mine):
+            keys = np.arange(n) // size * (n + 1) + rank
+            sort = np.argsort(keys)
+            keys, sums = keys[sort], np.concatenate(([0.0], np.cumsum(s[sort])))
+            run = (prefix[mine] // size) - 1  # the run of this size that ends the prefix's multiple of it
+            lo, hi = np.searchsorted(keys, run * (n + 1) + bound[mine]), (run + 1) * size
+            lo = np.minimum(lo, hi)
+            total += float(((hi - lo) * (sim_margin - s[mine]) + sums[hi] - sums[lo]).sum())
+        size *= 2
+    return total, pairs
+
+
+def overlap_ranking(pairs: GroupPairs, overlap_margin: float = 0.05, sim_margin: float = 0.05, weight: float = 10.0) -> DataFrame:
     """Of two partners of an anchor, the one that overlaps more should be more similar, by a margin."""
-    a = pairs.select("sample", "i", F.col("overlap").alias("oj"), F.col("sim").alias("sj"))
-    b = pairs.select("sample", "i", F.col("overlap").alias("ok"), F.col("sim").alias("sk"))
-    rows = a.join(b, ["sample", "i"]).filter(F.col("oj") - F.col("ok") > overlap_margin)
-    return rows.agg((weight * F.coalesce(F.avg(F.greatest(F.lit(0.0), sim_margin - (F.col("sj") - F.col("sk")))), F.lit(0.0))).alias("loss"))
+    per = pairs.anchors(lambda s, o: dominance(s, o, overlap_margin, sim_margin), "x double, n long")
+    return per.agg(F.coalesce(F.lit(weight) * F.try_divide(F.sum("x"), F.sum("n")), F.lit(0.0)).alias("loss"))
+
+
+def fast_ap(pairs: GroupPairs, bins: int = 30, top: float = 4.0) -> DataFrame:
+    """One less average precision from soft histograms of squared distances of unit vectors, over anchors with a positive.
+
+    ``overlap`` 1 marks a positive. A distance adds to the two of ``bins`` + 1 even places up to ``top`` that it lies between, linearly.
+    """
+    step = top / bins
+
+    def histogram(sim, over, counts):
+        at, to = np.nonzero(counts)
+        place = np.clip((2 - 2 * sim[at, to]) / step, 0.0, bins)
+        low = np.minimum(np.floor(place).astype(np.int64), bins - 1)
+        share, pos, cells = place - low, over[at, to] > 0, len(sim) * (bins + 1)
+        hist = [np.bincount(at * (bins + 1) + low, np.where(use, 1 - share, 0), cells) + np.bincount(at * (bins + 1) + low + 1, np.where(use, share, 0), cells) for use in (pos, ~pos)]
+        cell = np.flatnonzero((hist[0] > 0) | (hist[1] > 0))
+        return {"at": cell // (bins + 1), "bin": (cell % (bins + 1)).astype(np.int32), "p": hist[0][cell], "q": hist[1][cell]}
+
+    cells = pairs.spread(histogram, "bin int, p double, q double").groupBy(*_ANCHOR, "bin").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    upto = Window.partitionBy(*_ANCHOR).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    term = F.when(F.col("p") > 0, F.col("p") * F.sum("p").over(upto) / F.sum(F.col("p") + F.col("q")).over(upto)).otherwise(0.0)
+    per = cells.withColumn("t", term).groupBy(*_ANCHOR).agg(F.sum("t").alias("t"), F.sum("p").alias("n")).filter("n > 0.5")
+    return per.agg(F.coalesce(F.avg(1 - F.col("t") / F.col("n")), F.lit(0.0)).alias("loss"))
+
+
+def hinge_sums(near: np.ndarray, far: np.ndarray, margin: float) -> tuple[float, int]:
+    """Over all of ``near`` by ``far``: the sum of max(0, near - far + margin), and how many are above 0."""
+    far = np.sort(far)
+    sums, use = np.concatenate(([0.0], np.cumsum(far))), near + margin
+    k = np.searchsorted(far, use, side="left")
+    return float((k * use - sums[k]).sum()), int(k.sum())
+
+
+def _distances(s: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * s, 0.0))
+
+
+def triplet_margin(pairs: GroupPairs, margin: float = 0.05) -> DataFrame:
+    """Hinge of all triplets of unit vectors, averaged over those above 0. ``overlap`` 1 marks a positive."""
+
+    def sums(s, o):
+        d = _distances(s)
+        return hinge_sums(d[o > 0], d[o <= 0], margin)
+
+    return pairs.anchors(sums, "x double, n long").agg(F.coalesce(F.try_divide(F.sum("x"), F.sum("n")), F.lit(0.0)).alias("loss"))
+
+
+def ranked_list(pairs: GroupPairs, margin: float = 0.4, tn: float = 1.0, imbalance: float = 0.5, alpha: float | None = None, tp: float = 0.0) -> DataFrame:
+    """Ranked-list loss, averaged over anchors: positives should lie within ``alpha`` - ``margin``, negatives beyond ``alpha``.
+
+    Those that do not are weighed by exp(t * how far they are off), for each kind apart. ``alpha`` is 1 + margin / 2 where not given.
+    """
+    bound = 1 + margin / 2 if alpha is None else alpha
+
+    def sums(sim, over, counts):
+        d, pos = _distances(sim), over > 0
+        out = {}
+        for name, off, use, t in (("p", d - (bound - margin), counts & pos, tp), ("n", bound - d, counts & ~pos, tn)):
+            w = np.where(use & (off > 0), np.exp(t * off), 0.0)
+            out |= {f"w{name}": w.sum(1), f"x{name}": (w * np.maximum(off, 0)).sum(1)}
+        return out
+
+    per = pairs.fold(sums, "wp double, xp double, wn double, xn double").groupBy(*_ANCHOR).agg(*[F.sum(c).alias(c) for c in ("wp", "xp", "wn", "xn")])
+    side = lambda n: F.when(F.col(f"w{n}") > 0, F.col(f"x{n}") / F.col(f"w{n}")).otherwise(0.0)
+    return per.agg(F.coalesce(F.avg((1 - imbalance) * side("p") + imbalance * side("n")), F.lit(0.0)).alias("loss"))
+
+
+def contrastive(pairs: GroupPairs, pos_margin: float = 0.0, neg_margin: float = 1.0) -> DataFrame:
+    """Distance of positives beyond ``pos_margin`` and of negatives short of ``neg_margin``, each averaged over the pairs above 0."""
+
+    def sums(sim, over, counts):
+        d, pos = _distances(sim), over > 0
+        near, far = np.where(counts & pos, np.maximum(d - pos_margin, 0), 0), np.where(counts & ~pos, np.maximum(neg_margin - d, 0), 0)
+        return {"xp": near.sum(1), "np": (near > 0).sum(1), "xn": far.sum(1), "nn": (far > 0).sum(1)}
+
+    parts = pairs.fold(sums, "xp double, np long, xn double, nn long")
+    side = lambda n: F.coalesce(F.try_divide(F.sum(f"x{n}"), F.sum(f"n{n}")), F.lit(0.0))
+    return parts.agg((side("p") + side("n")).alias("loss"))
+
+
+def lifted_structure(pairs: GroupPairs, neg_margin: float = 0.0, pos_margin: float = 1.0) -> DataFrame:
+    """Positive part of lse(d - pos_margin) over positives plus lse(neg_margin - d) over negatives, averaged over all anchors; a missing kind counts as 0."""
+    both = _two_sided(pairs, lambda s: _distances(s) - pos_margin, lambda s: neg_margin - _distances(s), 0.5, False, every=True)
+    return both.agg(F.coalesce(F.avg(F.greatest(F.col("lp") + F.col("ln"), F.lit(0.0))), F.lit(0.0)).alias("loss"))
+
+
+def nt_xent(pairs: GroupPairs, tau: float = 0.07) -> DataFrame:
+    """Each positive pair against all negatives of its anchor, averaged over positive pairs."""
+
+    def near(s, o):
+        z = s / tau
+        far = z[o <= 0]
+        if not len(far) or not (o > 0).any():
+            return 0.0, int((o > 0).sum())
+        top = far.max()
+        lse = top + np.log(np.exp(far - top).sum())
+        return float(np.logaddexp(0.0, lse - z[o > 0]).sum()), int((o > 0).sum())
+
+    return pairs.anchors(near, "x double, n long").agg(F.coalesce(F.try_divide(F.sum("x"), F.sum("n")), F.lit(0.0)).alias("loss"))
+
+
+def _class_parts(scale: float, gamma: float | None, margin: float):
+    """For a block of rows and one of classes: each row's log-sum-exp over these classes, and its own class's logit."""
+
+    def run(key: tuple, rows: pa.Table, proxies: pa.Table) -> pa.Table:
+        schema = pa.schema([("i", pa.int64()), ("m", pa.float64()), ("s", pa.float64()), ("own", pa.float64())])
+        if not len(rows) or not len(proxies):
+            return schema.empty_table()
+        unit = [t.column("v").combine_chunks() for t in (rows, proxies)]
+        x, c = (u.flatten().to_numpy(zero_copy_only=False).reshape(len(u), -1) for u in unit)
+        names, of = np.unique(proxies.column("label").to_numpy(zero_copy_only=False), return_inverse=True)
+        sort = np.argsort(of, kind="stable")
+        starts = np.flatnonzero(np.diff(of[sort], prepend=-1))
+        parts = []
+        for at in range(0, len(x), 256):
+            sim = x[at : at + 256] @ c[sort].T
+            if gamma is None:
+                by_class = np.maximum.reduceat(sim, starts, axis=1)
+            else:  # softmax over the components of a class
+                top = np.maximum.reduceat(sim, starts, axis=1)
+                e = np.exp((sim - np.repeat(top, np.diff(np.append(starts, len(sort))), axis=1)) / gamma)
+                by_class = np.add.reduceat(e * sim, starts, axis=1) / np.add.reduceat(e, starts, axis=1)
+            mine = rows.column("label").to_numpy(zero_copy_only=False)[at : at + 256][:, None] == names[None]
+            z = scale * (by_class - margin * mine)
+            m, s = _peak(z, np.ones_like(mine))
+            parts.append((rows.column("i").to_numpy()[at : at + 256], m, s, np.where(mine.any(1), np.where(mine, z, 0).sum(1), np.nan)))
+        cols = [np.concatenate(p) for p in zip(*parts)]
+        return pa.Table.from_arrays([*map(pa.array, cols[:3]), pa.array(cols[3], from_pandas=True)], schema=schema)
+
+    return run
+
+
+def class_proxies(rows: DataFrame, proxies: DataFrame, scale: float = 64.0, gamma: float | None = None, margin: float = 0.0, block: int = 4096) -> DataFrame:
+    """Mean cross-entropy of ``scale`` times the similarity to each class, for ``rows(i, label, v)`` and the parameter table ``proxies(label, v)``.
+
+    A class may have several proxies: with ``gamma`` their softmax-weighted similarity counts, else the largest; a row's own class
+    counts ``margin`` less. Vectors are taken at unit length. Blocks of rows meet blocks of classes, each giving
+    one row for each of its rows, so neither side is broadcast. Rows whose label has no proxy are left out.
+    """
+    nr, nc = (max(1, -(-t.count() // block)) for t in (rows, proxies))
+    unit = lambda t, *keep: t.filter(F.col("v").isNotNull()).select(*keep, F.col("label").cast("long").alias("label"), V.normalize(V.as_vector("v")).alias("v"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = unit(rows, F.col("i").cast("long").alias("i")).withColumn("rb", F.pmod(F.xxhash64("i"), F.lit(nr)).cast("int")).withColumn("cb", each(nc))
+    right = unit(proxies).withColumn("cb", F.pmod(F.xxhash64("label"), F.lit(nc)).cast("int")).withColumn("rb", each(nr))
+    parts = left.groupBy("rb", "cb").cogroup(right.groupBy("rb", "cb")).applyInArrow(_class_parts(scale, gamma, margin), "i long, m double, s double, own double")
+    tops = merged_peak(parts, "m", ["i"])
+    per = tops.groupBy("i").agg((F.first("_top") + F.log(F.sum(F.col("s") * F.exp(F.col("m") - F.col("_top")))) - F.max("own")).alias("x"))
+    return per.agg(F.coalesce(F.avg("x"), F.lit(0.0)).alias("loss"))
+
+
+def soft_triple(rows: DataFrame, proxies: DataFrame, scale: float = 20.0, gamma: float = 0.1, margin: float = 0.01) -> DataFrame:
+    """Several centres a class, weighed by a softmax inside the class, then a softmax over classes."""
+    return class_proxies(rows, proxies, scale, gamma, margin)
+
+
+def instance_loss(rows: DataFrame, proxies: DataFrame, gamma: float = 64.0) -> DataFrame:
+    """Classification into instances: one proxy each, cosines times ``gamma``."""
+    return class_proxies(rows, proxies, gamma)
+
+
+#: Library losses by the name that a configuration holds, with its fixed parameters; the first that is part of the name counts.
+NAMED = {
+    "SupConLoss": lambda p: supcon(p, tau=0.07, pos_th=0.5),
+    "CircleLoss": lambda p: circle(p, 0.4, 80.0, 0.5),
+    "RankedListLoss": lambda p: ranked_list(p, 0.4, 1.0, 0.5, None, 0.0),
+    "MultiSimilarityLoss": lambda p: multi_similarity(p, 2.0, 50.0, 0.5, 0.5, every=True),
+    "ContrastiveLoss": lambda p: contrastive(p, 0.0, 1.0),
+    "LiftedLoss": lambda p: lifted_structure(p, 0.0, 1.0),
+    "FastAPLoss": lambda p: fast_ap(p, 30),
+    "NTXentLoss": lambda p: nt_xent(p, 0.07),
+    "TripletLoss": lambda p: triplet_margin(p, 0.05),
+}
+
+
+def by_name(name: str, pairs: GroupPairs, proxies: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """The loss that a configuration names; SoftTriple and instance loss take ``rows`` and a parameter table instead of pairs."""
+    for known, loss in (("SoftTripleLoss", soft_triple), ("InstanceLoss", instance_loss)):
+        if known in name:
+            if rows is None or proxies is None:
+                raise ValueError(f"{known} needs rows and proxies")
+            return loss(rows, proxies)
+    for known, loss in NAMED.items():
+        if known in name:
+            return loss(pairs)
+    raise NotImplementedError(f"unknown loss {name!r}")
 
 
 def bce_with_logits(rows: DataFrame) -> DataFrame:

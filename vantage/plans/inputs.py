@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators.blocks import GroupPairs, meet
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +26,11 @@ def roles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def truth_self(f: DataFrame) -> DataFrame:
-    return f.select(F.col("id").alias("src"), "label").join(f.select(F.col("id").alias("dst"), "label"), "label").filter("src <> dst").select("src", "dst")
+    return meet(f.select(F.col("id").alias("src"), "label"), f.select(F.col("id").alias("dst"), "label"), "label").filter("src <> dst").select("src", "dst")
 
 
 def truth_cross(q: DataFrame, g: DataFrame) -> DataFrame:
-    return q.select(F.col("id").alias("src"), "label").join(g.select(F.col("id").alias("dst"), "label"), "label").select("src", "dst")
+    return meet(q.select(F.col("id").alias("src"), "label"), g.select(F.col("id").alias("dst"), "label"), "label").select("src", "dst")
 
 
 def nodes(f: DataFrame) -> DataFrame:
@@ -39,20 +41,23 @@ def nodes(f: DataFrame) -> DataFrame:
 
 def scene_pairs(n: DataFrame) -> DataFrame:
     """All pairs of a scene in order u < v, with cosine ``w``."""
-    a = n.select("scene", F.col("idx").alias("u"), F.col("v").alias("va"))
-    b = n.select("scene", F.col("idx").alias("v"), F.col("v").alias("vb"))
-    return a.join(b, "scene").filter("u < v").select("scene", "u", "v", V.dot(F.col("va"), F.col("vb")).alias("w"))
+    pairs = GroupPairs(n.select(F.col("scene").alias("sample"), F.col("idx").alias("i"), "v"))
+    return pairs.rows(both=False).select(F.col("sample").alias("scene"), F.col("i").alias("u"), F.col("j").alias("v"), F.col("sim").alias("w"))
 
 
 def raw_edges(n: DataFrame) -> DataFrame:
     return scene_pairs(n).filter("w >= 0.05")
 
 
-def loss_pairs(n: DataFrame) -> DataFrame:
-    """sample, i, j, overlap, sim, both ways; overlap stands for three times the cosine within 0 and 1."""
-    p = scene_pairs(n).withColumn("overlap", F.least(F.greatest(3 * F.col("w"), F.lit(0.0)), F.lit(1.0)))
-    one = p.select(F.col("scene").alias("sample"), F.col("u").alias("i"), F.col("v").alias("j"), "overlap", F.col("w").alias("sim"))
-    return one.unionByName(one.select("sample", F.col("j").alias("i"), F.col("i").alias("j"), "overlap", "sim"))
+def loss_pairs(n: DataFrame) -> GroupPairs:
+    """Pairs of a scene; overlap stands for three times the cosine within 0 and 1."""
+    return GroupPairs(n.select(F.col("scene").alias("sample"), F.col("idx").alias("i"), "v"), overlap=lambda sim: np.clip(3 * sim, 0.0, 1.0))
+
+
+def batches(f: DataFrame, size: int = 256) -> GroupPairs:
+    """Pairs within batches of ``size`` consecutive ids, positives being those of one label."""
+    unit = f.select(F.floor(F.col("id") / size).alias("sample"), F.col("id").alias("i"), "label", V.normalize(F.col("v")).alias("v"))
+    return GroupPairs(unit, overlap="label")
 
 
 def local(f: DataFrame) -> DataFrame:

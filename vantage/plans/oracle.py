@@ -157,6 +157,22 @@ _MS = """pl AS (SELECT sample, i, m + ln(sum(exp(z - m)) + exp(-m)) AS lp FROM (
 nl AS (SELECT sample, i, m + ln(sum(exp(z - m)) + exp(-m)) AS ln_ FROM (SELECT sample, i, 50.0 * (sim - 0.5) AS z, greatest(max(50.0 * (sim - 0.5)) OVER (PARTITION BY sample, i), 0) AS m FROM p WHERE ov < 0.25) GROUP BY sample, i, m),
 ms AS (SELECT coalesce(avg(lp / 2.0 + ln_ / 50.0), 0) AS x FROM pl JOIN nl USING (sample, i))"""
 _RK = "rk AS (SELECT 10.0 * coalesce(avg(greatest(0.0, 0.05 - (a.sim - b.sim))), 0) AS x FROM p a JOIN p b ON a.sample = b.sample AND a.i = b.i WHERE a.ov - b.ov > 0.05)"
+_BATCH = _N + """, b AS (SELECT a.id AS i, o.id AS j, list_inner_product(a.v, o.v) AS s, a.label = o.label AS pos FROM n a JOIN n o ON a.id // 256 = o.id // 256 AND a.id <> o.id),
+e AS (SELECT *, sqrt(greatest(2 - 2 * s, 0)) AS d FROM b)"""
+
+
+def _one(x: str, where: str = "true") -> str:
+    return f"SELECT round(coalesce({x}, 0), 6) AS loss FROM per WHERE {where}"
+
+
+def _sums(z: str, name: str, of: str) -> str:
+    """Log-sum-exp of z by anchor."""
+    return f"{name} AS (SELECT i, m + ln(sum(exp({z} - m))) AS {name} FROM (SELECT *, max({z}) OVER (PARTITION BY i) AS m FROM e WHERE {of}) GROUP BY i, m)"
+
+
+_CLASSES = """c AS (SELECT label, v FROM n WHERE id < 160), x AS (SELECT n.id AS i, n.label AS own, c.label, list_inner_product(n.v, c.v) AS s FROM n, c),
+w AS (SELECT *, exp(s / 0.1 - max(s / 0.1) OVER (PARTITION BY i, label)) AS w FROM x), k AS (SELECT i, own, label, 20 * (sum(w * s) / sum(w) - CASE WHEN own = label THEN 0.01 ELSE 0 END) AS z FROM w GROUP BY i, own, label),
+per AS (SELECT i, ln(sum(exp(z))) - max(CASE WHEN own = label THEN z END) AS x FROM k GROUP BY i)"""
 _REV = " UNION ALL ".join(
     f"SELECT '{n}' AS protocol, round_even(100 * avg(ap), 2) AS map, round_even(100 * avg(p1), 2) AS mp1, round_even(100 * avg(p5), 2) AS mp5, round_even(100 * avg(p10), 2) AS mp10 FROM {n}" for n in "EMH"
 )
@@ -290,6 +306,26 @@ lp AS ({_LSE.format(z='z', t='zp')}), ln2 AS ({_LSE.format(z='z', t='zn')}), b A
 SELECT round(coalesce(avg(greatest(x, 0) + ln(1 + exp(-abs(x)))), 0), 6) AS loss FROM b""",
     "loss_multisim": f"WITH {_LOSS}, {_MS} SELECT round(x, 6) AS loss FROM ms",
     "loss_rank": f"WITH {_LOSS}, {_RK} SELECT round(x, 6) AS loss FROM rk",
+    "loss_library_supcon": f"""WITH {_BATCH}, z AS (SELECT i, s / 0.07 AS z, pos FROM e), l AS (SELECT i, ln(sum(exp(z - 20))) + 20 AS l FROM z GROUP BY i),
+per AS (SELECT i, -sum(z - l) / (count(*) + 1e-8) AS x FROM z JOIN l USING (i) WHERE pos GROUP BY i) {_one('avg(x)')}""",
+    "loss_library_circle": f"""WITH {_BATCH}, {_sums('(-80.0 * greatest(1.4 - s, 0) * (s - 0.6))', 'lp', 'pos')}, {_sums('(80.0 * greatest(s + 0.4, 0) * (s - 0.4))', 'lq', 'NOT pos')},
+per AS (SELECT lp + lq AS t FROM lp JOIN lq USING (i)) {_one('avg(greatest(t, 0) + ln(1 + exp(-abs(t))))')}""",
+    "loss_library_rankedlist": f"""WITH {_BATCH}, o AS (SELECT i, pos, CASE WHEN pos THEN d - 0.8 ELSE 1.2 - d END AS off FROM e), w AS (SELECT *, CASE WHEN off <= 0 THEN 0 WHEN pos THEN 1 ELSE exp(off) END AS w FROM o),
+per AS (SELECT i, coalesce(sum(w * off) FILTER (pos AND w > 0) / sum(w) FILTER (pos AND w > 0), 0) / 2 + coalesce(sum(w * off) FILTER (NOT pos AND w > 0) / sum(w) FILTER (NOT pos AND w > 0), 0) / 2 AS x FROM w GROUP BY i) {_one('avg(x)')}""",
+    "loss_library_multisimilarity": f"""WITH {_BATCH}, per AS (SELECT i, ln(1 + coalesce(sum(exp(2 * (0.5 - s))) FILTER (pos), 0)) / 2 + ln(1 + coalesce(sum(exp(50 * (s - 0.5))) FILTER (NOT pos), 0)) / 50 AS x FROM e GROUP BY i) {_one('avg(x)')}""",
+    "loss_library_contrastive": f"""WITH {_BATCH}, per AS (SELECT pos, CASE WHEN pos THEN d ELSE greatest(1 - d, 0) END AS x FROM e) SELECT round(coalesce(avg(x) FILTER (pos AND x > 0), 0) + coalesce(avg(x) FILTER (NOT pos AND x > 0), 0), 6) AS loss FROM per""",
+    "loss_library_lifted": f"""WITH {_BATCH}, per AS (SELECT i, coalesce(ln(sum(exp(d - 1)) FILTER (pos)), 0) + coalesce(ln(sum(exp(-d)) FILTER (NOT pos)), 0) AS x FROM e GROUP BY i) {_one('avg(greatest(x, 0))')}""",
+    "loss_library_fastap": f"""WITH {_BATCH}, h AS (SELECT i, pos, unnest(range(0, 31)) AS bin, (2 - 2 * s) / (4 / 30.0) AS place FROM e),
+g AS (SELECT i, bin, coalesce(sum(greatest(1 - abs(place - bin), 0)) FILTER (pos), 0) AS p, sum(greatest(1 - abs(place - bin), 0)) AS t FROM h GROUP BY i, bin),
+u AS (SELECT i, p, sum(p) OVER w AS cp, sum(t) OVER w AS ct FROM g WINDOW w AS (PARTITION BY i ORDER BY bin)),
+per AS (SELECT i, 1 - sum(CASE WHEN p > 0 THEN p * cp / ct ELSE 0 END) / sum(p) AS x FROM u GROUP BY i HAVING sum(p) > 0.5) {_one('avg(x)')}""",
+    "loss_library_ntxent": f"""WITH {_BATCH}, q AS (SELECT i, sum(exp(s / 0.07)) AS q FROM e WHERE NOT pos GROUP BY i), per AS (SELECT -ln(exp(s / 0.07) / (exp(s / 0.07) + coalesce(q, 0))) AS x FROM e LEFT JOIN q USING (i) WHERE pos) {_one('avg(x)')}""",
+    "loss_library_triplet": f"WITH {_BATCH}, per AS (SELECT a.d - o.d + 0.05 AS x FROM e a JOIN e o ON a.i = o.i WHERE a.pos AND NOT o.pos) {_one('avg(x)', 'x > 0')}",
+    "loss_library_softtriple": f"WITH {_N}, {_CLASSES} {_one('avg(x)')}",
+    "loss_library_instance": f"""WITH {_F}, n0 AS (SELECT id, list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 1e-12)) AS v FROM f), m AS (SELECT a.id, list_transform(list_zip(a.v, b.v), lambda z: z[1] + 0.5 * z[2]) AS v FROM f a JOIN f b ON b.id = a.id + 1),
+u AS (SELECT id, list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 1e-12)) AS v FROM m), z AS (SELECT n0.id AS i, u.id AS c, 64 * list_inner_product(n0.v, u.v) AS z FROM n0, u),
+per AS (SELECT i, 64 + ln(sum(exp(z - 64))) - max(CASE WHEN i = c THEN z END) AS x FROM z GROUP BY i) {_one('avg(x)')}""",
+    "group_squared_distances": f"WITH {_F} SELECT a.label, a.id AS i, b.id AS j, round(list_aggregate(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])), 'sum'), 6) AS d FROM f a JOIN f b ON a.label = b.label",
     "loss_bce": f"WITH {_F} SELECT round(coalesce(avg(greatest(v[2], 0) - (CASE WHEN label % 2 = 0 THEN v[2] ELSE 0 END) + ln(1 + exp(-abs(v[2])))), 0), 6) AS loss FROM f WHERE id % 7 <> 0",
     "loss_total": f"WITH {_LOSS}, {_MS}, {_RK} SELECT round(ms.x, 6) AS main, round(rk.x, 6) AS aux, round(ms.x + rk.x, 6) AS loss FROM ms, rk",
     "mined_accuracy": f"WITH {_N}, {_knn('k', 3, where='a.id <> b.id')} SELECT round(1 - count(DISTINCT src) / (SELECT count(*) FROM n), 6) AS accuracy FROM k JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE a.label = b.label",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import vectors as V
+from ..operators import blocks as B
 from ..operators import graph as G
 from ..operators import losses as L
 from ..operators import metrics as M
@@ -204,17 +205,17 @@ def gnn_ranking(spark, sf):
 
 @query
 def mine_multi_similarity(spark, sf):
-    return L.multi_similarity_miner(I.loss_pairs(I.nodes(I.features(spark, sf))))
+    return L.multi_similarity_miner(I.loss_pairs(I.nodes(I.features(spark, sf))).rows())
 
 
 @query
 def mine_pair_margin(spark, sf):
-    return L.pair_margin_miner(I.loss_pairs(I.nodes(I.features(spark, sf))), 1.3, 1.3)
+    return L.pair_margin_miner(I.loss_pairs(I.nodes(I.features(spark, sf))).rows(), 1.3, 1.3)
 
 
 @query
 def mine_semihard(spark, sf):
-    mined = L.semihard_triplets(I.loss_pairs(I.nodes(I.features(spark, sf))))
+    mined = L.semihard_triplets(I.loss_pairs(I.nodes(I.features(spark, sf))).rows())
     return mined.groupBy("sample", "i").agg(F.count("*").alias("n"), F.min("j").alias("least_j"), F.max("l").alias("most_l"))
 
 
@@ -586,6 +587,45 @@ def loss_rank(spark, sf):
     return _round(L.overlap_ranking(I.loss_pairs(I.nodes(I.features(spark, sf)))), "loss")
 
 
+def _batch_loss(name):
+    def run(spark, sf):
+        return _round(L.by_name(name, I.batches(I.features(spark, sf))), "loss")
+
+    run.__name__ = f"loss_library_{name[:-4].lower()}"
+    return run
+
+
+for _name in L.NAMED:
+    query(_batch_loss(_name))
+
+
+def _proxies(f, per_class):
+    """A parameter table: the first vectors of each label stand for its classes' centres."""
+    return f.filter(F.col("id") < 10 * per_class * 4).select("label", "v")
+
+
+@query
+def loss_library_softtriple(spark, sf):
+    f = I.features(spark, sf)
+    return _round(L.by_name("SoftTripleLoss", None, _proxies(f, 4), f.select(F.col("id").alias("i"), "label", "v")), "loss")
+
+
+@query
+def loss_library_instance(spark, sf):
+    """Every row an instance of its own: its proxy is its own vector, moved by the next row's."""
+    f = I.features(spark, sf)
+    own = f.select(F.col("id").alias("i"), F.col("id").alias("label"), "v")
+    moved = f.select((F.col("id") - 1).alias("label"), F.col("v").alias("u"))
+    proxies = own.join(moved, "label").select("label", V.add(F.col("v"), F.col("u"), 0.5).alias("v"))
+    return _round(L.by_name("InstanceLoss", None, proxies, own), "loss")
+
+
+@query
+def group_squared_distances(spark, sf):
+    f = I.features(spark, sf).select(F.col("label").alias("sample"), F.col("id").alias("i"), "v")
+    return _round(B.squared_distances(f).withColumnRenamed("sample", "label"), "d")
+
+
 @query
 def loss_bce(spark, sf):
     rows = I.features(spark, sf).select(F.get("v", F.lit(1)).alias("logit"), (F.col("label") % 2 == 0).alias("label"), (F.col("id") % 7 == 0).alias("masked"))
