@@ -106,10 +106,12 @@ def view_index(listing: DataFrame, views: list[str]) -> DataFrame:
     return rows.join(anchor, "cls", "left_semi").select("view", "cls", "path")
 
 
-def resolve(listing: DataFrame, name: str) -> DataFrame:
-    """The file of that name, else with a suffix, else the shortest that holds the name."""
+def resolve(listing: DataFrame, name: str, suffix: str | None = None) -> DataFrame:
+    """The file of that name, else with ``suffix`` (any, where none is given), else the shortest that holds the name (and ends so)."""
     base = P.basename(F.col("path"))
-    rank = F.when(base == name, 0).when(P.stem(F.col("path")) == name, 1).when(base.contains(name), 2)
+    named = P.stem(F.col("path")) == name if suffix is None else base == name + suffix
+    held = base.contains(name) if suffix is None else base.contains(name) & base.endswith(suffix)
+    rank = F.when(base == name, 0).when(named, 1).when(held, 2)
     rows = listing.withColumn("_r", rank).filter("_r is not null")
     return rows.agg(F.min_by("path", F.struct("_r", F.length("path"), "path")).alias("path"))
 
