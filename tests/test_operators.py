@@ -79,28 +79,30 @@ def brute_ranking(q, g, metric):
     return out
 
 
+@pytest.mark.parametrize("limit", [0, 3000, 1 << 20])
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
-def test_search_with_ties_zero_and_null_vectors(spark, metric):
+def test_search_with_ties_zero_and_null_vectors(spark, metric, limit):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, [0.6, 0.8]), (5, [-1.0, 0.0])]
     f = spark.createDataFrame([*rows, (6, None), (7, [None, 1.0])], "id long, v array<double>")
     want = brute_ranking(rows, rows, metric)
     got = {}
-    for r in knn.knn_self(f, 20, metric, block=2).collect():
+    for r in knn.knn_self(f, 20, metric, block=2, limit=limit).collect():
         got.setdefault(r.src, {})[r["rank"]] = r.dst
     assert {i: [d[k] for k in sorted(d)] for i, d in got.items()} == want
     stated = spark.createDataFrame([(0, 2), (0, 4), (4, 3), (5, 5), (0, 6), (9, 1)], "src long, dst long")
-    ranks = {(r.src, r.dst): r["rank"] for r in knn.pair_ranks(f, f, stated, metric, block=2).collect()}
+    ranks = {(r.src, r.dst): r["rank"] for r in knn.pair_ranks(f, f, stated, metric, block=2, limit=limit).collect()}
     assert ranks == {(s, d): want[s].index(d) + 1 for s, d in [(0, 2), (0, 4), (4, 3), (5, 5)]}
-    assert knn.knn_self(f.limit(0), 3, metric).collect() == []
+    assert knn.knn_self(f.limit(0), 3, metric, limit=limit).collect() == []
 
 
-def test_many_ranks_at_once(spark):
+@pytest.mark.parametrize("limit", [0, 3000, 1 << 20])  # nothing, the queries, or the pairs too are sent to all tasks
+def test_many_ranks_at_once(spark, limit):
     rng = np.random.default_rng(3)
     rows = [(i, x) for i, x in enumerate(rng.integers(-2, 3, (60, 3)).astype(float).tolist())]  # many ties
     f = spark.createDataFrame(rows, "id long, v array<double>")
     stated = f.select(F.col("id").alias("src")).crossJoin(f.select(F.col("id").alias("dst")))
     want = brute_ranking(rows, rows, "l2")
-    got = {(r.src, r.dst): r["rank"] for r in knn.pair_ranks(f, f, stated, "l2", block=16).collect()}
+    got = {(r.src, r.dst): r["rank"] for r in knn.pair_ranks(f, f, stated, "l2", block=16, limit=limit).collect()}
     assert got == {(i, j): r + 1 for i, js in want.items() for r, j in enumerate(js)}
 
 

@@ -129,7 +129,7 @@ _RUNS = """e AS (SELECT event_id, user_id, ts, event_type AS scene, lag(event_ty
 runs AS (SELECT *, sum(CASE WHEN before IS DISTINCT FROM scene THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS run FROM e)"""
 _VIEWS = _F + ", vw AS (SELECT id, CASE id % 3 WHEN 0 THEN 'satellite' WHEN 1 THEN 'drone' ELSE 'street' END AS view, CAST(label AS BIGINT) AS cls FROM f)"
 _URLS = "u AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages)"
-_PER_IMAGE = _LOCAL + ", sc AS (SELECT image_id, pos, v[1] AS x FROM lo)"
+_PER_IMAGE = _LOCAL + f", {_D}, sc AS (SELECT image_id, pos, CAST(i - 1 AS INT) AS head, v[i] AS x FROM lo, d)"
 _MATCH = ", mp AS (SELECT src, rank, least('img_' || src, 'img_' || dst) AS name_a, greatest('img_' || src, 'img_' || dst) AS name_b FROM k WHERE src <> dst)"
 
 _DFS = ", ".join([_N, _D, _knn("k", 10), _soft("w0", "k", 5.0), _pull("p1", "w0", "n"), _mix("x1", "n", "p1", 0.2, 0.8), _pull("p2", "w0", "x1"), _mix("x2", "x1", "p2", 0.2, 0.8)])
@@ -222,7 +222,9 @@ SELECT a.sample, a.i, count(*) AS n, min(a.j) AS least_j, max(b.j) AS most_l FRO
 z AS (SELECT scene, count(*) AS n FROM nodes GROUP BY scene), t AS (SELECT scene, max(greatest(u, v)) AS top FROM raw GROUP BY scene)
 SELECT scene, n, CASE WHEN n < 3 THEN 'too few images' WHEN top >= n THEN 'edge to no image' ELSE 'ok' END AS status FROM z LEFT JOIN t USING (scene)""",
     "parameter_keys": f"""WITH {_F} SELECT id, CASE id % 4 WHEN 0 THEN 'backbone.net.layer.' WHEN 1 THEN 'backbone.net.layer.' WHEN 2 THEN 'head.' ELSE 'backbone.net.' END || id AS key FROM f""",
-    "metrics_by_task": f"WITH {_N}, {_QG}, {_cross_rank()}, {_CROSS_TRUTH}, {_metrics('r', 't', [1, 5], 'SELECT count(*) FROM q')} SELECT 'cross' AS task, name, k, value FROM m",
+    "metrics_by_task": "WITH " + ", ".join([_N, _QG, _cross_rank(), _CROSS_TRUTH, _metrics('r', 't', [1, 5], 'SELECT count(*) FROM q', 12).replace('m AS (', 'm1 AS ('),
+        "hq0 AS (SELECT id, v[1:32] AS v FROM q), hg0 AS (SELECT id, v[1:32] AS v FROM g)", *[f"h{s} AS (SELECT id, list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 1e-12)) AS v FROM h{s}0)" for s in "qg"], _cross_rank("hq", "hg", "r2"),
+        _metrics('r2', 't', [1, 5], 'SELECT count(*) FROM q', 12).replace('m AS (', 'm2 AS (').replace('hits', 'hits2').replace('per', 'per2').replace('m AS (', 'm2 AS (')]) + " SELECT 'cross' AS task, name, k, round(avg(value), 6) AS value FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2) GROUP BY name, k",
     "triplet_sample": f"""WITH {_EDGES}, near AS (SELECT DISTINCT scene, u AS anchor, v AS idx FROM e WHERE w >= 0.2), sz AS (SELECT scene, count(*) AS n FROM nodes GROUP BY scene),
 an AS (SELECT scene, anchor, np FROM (SELECT scene, anchor, count(*) AS np FROM near GROUP BY scene, anchor) JOIN sz USING (scene) WHERE n >= 3 AND n - 1 - np >= 1),
 lp AS (SELECT scene, anchor, idx, np, row_number() OVER (PARTITION BY scene, anchor ORDER BY {_hash('idx + anchor * 31', 4)}, idx) - 1 AS r FROM near JOIN an USING (scene, anchor)),
@@ -292,8 +294,8 @@ SELECT a.i - 1 AS i, b.i - 1 AS j, round(sum(a.x * b.x) / (max(n) - 1), 6) AS co
 SELECT item, CAST(i - 1 AS INT) AS i, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY item)), 1e-12), 6) AS x FROM a""",
     "dynamic_power": f"WITH {_F}, {_D} SELECT id, CAST(i - 1 AS INT) AS i, round(sign(v[i]) * pow(abs(v[i]) + 1e-6, 0.5) + v[i], 6) AS x FROM f, d",
     "norm_gating": f"WITH {_F}, {_D} SELECT id, CAST(i - 1 AS INT) AS i, round(v[i] * (1 + 0.3 / (1 + exp(-(1.5 * sqrt(list_inner_product(v, v)) - 0.2)))), 6) AS x FROM f, d",
-    "minmax_map": f"WITH {_PER_IMAGE} SELECT image_id, pos, round((x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w), 6) AS x FROM sc WINDOW w AS (PARTITION BY image_id)",
-    "attention_mass": f"WITH {_PER_IMAGE} SELECT image_id AS head, pos, sum(abs(x)) OVER (PARTITION BY image_id ORDER BY abs(x), pos ROWS UNBOUNDED PRECEDING) / sum(abs(x)) OVER (PARTITION BY image_id) > 0.5 AS kept FROM sc",
+    "minmax_map": f"WITH {_PER_IMAGE} SELECT image_id, head, pos, round((x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w), 6) AS x FROM sc WINDOW w AS (PARTITION BY image_id, head)",
+    "attention_mass": f"WITH {_PER_IMAGE} SELECT image_id, head, pos, sum(abs(x)) OVER (PARTITION BY image_id, head ORDER BY abs(x), pos ROWS UNBOUNDED PRECEDING) / sum(abs(x)) OVER (PARTITION BY image_id, head) > 0.5 AS kept FROM sc",
     "attention_map": f"""WITH {_LOCAL}, s AS (SELECT a.image_id, a.pos AS qpos, b.pos AS kpos, list_inner_product(a.v, b.v) / 8 AS s FROM lo a JOIN lo b ON a.image_id = b.image_id),
 e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY image_id, qpos)) AS e FROM s) SELECT image_id, 0 AS head, qpos, kpos, round(e / sum(e) OVER (PARTITION BY image_id, qpos), 6) AS a FROM e""",
     "rotary_embedding": f"""WITH {_LOCAL}, {_D}, hw AS (SELECT image_id, max(pos // 8) + 1 AS h, max(pos % 8) + 1 AS w FROM lo GROUP BY image_id),
@@ -326,7 +328,7 @@ per AS (SELECT i, 1 - sum(CASE WHEN p > 0 THEN p * cp / ct ELSE 0 END) / sum(p)
 u AS (SELECT id, list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 1e-12)) AS v FROM m), z AS (SELECT n0.id AS i, u.id AS c, 64 * list_inner_product(n0.v, u.v) AS z FROM n0, u),
 per AS (SELECT i, 64 + ln(sum(exp(z - 64))) - max(CASE WHEN i = c THEN z END) AS x FROM z GROUP BY i) {_one('avg(x)')}""",
     "group_squared_distances": f"WITH {_F} SELECT a.label, a.id AS i, b.id AS j, round(list_aggregate(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])), 'sum'), 6) AS d FROM f a JOIN f b ON a.label = b.label",
-    "loss_bce": f"WITH {_F} SELECT round(coalesce(avg(greatest(v[2], 0) - (CASE WHEN label % 2 = 0 THEN v[2] ELSE 0 END) + ln(1 + exp(-abs(v[2])))), 0), 6) AS loss FROM f WHERE id % 7 <> 0",
+    "loss_bce": f"WITH {_F}, {_D} SELECT round(coalesce(avg(greatest(v[i], 0) - (CASE WHEN (label + i - 1) % 2 = 0 THEN v[i] ELSE 0 END) + ln(1 + exp(-abs(v[i])))), 0), 6) AS loss FROM f, d WHERE (id + i - 1) % 7 <> 0",
     "loss_total": f"WITH {_LOSS}, {_MS}, {_RK} SELECT round(ms.x, 6) AS main, round(rk.x, 6) AS aux, round(ms.x + rk.x, 6) AS loss FROM ms, rk",
     "mined_accuracy": f"WITH {_N}, {_knn('k', 3, where='a.id <> b.id')} SELECT round(1 - count(DISTINCT src) / (SELECT count(*) FROM n), 6) AS accuracy FROM k JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE a.label = b.label",
     "infer_id": f"""WITH {_URLS}, x AS (SELECT page_id, string_split(path, '/') AS p FROM u), y AS (SELECT page_id, CASE WHEN len(p) > 1 THEN p[-2] ELSE '' END AS folder, regexp_replace(p[-1], '\\.[^.]*$', '') AS stem FROM x)
@@ -339,7 +341,7 @@ SELECT name FROM x WHERE page_id % 2 = 0 INTERSECT SELECT name FROM x WHERE page
 SELECT (SELECT path FROM y WHERE r IS NOT NULL ORDER BY r, length(path), path LIMIT 1) AS path""",
     "view_class_index": f"WITH {_VIEWS} SELECT view, CAST(cls AS VARCHAR) AS cls, view || '/' || cls || '/' || id || '.jpg' AS path FROM vw WHERE cls IN (SELECT cls FROM vw WHERE view = 'satellite')",
     "manifest_roles": "SELECT vec_id AS id, CASE WHEN vec_id % 5 = 0 THEN 'query' ELSE 'gallery' END AS role FROM embeddings",
-    "feature_by_name": f"WITH {_F} SELECT CAST(id % 100 AS VARCHAR) AS image_name, round(arg_max(v[1], id), 6) AS feat FROM f GROUP BY id % 100",
+    "feature_by_name": f"WITH {_F}, {_D} SELECT CAST(id % 100 AS VARCHAR) AS image_name, CAST(i - 1 AS INT) AS i, round(arg_max(v[i], id), 6) AS x FROM f, d GROUP BY id % 100, i",
     "image_index_names": f"WITH {_F}, x AS (SELECT label AS scene, 'i' || id || '.jpg' AS name, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS idx FROM f) SELECT scene, CAST(idx AS INT) AS idx, name FROM x",
     "scene_edge_aliases": f"WITH {_EDGES} SELECT scene, u, v, round(w, 6) AS w FROM raw",
     "pair_lines": f"WITH {_N}, {_knn('k', 4)}{_MATCH} SELECT DISTINCT name_a || ' ' || name_b AS value FROM mp",

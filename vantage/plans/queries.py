@@ -18,6 +18,7 @@ from ..operators import pooling as PL
 from ..operators import rerank as R
 from ..operators.knn import knn, knn_self, neighbour_labels, neighbour_sequences, pair_ranks, reciprocal
 from ..sources import tables as T
+from ..sources.storage import materialize
 from . import inputs as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,7 +96,7 @@ def metrics_display(spark, sf):
 def _graded(spark, sf):
     f = I.features(spark, sf)
     grade = F.when((F.col("src") + F.col("dst")) % 11 == 0, "junk").when(F.col("src") % 3 == 0, "easy").otherwise("hard")
-    graded = I.truth_self(f).withColumn("grade", grade)
+    graded = materialize(I.truth_self(f).withColumn("grade", grade), "graded")
     return pair_ranks(f, f, graded, exclude_self=True).select("src", "dst", "rank"), graded
 
 
@@ -123,11 +124,12 @@ def cmc_camera(spark, sf):
 
 @query
 def metrics_by_task(spark, sf):
-    """Mean over two feature files of a task: the whole set and its normalised copy give the same scores."""
+    """Mean over two feature files of a task: whole vectors, and their first half alone."""
     q, g = I.roles(spark, sf)
-    m = M.compute_metrics(q, g, I.truth_cross(q, g), [1, 5]).withColumn("task", F.lit("cross"))
-    l2 = M.compute_metrics(q, g, I.truth_cross(q, g), [1, 5], metric="l2").withColumn("task", F.lit("cross"))
-    return _round(M.mean_by_task(m.unionByName(l2)), "value")
+    truth = I.truth_cross(q, g)
+    half = lambda t: t.withColumn("v", F.slice("v", 1, 32))
+    files = [M.compute_metrics(a, b, truth, [1, 5]).withColumn("task", F.lit("cross")) for a, b in ((q, g), (half(q), half(g)))]
+    return _round(M.mean_by_task(files[0].unionByName(files[1])), "value")
 
 
 @query
@@ -228,7 +230,7 @@ def map_old(spark, sf):
 
 @query
 def attention_mass_combined(spark, sf):
-    return PL.combined_mass(_scalar(spark, sf).select(F.col("image_id").alias("head"), "pos", F.abs("x").alias("x")))
+    return PL.combined_mass(_heads(spark, sf).select("head", "pos", F.abs("x").alias("x")))
 
 
 @query
@@ -533,19 +535,21 @@ def norm_gating(spark, sf):
 # Maps and attention
 
 
-def _scalar(spark, sf):
-    return I.local(I.features(spark, sf)).select("image_id", "pos", F.get("v", F.lit(0)).alias("x"))
+def _heads(spark, sf):
+    """Every component of the local vectors as a head of its own."""
+    return I.local(I.features(spark, sf)).select("image_id", "pos", F.posexplode("v").alias("head", "x"))
 
 
 @query
 def minmax_map(spark, sf):
-    return _round(PL.minmax_map(_scalar(spark, sf)), "x")
+    rows = _heads(spark, sf).select(F.struct("image_id", "head").alias("image_id"), "pos", "x")
+    return _round(PL.minmax_map(rows).select("image_id.*", "pos", "x"), "x")
 
 
 @query
 def attention_mass(spark, sf):
-    rows = _scalar(spark, sf).select(F.col("image_id").alias("head"), "pos", F.abs("x").alias("x"))
-    return PL.attention_mass(rows).select("head", "pos", "kept")
+    rows = _heads(spark, sf).select(F.struct("image_id", "head").alias("head"), "pos", F.abs("x").alias("x"))
+    return PL.attention_mass(rows).select("head.image_id", "head.head", "pos", "kept")
 
 
 @query
@@ -628,7 +632,8 @@ def group_squared_distances(spark, sf):
 
 @query
 def loss_bce(spark, sf):
-    rows = I.features(spark, sf).select(F.get("v", F.lit(1)).alias("logit"), (F.col("label") % 2 == 0).alias("label"), (F.col("id") % 7 == 0).alias("masked"))
+    logits = I.features(spark, sf).select("id", "label", F.posexplode("v").alias("at", "logit"))
+    rows = logits.select("logit", ((F.col("label") + F.col("at")) % 2 == 0).alias("label"), ((F.col("id") + F.col("at")) % 7 == 0).alias("masked"))
     return _round(L.bce_with_logits(rows), "loss")
 
 
@@ -694,8 +699,8 @@ def manifest_roles(spark, sf):
 
 @query
 def feature_by_name(spark, sf):
-    f = I.features(spark, sf).select((F.col("id") % 100).cast("string").alias("image_name"), "id", F.get("v", F.lit(0)).alias("feat"))
-    return _round(T.by_name(f, "id"), "feat")
+    f = I.features(spark, sf).select((F.col("id") % 100).cast("string").alias("image_name"), "id", F.col("v").alias("feat"))
+    return I.flat(T.by_name(f, "id").withColumnRenamed("feat", "v"), ["image_name"])
 
 
 @query
