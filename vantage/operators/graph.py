@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def symmetrize(edges: DataFrame) -> DataFrame:
     """Edges both ways, weights within 0 and 1, no self loops; of repeated edges, either way round, the largest weight."""
@@ -85,15 +87,25 @@ def epoch_plan(nodes: DataFrame, per_sample: int, seed: int = 0) -> DataFrame:
     """``(scene, sample, position)``: each scene as often as its size asks, in a hashed order."""
     size = nodes.groupBy("scene").agg(F.count("*").alias("n"))
     rows = size.select("scene", F.explode(F.sequence(F.lit(1), samples_of(F.col("n"), per_sample))).alias("sample"))
-    order = Window.orderBy(hashed(F.col("scene") * 8 + F.col("sample"), seed), "scene", "sample")
-    return rows.withColumn("position", F.row_number().over(order) - 1)
+    return numbered(rows, [hashed(F.col("scene") * 8 + F.col("sample"), seed), "scene", "sample"], "position")
+
+
+def reshuffled(nodes: DataFrame, per_sample: int, seed: int, scenes: int | None = None, samples: int | None = None) -> DataFrame:
+    """The epoch plan again with another seed: the first ``scenes`` scenes by hashed order alone, if given, and ``samples`` of each
+    scene, which sets the number that its size asks for aside."""
+    size = nodes.groupBy("scene").agg(F.count("*").alias("n"))
+    if scenes is not None:
+        size = size.orderBy(hashed(F.col("scene"), seed), "scene").limit(scenes)
+    each = samples_of(F.col("n"), per_sample) if samples is None else F.lit(samples)
+    rows = size.select("scene", F.explode(F.sequence(F.lit(1), each)).alias("sample"))
+    return numbered(rows, [hashed(F.col("scene") * 8 + F.col("sample"), seed), "scene", "sample"], "position")
 
 
 def tiled_plan(nodes: DataFrame, length: int) -> DataFrame:
     """Scenes over and over up to ``length`` samples."""
     scenes = nodes.select("scene").distinct()
     n = scenes.count()
-    at = scenes.withColumn("at", F.row_number().over(Window.orderBy("scene")) - 1)
+    at = numbered(scenes, ["scene"], "at")
     turns = at.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(-(-length // max(1, n)) - 1))))
     return turns.withColumn("position", F.col("turn") * n + F.col("at")).filter(F.col("position") < length).select("position", "scene")
 
@@ -210,8 +222,9 @@ def scene_batches(runs: DataFrame, order: list[str], size: int, within: list[str
 
 
 def drop_neighbours(edges: DataFrame, p: float = 0.3, seed: int = 0) -> DataFrame:
-    """Neighbours dropped with chance ``p``, never rank 0."""
-    return edges.filter((F.col("rank") == 0) | (F.rand(seed) >= p))
+    """Neighbours dropped with chance ``p``, never rank 0; a hash of both ends decides, however the rows are dealt."""
+    draw = hashed(hashed(F.col("src"), seed) * 31 + F.col("dst"), seed + 1) / F.lit(2.0**32)
+    return edges.filter((F.col("rank") == 0) | (draw >= p))
 
 
 def inverted_index(rows: DataFrame, key: str, position: str) -> DataFrame:

@@ -184,6 +184,13 @@ def knn_self(features: DataFrame, k: int, metric: str = "cosine", exclude_self:
     return knn(features, features, k, metric, exclude_self, block, limit)
 
 
+def topk_neighbours(features: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+    """Exactly ``k`` neighbours of every row, itself not among them; a table of ``k`` rows or fewer is an error."""
+    if features.limit(k + 1).count() <= k:
+        raise ValueError(f"{k} neighbours need more than {k} rows")
+    return knn_self(features, k, metric, exclude_self=True)
+
+
 def _better(q: np.ndarray, qid: int, rough: np.ndarray, x: np.ndarray, gid: np.ndarray, by_id: np.ndarray, want: np.ndarray, sims: np.ndarray, metric: str, exclude_self: bool) -> np.ndarray:
     """How many gallery rows come before each stated one (``want``, ``sims``) of a query."""
     use = rough if not exclude_self else np.where(gid == qid, -np.inf, rough)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.storage import materialize
+from .graph import hashed
 
 
 def average(local: DataFrame) -> DataFrame:
@@ -17,8 +19,11 @@ def average(local: DataFrame) -> DataFrame:
 
 
 def class_token(local: DataFrame) -> DataFrame:
-    """The vector marked ``is_cls`` of each image."""
-    return local.filter("is_cls").groupBy("image_id").agg(F.min_by("v", "pos").alias("v"))
+    """The vector marked ``is_cls`` of each image; an image without one is an error when it is met."""
+    own = F.min_by(F.when(F.col("is_cls"), F.col("v")), F.when(F.col("is_cls"), F.col("pos")))
+    found = local.groupBy("image_id").agg(own.alias("v"))
+    error = F.raise_error(F.concat(F.lit("no class token in image "), F.col("image_id").cast("string")))
+    return found.withColumn("v", F.when(F.col("v").isNull(), error.cast(local.schema["v"].dataType)).otherwise(F.col("v")))
 
 
 def generalized_mean(local: DataFrame, p: float = 3.0, eps: float = 1e-6, clamp: bool = False) -> DataFrame:
@@ -131,51 +136,63 @@ def sinkhorn(scores: np.ndarray, bin_score: float = 1.0, rounds: int = 3) -> np.
     return np.exp(s + u[:, None] + v[None] - c)
 
 
-def salad(local: DataFrame, centers: list[list[float]], bin_score: float = 1.0, rounds: int = 3) -> DataFrame:
-    """Optimal-transport pooling, one image a group: scores are dot products with the centres.
+def salad(local: DataFrame, scores, features=None, token=None, bin_score: float = 1.0, rounds: int = 3) -> DataFrame:
+    """Optimal-transport pooling, one image a group. ``scores`` is a list of centres (dot products count) or a function of the vectors.
 
-    An image's unit class vector (``is_cls``) comes first where it has one, then each cluster's unit sum.
+    An image's unit class vector (``is_cls``; the mean of its positions where there is none) comes first, through ``token`` where that is given,
+    then each cluster's unit sum of ``features``. Rows without a vector, or with a null in it, are left out.
     """
-    weights = np.array(centers, np.float64)
+    weights = None if callable(scores) else np.array(scores, np.float64)
+    score = scores if callable(scores) else lambda x: x @ weights.T
 
     def pool(key, table):
         order = np.argsort(table.column("pos").to_numpy(), kind="stable")
         flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         x = flat.reshape(len(table), -1)[order]
-        cls = np.array(table.column("is_cls").to_pylist())[order].astype(bool)
-        p = sinkhorn(weights @ x[~cls].T, bin_score, rounds)[:-1]
-        out = p @ x[~cls]
+        cls = table.column("is_cls").to_numpy(zero_copy_only=False)[order].astype(bool)
+        own, places = (x[cls][:1] if cls.any() else x.mean(0, keepdims=True)), x[~cls]
+        p = sinkhorn(score(places).T, bin_score, rounds)[:-1]
+        out = p @ (features(places) if features else places)
         out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), V.EPS)
-        parts = [x[cls][0] / max(np.linalg.norm(x[cls][0]), V.EPS)] if cls.any() else []
-        return pa.table({"image_id": pa.array([key[0].as_py()], pa.int64()), "v": pa.array([np.concatenate([*parts, out.ravel()]).tolist()], pa.list_(pa.float64()))})
+        own = (token(own) if token else own)[0]
+        joined = np.concatenate((own / max(np.linalg.norm(own), V.EPS), out.ravel()))
+        return pa.table({"image_id": pa.array([key[0].as_py()], pa.int64()), "v": pa.array([joined.tolist()], pa.list_(pa.float64()))})
 
-    rows = local.select(F.col("image_id").cast("long").alias("image_id"), "pos", "is_cls", V.as_vector("v").alias("v"))
+    whole = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull())
+    rows = local.filter(whole).select(F.col("image_id").cast("long").alias("image_id"), "pos", F.coalesce("is_cls", F.lit(False)).alias("is_cls"), V.as_vector("v").alias("v"))
     return rows.groupBy("image_id").applyInArrow(pool, "image_id long, v array<double>")
 
 
+def _whole(vectors: DataFrame) -> DataFrame:
+    return vectors.filter(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
+
+
 def moments(vectors: DataFrame) -> DataFrame:
-    """``(i, j, cov)`` of the centred vectors over n - 1, and means; two passes, sums taken map-side."""
+    """``(i, j, cov)`` of the centred vectors over n - 1, and means; two passes, sums taken map-side. Vectors that are null or hold a null do not count."""
+    vectors = _whole(vectors).select(V.as_vector("v").alias("v"))
+    first = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    n, d = first["n"], first["d"] or 0
     mean = vectors.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))
-    n = vectors.count()
-    listed = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
-    centred = vectors.crossJoin(F.broadcast(listed)).select(F.zip_with("v", "mean", lambda x, y: x - y).alias("v"))
+    shift = np.zeros(d)
+    for r in mean.collect():
+        shift[r["i"]] = r["m"]
 
     def gram(batches):
         total = None
         for b in batches:
-            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) - shift
             total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
             i, j = np.indices(total.shape)
             yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], names=["i", "j", "s"])
 
-    return centred.mapInArrow(gram, "i long, j long, s double").groupBy("i", "j").agg((F.sum("s") / F.lit(n - 1)).alias("cov")).join(
-        F.broadcast(mean.withColumnRenamed("m", "mean")), "i"
-    )
+    sums = vectors.mapInArrow(gram, "i long, j long, s double").groupBy("i", "j").agg((F.sum("s") / F.lit(n - 1)).alias("cov"))
+    means = vectors.sparkSession.createDataFrame([(i, float(m)) for i, m in enumerate(shift)], "i long, mean double")
+    return sums.join(F.broadcast(means), "i")
 
 
-def whiten(vectors: DataFrame, dim: int, ridge: float = 1e-4) -> DataFrame:
-    """Project on the leading ``dim`` principal axes, each at unit variance; eigenvectors of a D x D matrix on the driver."""
+def whitening(vectors: DataFrame, dim: int, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of scaled principal axes and the bias that centres: what ``whiten`` applies and an encoder keeps as parameters."""
     rows = moments(vectors).collect()
     d = max(r["i"] for r in rows) + 1
     cov, mean = np.zeros((d, d)), np.zeros(d)
@@ -183,25 +200,57 @@ def whiten(vectors: DataFrame, dim: int, ridge: float = 1e-4) -> DataFrame:
         cov[r["i"], r["j"]], mean[r["i"]] = r["cov"], r["mean"]
     values, axes = np.linalg.eigh(cov + ridge * np.eye(d))
     top = np.argsort(-values)[:dim]
-    w = axes[:, top] / np.sqrt(values[top])
-    shift = mean @ w
+    w = (axes[:, top] / np.sqrt(values[top])).T
+    return w, -w @ mean
+
+
+def whiten(vectors: DataFrame, dim: int, ridge: float = 1e-4) -> DataFrame:
+    """Project on the leading ``dim`` principal axes, each at unit variance; eigenvectors of a D x D matrix on the driver."""
+    w, bias = whitening(vectors, dim, ridge)
 
     def apply(batches):
         for b in batches:
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            y = x @ w - shift
+            y = x @ w.T + bias
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(y.tolist(), pa.list_(pa.float64()))], names=["id", "v"])
 
-    return vectors.select(F.col("id").cast("long").alias("id"), V.as_vector("v").alias("v")).mapInArrow(apply, "id long, v array<double>")
+    return _whole(vectors).select(F.col("id").cast("long").alias("id"), V.as_vector("v").alias("v")).mapInArrow(apply, "id long, v array<double>")
 
 
-def kmeans_centers(vectors: DataFrame, k: int, rounds: int = 25, seed: int = 42, normalize: bool = False) -> DataFrame:
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def kmeans_centers(vectors: DataFrame, k: int, rounds: int = 25, seed: int = 42, normalize: bool = False, per_centre: int = 16384) -> DataFrame:
+    """``(k, v)``: Lloyd rounds over ``(id, v)`` from the first ``k`` vectors by hashed id, ties to the smaller centre.
 
-    v = V.normalize(V.as_vector("v")) if normalize else V.as_vector("v")
-    model = KMeans(k=k, maxIter=rounds, seed=seed).fit(vectors.select(array_to_vector(v).alias("features")))
-    return vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "k int, v array<double>")
+    At most ``k`` * ``per_centre`` vectors are used, the first by hashed id. Tasks send sums by centre, which are added up before the driver
+    gets them: ``k`` vectors a round. A centre that loses all its vectors stays. Rounds after one that changes nothing are skipped.
+    """
+    rows = _whole(vectors).select(F.col("id").cast("long").alias("id"), (V.normalize(V.as_vector("v")) if normalize else V.as_vector("v")).alias("v"))
+    order = [hashed(F.col("id"), seed), F.col("id")]
+    if rows.count() > k * per_centre:
+        rows = rows.orderBy(*order).limit(k * per_centre)
+    rows = materialize(rows, "kmeans")
+    centres = np.array([r["v"] for r in rows.orderBy(*order).limit(k).collect()], np.float64)
+    found = len(centres)
+
+    def sums(c: np.ndarray):
+        def run(batches):
+            for b in batches:
+                if len(b):
+                    x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
+                    at = ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
+                    named = np.unique(at)
+                    total = [np.append(x[at == j].sum(0), (at == j).sum()) for j in named]
+                    yield pa.RecordBatch.from_arrays([pa.array(named, pa.int32()), pa.array([t.tolist() for t in total], pa.list_(pa.float64()))], names=["k", "v"])
+
+        return run
+
+    for _ in range(rounds if found else 0):
+        moved = centres.copy()
+        for r in V.vector_sum(rows.mapInArrow(sums(centres), "k int, v array<double>"), ["k"], "v").collect():
+            moved[r["k"]] = np.array(r["v"][:-1]) / r["v"][-1]
+        if np.array_equal(moved, centres):
+            break
+        centres = moved
+    return vectors.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "k int, v array<double>")
 
 
 def argmax_map(assigned: DataFrame) -> DataFrame:
@@ -261,3 +310,10 @@ def combined_mass(values: DataFrame, keep: float = 0.5) -> DataFrame:
     """``attention_mass`` of the heads' sum: ``(pos, kept)`` from ``(head, pos, x)``."""
     summed = values.groupBy("pos").agg(F.sum("x").alias("x")).withColumn("head", F.lit(0))
     return attention_mass(summed, keep).select("pos", "kept")
+
+
+def pixels(image: DataFrame, mean: tuple[float, ...] = (0.485, 0.456, 0.406), std: tuple[float, ...] = (0.229, 0.224, 0.225)) -> DataFrame:
+    """``v`` of each pixel, a value a channel, from normalised values back to 0 to 255 (rounded down, kept within)."""
+    m, s = (F.array(*[F.lit(float(x)) for x in c]) for c in (mean, std))
+    raw = F.zip_with(F.zip_with("v", s, lambda x, y: x * y), m, lambda x, y: x + y)
+    return image.withColumn("v", F.transform(raw, lambda x: F.floor(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * 255).cast("int")))

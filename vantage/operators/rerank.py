@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..sources.storage import materialize
 from .knn import knn, knn_self, reciprocal
+from .numbering import numbered
 
 Pair = tuple[DataFrame, DataFrame]
 RERANKERS: dict[str, Callable[..., Pair]] = {}
@@ -133,7 +134,7 @@ def graph_propagation(queries: DataFrame, gallery: DataFrame, k1: int = 50, k2:
     """Rows of the propagated adjacency as dense vectors, a component for each row of either side, by id."""
     rows = graph_rows(queries, gallery, k1, k2)
     ids = _both(queries, gallery).select("id")
-    place = ids.select(F.col("id").alias("f"), (F.row_number().over(Window.orderBy("id")) - 1).alias("at"))
+    place = numbered(ids, ["id"], "at").select(F.col("id").alias("f"), F.col("at").cast("int").alias("at"))
     n = ids.count()
     listed = rows.join(place, "f").groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0.0)))

@@ -170,6 +170,52 @@ def _sums(z: str, name: str, of: str) -> str:
     return f"{name} AS (SELECT i, m + ln(sum(exp({z} - m))) AS {name} FROM (SELECT *, max({z}) OVER (PARTITION BY i) AS m FROM e WHERE {of}) GROUP BY i, m)"
 
 
+_PATCH = _LOCAL.replace("lo AS (", "lo0 AS (") + ", lo AS (SELECT * FROM lo0 WHERE pos > 0)"
+
+
+def _unit_rows(body: str, digits: int = 6) -> str:
+    """image_id, i (from 1) and x of ``body``, each image at unit length."""
+    return f"SELECT image_id, CAST(i - 1 AS INT) AS i, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY image_id)), 1e-12), {digits}) AS x FROM ({body})"
+
+
+def _head(a: int, b: int, p: str, eps: str) -> str:
+    unit = _LOCAL_UNIT.replace("lo AS (", "lo0 AS (") + ", lo AS (SELECT * FROM lo0 WHERE pos > 0)"
+    ge = _gem("lo", "image_id", p, f"greatest(v[i], {eps})")
+    return f"WITH {unit}, {_D}, ge AS ({ge}) " + _unit_rows(f"SELECT image_id, o + 1 AS i, sum(x * ((o * {a} + (i - 1) * {b}) % 13 - 6) / 20.0) AS x FROM ge, (SELECT unnest(range(0, 8)) AS o) GROUP BY image_id, o")
+
+
+def _patch_vlad(n: int) -> str:
+    rows = _assigned(n).replace("lo AS (", "lo0 AS (").replace(", ce AS (", ", lo AS (SELECT * FROM lo0 WHERE pos > 0), ce AS (")
+    return f"WITH {rows}" + _vlad(True).replace("round(x / l, 6)", "round(x / l / sqrt(8.0), 6)")
+
+
+def _sinkhorn(rounds: int) -> str:
+    """CTEs to tp(image_id, pos, k, p) from sc(image_id, pos, k, s), four clusters and the dust bin as the fifth."""
+    out = """nn AS (SELECT image_id, count(*) AS n FROM pl GROUP BY image_id),
+s5 AS (SELECT image_id, pos, k, s FROM sc UNION ALL SELECT image_id, pos, 4, 1.0 FROM pl),
+b0 AS (SELECT image_id, pos, 0.0 AS v FROM pl)"""
+    for r in range(1, rounds + 1):
+        out += f""",
+a{r} AS (SELECT image_id, k, -ln(max(n) + 4) + CASE WHEN k = 4 THEN ln(max(n) - 4) ELSE 0 END - (max(m) + ln(sum(exp(z - m)))) AS u FROM (SELECT image_id, k, s + v AS z, max(s + v) OVER (PARTITION BY image_id, k) AS m FROM s5 JOIN b{r - 1} USING (image_id, pos)) JOIN nn USING (image_id) GROUP BY image_id, k),
+b{r} AS (SELECT image_id, pos, -ln(max(n) + 4) - (max(m) + ln(sum(exp(z - m)))) AS v FROM (SELECT image_id, pos, s + u AS z, max(s + u) OVER (PARTITION BY image_id, pos) AS m FROM s5 JOIN a{r} USING (image_id, k)) JOIN nn USING (image_id) GROUP BY image_id, pos)"""
+    return out + f""",
+tp AS (SELECT image_id, pos, k, exp(s + u + v + ln(n + 4)) AS p FROM s5 JOIN a{rounds} USING (image_id, k) JOIN b{rounds} USING (image_id, pos) JOIN nn USING (image_id) WHERE k < 4)"""
+
+
+def _lloyd(rounds: int) -> str:
+    """CTEs from n to c{rounds}(k, v)."""
+    out = f"c0 AS (SELECT k, v FROM (SELECT row_number() OVER (ORDER BY {_hash('id', 42)}, id) - 1 AS k, v FROM n) WHERE k < 8)"
+    for r in range(1, rounds + 1):
+        dist = "list_aggregate(list_transform(list_zip(n.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])), 'sum')"
+        out += f""", m{r} AS (SELECT id, v, k FROM (SELECT n.id, n.v, c.k, row_number() OVER (PARTITION BY n.id ORDER BY {dist}, c.k) AS r FROM n, c{r - 1} c) WHERE r = 1),
+e{r} AS (SELECT k, i, avg(v[i]) AS x FROM m{r}, d GROUP BY k, i), f{r} AS (SELECT k, list(x ORDER BY i) AS v FROM e{r} GROUP BY k), c{r} AS (SELECT k, coalesce(f.v, c.v) AS v FROM c{r - 1} c LEFT JOIN f{r} f USING (k))"""
+    return out
+
+
+def _w(o: str, i: str, a: int, b: int) -> str:
+    return f"((({o}) * {a} + ({i}) * {b}) % 13 - 6) / 20.0"
+
+
 _CLASSES = """c AS (SELECT label, v FROM n WHERE id < 160), x AS (SELECT n.id AS i, n.label AS own, c.label, list_inner_product(n.v, c.v) AS s FROM n, c),
 w AS (SELECT *, exp(s / 0.1 - max(s / 0.1) OVER (PARTITION BY i, label)) AS w FROM x), k AS (SELECT i, own, label, 20 * (sum(w * s) / sum(w) - CASE WHEN own = label THEN 0.01 ELSE 0 END) AS z FROM w GROUP BY i, own, label),
 per AS (SELECT i, ln(sum(exp(z))) - max(CASE WHEN own = label THEN z END) AS x FROM k GROUP BY i)"""
@@ -247,7 +293,7 @@ SELECT scene, idx, n_pos, n, n - 1 - n_pos AS n_neg FROM p JOIN z USING (scene)
     "min_scene_size": f"WITH {_NODES} SELECT scene, idx FROM nodes WHERE scene IN (SELECT scene FROM nodes GROUP BY scene HAVING count(*) >= 50)",
     "epoch_plan": f"""WITH {_NODES}, z AS (SELECT scene, CASE WHEN count(*) <= 16 THEN 1 ELSE least(greatest(ceil(1.5 * sqrt(count(*) / 16.0)), 1), 8) END AS s FROM nodes GROUP BY scene),
 t AS (SELECT scene, sample FROM z, (SELECT unnest(range(1, 9)) AS sample) WHERE sample <= s)
-SELECT scene, CAST(sample AS INT) AS sample, CAST(row_number() OVER (ORDER BY {_hash('scene * 8 + sample', 1)}, scene, sample) - 1 AS INT) AS position FROM t""",
+SELECT scene, CAST(sample AS INT) AS sample, row_number() OVER (ORDER BY {_hash('scene * 8 + sample', 1)}, scene, sample) - 1 AS position FROM t""",
     "tiled_plan": f"WITH {_NODES}, s AS (SELECT scene, row_number() OVER (ORDER BY scene) - 1 AS nr, count(*) OVER () AS n FROM (SELECT DISTINCT scene FROM nodes)) SELECT turn * n + nr AS position, scene FROM s, (SELECT unnest(range(0, 37)) AS turn) WHERE turn * n + nr < 37",
     "anchor_expand": f"""WITH {_EDGES}, s AS ({_sample(1, 5)}), x AS (SELECT DISTINCT scene, u, v FROM e WHERE w >= 0.1),
 o AS (SELECT scene, u, v FROM (SELECT *, row_number() OVER (PARTITION BY scene, u ORDER BY {_hash('v', 2)}, v) AS r FROM x) WHERE r <= 4),
@@ -280,6 +326,40 @@ SELECT image_id, cell_x, cell_y, CAST(i - 1 AS INT) AS i, round(x, 6) AS x FROM
     "pool_netvlad": f"WITH {_assigned(8)}{_vlad(True)}",
     "pool_ghostvlad": f"WITH {_assigned(10)}{_vlad(True)}",
     "pool_supervlad": f"WITH {_assigned(10, False)}{_vlad(False)}",
+    "pool_salad": f"""WITH {_LOCAL}, {_D}, pl AS (SELECT * FROM lo WHERE pos > 0), ce AS (SELECT k, list((((k * 5 + (i - 1) * 3) % 13) - 6) / 12.0 ORDER BY i) AS c FROM (SELECT unnest(range(0, 4)) AS k), d GROUP BY k),
+sc AS (SELECT image_id, pos, k, list_inner_product(v, CAST(c AS DOUBLE[])) AS s FROM pl, ce), {_sinkhorn(3)},
+o AS (SELECT image_id, k, i, sum(p * v[i]) AS x FROM tp JOIN pl USING (image_id, pos), d GROUP BY image_id, k, i)
+SELECT image_id, CAST(64 + k * 64 + i - 1 AS INT) AS i, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY image_id, k)), 1e-12), 6) AS x FROM o
+UNION ALL SELECT image_id, CAST(i - 1 AS INT), round(v[i] / greatest(sqrt(list_inner_product(v, v)), 1e-12), 6) FROM lo, d WHERE pos = 0""",
+    "encode_gem": f"WITH {_PATCH}, {_D} " + _unit_rows(_gem("lo", "image_id")),
+    "encode_cls": f"WITH {_LOCAL}, {_D} " + _unit_rows("SELECT image_id, i, v[i] AS x FROM lo, d WHERE pos = 0"),
+    "encode_cosplace": _head(7, 3, "3.0", "1e-6"),
+    "encode_eigenplace": _head(5, 2, "2.0", "1e-4"),
+    "encode_netvlad": _patch_vlad(8),
+    "encode_ghostvlad": _patch_vlad(10),
+    "pool_attention": f"""WITH {_LOCAL}, {_D}, o AS (SELECT unnest(range(0, 8)) AS o), qu AS (SELECT unnest(range(0, 3)) AS query),
+q AS (SELECT query, o, sum({_w('o', 'i - 1', 3, 5)} * {_w('query', 'i - 1', 4, 3)}) AS q FROM qu, o, d GROUP BY query, o),
+kv AS (SELECT image_id, pos, o, sum({_w('o', 'i - 1', 4, 5)} * v[i]) AS k, sum({_w('o', 'i - 1', 5, 5)} * v[i]) AS val FROM lo, o, d GROUP BY image_id, pos, o),
+z AS (SELECT image_id, pos, query, o // 4 AS head, sum(q * k) / 2 AS z FROM kv JOIN q USING (o) GROUP BY image_id, pos, query, o // 4),
+a AS (SELECT image_id, pos, query, head, exp(z - max(z) OVER w) AS e FROM z WINDOW w AS (PARTITION BY image_id, query, head)),
+s AS (SELECT image_id, query, o, sum(e * val) / sum(e) AS x FROM a JOIN kv ON kv.image_id = a.image_id AND kv.pos = a.pos AND kv.o // 4 = a.head GROUP BY ALL)
+SELECT image_id, CAST(query AS INT) AS query, CAST(r AS INT) AS i, round(sum({_w('r', 'o', 3, 7)} * x), 6) AS x FROM s, (SELECT unnest(range(0, 8)) AS r) GROUP BY image_id, query, r""".replace("kv.image_id = a.image_id", "kv.image_id = a.image_id").replace("GROUP BY ALL", "GROUP BY a.image_id, query, o").replace("s AS (SELECT image_id, query", "s AS (SELECT a.image_id, query"),
+    "pool_region_tokens": f"""WITH {_LOCAL_UNIT}, {_D}, raw AS ({_LOCAL.split(", lo AS (")[1][:-1]}), p AS (SELECT image_id, v, pos % 8 AS x, (pos // 8) % 6 AS y FROM lo WHERE pos > 0),
+c AS (SELECT image_id, v, 1 + (CASE WHEN y < 3 THEN 0 ELSE 2 END) + (CASE WHEN x < 4 THEN 0 ELSE 1 END) AS token FROM p
+UNION ALL SELECT image_id, v, 5 + 3 * (y // 2) + (CASE WHEN x < 3 THEN 0 WHEN x < 5 THEN 1 ELSE 2 END) FROM p)
+SELECT image_id, CAST(token AS INT) AS token, CAST(i - 1 AS INT) AS i, round(x, 6) AS x FROM ({_gem('c', 'image_id, token', f='greatest(v[i], 1e-6)')})
+UNION ALL SELECT image_id, 0, CAST(i - 1 AS INT), round(v[i], 6) FROM raw, d WHERE pos = 0""",
+    "kmeans_fit": f"WITH {_N}, {_D}, {_lloyd(3)} SELECT CAST(k AS INT) AS k, CAST(i - 1 AS INT) AS i, round(v[i], 6) AS x FROM c3, d",
+    "validation_default": f"WITH {_N}, {_QG}, {_cross_rank()}, {_CROSS_TRUTH}, {_metrics('r', 't', [1, 10, 20], 'SELECT count(*) FROM q')} SELECT * FROM m WHERE name IN ('mAP', 'CMC', 'R')",
+    "denormalized_pixels": f"""WITH {_F}, c AS (SELECT * FROM (VALUES (0, 0.229::DOUBLE, 0.485::DOUBLE), (1, 0.224::DOUBLE, 0.456::DOUBLE), (2, 0.225::DOUBLE, 0.406::DOUBLE)) t(channel, s, m))
+SELECT id, CAST(channel AS INT) AS channel, CAST(floor(least(greatest(v[channel + 1] * 8 * s + m, 0), 1) * 255) AS INT) AS value FROM f, c""",
+    "epoch_reshuffled": f"""WITH {_NODES}, z AS (SELECT DISTINCT scene FROM nodes), s AS (SELECT scene FROM (SELECT scene, row_number() OVER (ORDER BY {_hash('scene', 5)}, scene) AS r FROM z) WHERE r <= 4),
+t AS (SELECT scene, sample FROM s, (SELECT unnest(range(1, 4)) AS sample)) SELECT scene, CAST(sample AS INT) AS sample, row_number() OVER (ORDER BY {_hash('scene * 8 + sample', 5)}, scene, sample) - 1 AS position FROM t""",
+    "neighbour_dropout": f"WITH {_N}, {_knn('k', 10)} SELECT src, CAST(rank AS INT) AS rank, dst FROM k WHERE rank = 0 OR {_hash('CAST(' + _hash('src', 2) + ' * 31 + dst AS HUGEINT)', 3)} / 4294967296.0 >= 0.3",
+    "array_features": f"WITH {_F}, {_D} SELECT 'img_' || id AS image_name, CAST(i - 1 AS INT) AS i, round(v[i], 6) AS x FROM f, d",
+    "key_lookup": f"""WITH {_URLS}, b AS (SELECT page_id, path, string_split(path, '/')[-1] AS base, regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '') AS stem FROM u),
+e AS (SELECT DISTINCT CASE page_id % 3 WHEN 0 THEN base WHEN 1 THEN stem ELSE path END AS key FROM b)
+SELECT page_id, CASE WHEN page_id % 2 = 0 AND base IN (SELECT key FROM e) THEN base WHEN page_id % 2 = 0 AND stem IN (SELECT key FROM e) THEN stem WHEN path IN (SELECT key FROM e) THEN path END AS key FROM b""",
     "vlad_init": f"""WITH {_F}, {_D}, ce AS (SELECT id AS k, v FROM f WHERE id < 8), s AS (SELECT a.k, b.k AS o, sum((a.v[i] - b.v[i]) * (a.v[i] - b.v[i])) AS x FROM ce a, ce b, d WHERE a.k <> b.k GROUP BY a.k, b.k)
 SELECT round(-ln(0.01) / (avg(m) + 1e-12), 6) AS alpha FROM (SELECT k, min(x) AS m FROM s GROUP BY k)""",
     "supervlad_init": f"""WITH {_LOCAL_UNIT}, s AS (SELECT image_id, pos, list_inner_product(lo.v, c.v) AS s, row_number() OVER (PARTITION BY image_id, pos ORDER BY list_inner_product(lo.v, c.v) DESC, c.id) AS r FROM lo, (SELECT * FROM n WHERE id < 8) c)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import vectors as V
+from ..operators import aggregators as AG
 from ..operators import blocks as B
 from ..operators import graph as G
 from ..operators import losses as L
@@ -16,9 +19,10 @@ from ..operators import metrics as M
 from ..operators import pairs as MP
 from ..operators import pooling as PL
 from ..operators import rerank as R
-from ..operators.knn import knn, knn_self, neighbour_labels, neighbour_sequences, pair_ranks, reciprocal
+from ..operators.knn import knn, knn_self, neighbour_labels, neighbour_sequences, pair_ranks, reciprocal, topk_neighbours
+from ..sources import arrays as A
 from ..sources import tables as T
-from ..sources.storage import materialize
+from ..sources.storage import materialize, shared_dir
 from . import inputs as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,7 +60,7 @@ def knn_topk_single(spark, sf):
 @query
 def neighbour_label_edges(spark, sf):
     f = I.features(spark, sf)
-    return neighbour_labels(knn_self(f, 10, exclude_self=True), f).select("src", "rank", "dst", "is_pos")
+    return neighbour_labels(topk_neighbours(f, 10), f).select("src", "rank", "dst", "is_pos")
 
 
 @query
@@ -471,6 +475,87 @@ def pool_salad(spark, sf):
     return I.flat(PL.salad(I.local(f), c), ["image_id"])
 
 
+# Encoders: aggregators with parameters, by name
+
+
+def _drawn(rows: int, columns: int, a: int, b: int, scale: float = 20.0):
+    """A parameter matrix with small entries that other engines can work out."""
+    i, j = np.indices((rows, columns))
+    return ((i * a + j * b) % 13 - 6) / scale
+
+
+def _block(p, name, d, wide):
+    for n, key in enumerate(("attn.q", "attn.k", "attn.v", "attn.o")):
+        p[f"{name}.{key}"] = _drawn(d, d, 5 + n, 3)
+    p[f"{name}.ff.0.w"], p[f"{name}.ff.1.w"] = _drawn(wide, d, 7, 2), _drawn(d, wide, 3, 5)
+
+
+def _boq_parameters():
+    p = {"conv.w": _drawn(16, 9 * 64, 3, 7), "conv.b": _drawn(1, 16, 1, 1)[0], "fc.w": _drawn(3, 4, 2, 5), "fc.b": _drawn(1, 3, 1, 4)[0]}
+    p |= {f"block0.{k}": _drawn(16, 16, 2 + n, 5) for n, k in enumerate(f"{m}.{c}" for m in ("self", "cross") for c in "qkvo")}
+    p["block0.queries"] = _drawn(4, 16, 3, 4)
+    _block(p, "block0.encoder", 16, 32)
+    return p
+
+
+def _vlad_parameters(spark, sf, n, bias=True):
+    c = np.array([r["v"] for r in I.centers(I.features(spark, sf), n).orderBy("k").collect()])
+    return {"centers": c, "assign.w": 8.0 * c, "assign.b": -4.0 * (c * c).sum(1) * bias}
+
+
+def _encoders():
+    gate = lambda p: p | {"softp.0.w": _drawn(4, 1, 3, 1), "softp.1.w": _drawn(1, 4, 1, 3), "dpn.0.w": _drawn(4, 64, 3, 5), "dpn.1.w": _drawn(1, 4, 2, 3)}
+    return {
+        "avg": (lambda spark, sf: {}, {}), "gem": (lambda spark, sf: {}, {}), "cls": (lambda spark, sf: {}, {}),
+        "cosplace": (lambda spark, sf: {"fc.0.w": _drawn(8, 64, 7, 3)}, {}),
+        "eigenplace": (lambda spark, sf: {"fc.0.w": _drawn(8, 64, 5, 2)}, {"power": 2.0, "eps": 1e-4}),
+        "netvlad": (lambda spark, sf: _vlad_parameters(spark, sf, 8), {}),
+        "ghostvlad": (lambda spark, sf: _vlad_parameters(spark, sf, 10), {"ghosts": 2}),
+        "supervlad": (lambda spark, sf: gate(_vlad_parameters(spark, sf, 10, False)), {"ghosts": 2}),
+        "salad": (lambda spark, sf: {"score.0.w": _drawn(6, 64, 3, 5), "score.1.w": _drawn(4, 6, 5, 3), "feature.0.w": _drawn(5, 64, 2, 3), "token.0.w": _drawn(7, 64, 1, 5)}, {}),
+        "boq": (lambda spark, sf: _boq_parameters(), {"heads": 2, "blocks": 1}),
+        "cricavpr": (lambda spark, sf: _crica_parameters(), {"heads": 4, "blocks": 1, "width": 8, "height": 6, "batch": 4}),
+    }
+
+
+def _crica_parameters():
+    p = {}
+    _block(p, "encoder0", 64, 32)
+    return p
+
+
+def _encoder(name, parameters, options):
+    def run(spark, sf):
+        f = I.features(spark, sf)
+        local = I.local(f).withColumn("y", F.col("y") % 6)
+        p = parameters(spark, sf)
+        if name == "avg":  # the whole tail of an encoder
+            w, b = PL.whitening(f.select("v"), 16)
+            p = {"bn.mean": np.full(64, 0.01), "bn.var": np.full(64, 0.5), "whiten.w": np.abs(w), "whiten.b": b * 0}
+        if name == "boq":  # one vector a place
+            local = local.filter("not is_cls and pos < 48")
+        return I.flat(AG.encode(name, local, p, **options), ["image_id"])
+
+    run.__name__ = f"encode_{name}"
+    return run
+
+
+for _name, (_p, _o) in _encoders().items():
+    query(_encoder(_name, _p, _o))
+
+
+@query
+def pool_attention(spark, sf):
+    p = {f"a.{k}": _drawn(8, 64, 3 + n, 5) for n, k in enumerate("qkv")} | {"a.o": _drawn(8, 8, 3, 7)}
+    return I.flat(AG.attention_pool(I.local(I.features(spark, sf)), _drawn(3, 64, 4, 3), p, "a", 2), ["image_id", "query"])
+
+
+@query
+def pool_region_tokens(spark, sf):
+    local = I.local(I.features(spark, sf)).withColumn("y", F.col("y") % 6)
+    return I.flat(AG.region_tokens(local, 8, 6), ["image_id", "token"])
+
+
 @query
 def vlad_init(spark, sf):
     return _round(PL.vlad_parameters(I.centers(I.features(spark, sf), 8)), "alpha")
@@ -512,7 +597,7 @@ def whiten_apply(spark, sf):
 
 @query
 def kmeans_fit(spark, sf):
-    return PL.kmeans_centers(I.features(spark, sf), 8, normalize=True)
+    return I.flat(PL.kmeans_centers(I.features(spark, sf), 8, rounds=3, normalize=True), ["k"])
 
 
 @query
@@ -650,9 +735,51 @@ def mined_accuracy(spark, sf):
     return _round(M.mined_accuracy(mined, f.count()), "accuracy")
 
 
+@query
+def validation_default(spark, sf):
+    q, g = I.roles(spark, sf)
+    return _round(M.validation_metrics("other", q, g, I.truth_cross(q, g)), "value")
+
+
+@query
+def denormalized_pixels(spark, sf):
+    f = I.features(spark, sf).select("id", F.transform(F.slice("v", 1, 3), lambda x: x * 8).alias("v"))
+    return PL.pixels(f).select("id", F.posexplode("v").alias("channel", "value"))
+
+
+@query
+def epoch_reshuffled(spark, sf):
+    n, _ = _graph(spark, sf)
+    return G.reshuffled(n, 16, seed=5, scenes=4, samples=3)
+
+
+@query
+def neighbour_dropout(spark, sf):
+    return G.drop_neighbours(knn_self(I.features(spark, sf), 10), 0.3, seed=2).select("src", "rank", "dst")
+
+
 # Paths and sources
 
 
+@query
+def array_features(spark, sf):
+    """Through array files and back."""
+    f = I.features(spark, sf).select(F.concat(F.lit("img_"), F.col("id")).alias("image_name"), F.col("v").alias("feat"))
+    where = f"{shared_dir(spark)}/arrays-{uuid.uuid4().hex}"
+    A.write_feature_arrays(f, where)
+    return I.flat(A.read_feature_arrays(spark, where).withColumnRenamed("feat", "v"), ["image_name"])
+
+
+@query
+def key_lookup(spark, sf):
+    """Every second name is that of a file; keys are held by file name, by stem or as they are."""
+    u = _urls(spark, sf)
+    third = F.col("page_id") % 3
+    entries = u.select(F.when(third == 0, P.basename(F.col("path"))).when(third == 1, P.stem(F.col("path"))).otherwise(F.col("path")).alias("key")).distinct()
+    wanted = u.select("page_id", F.col("path").alias("name"), (F.col("page_id") % 2 == 0).alias("is_file"))
+    return T.look_up(wanted, entries).select("page_id", "key")
+
+
 def _urls(spark, sf):
     return I.read(spark, sf, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("path"))
 

@@ -146,3 +146,22 @@ def state_keys(found: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(found, "key", "left_anti").withColumn("status", F.lit("missing")).unionByName(
         found.join(wanted, "key", "left_anti").withColumn("status", F.lit("unexpected"))
     )
+
+
+def look_up(wanted: DataFrame, entries: DataFrame) -> DataFrame:
+    """``wanted`` with ``key``: the first of a name's forms that ``entries`` holds (``key``), or null.
+
+    The forms of a name that ``is_file`` are its file name, its stem and itself; of others, itself alone.
+    """
+    itself = F.col("name")
+    forms = F.when(F.col("is_file"), F.array(P.basename(itself), P.stem(itself), itself)).otherwise(F.array(itself))
+    named = wanted.select("name", "is_file").distinct().select("name", "is_file", F.posexplode(forms).alias("_at", "key"))
+    best = named.join(entries.select("key").distinct(), "key").groupBy("name", "is_file").agg(F.min_by("key", "_at").alias("key"))
+    return wanted.join(best, ["name", "is_file"], "left")
+
+
+def truth_of_files(files: DataFrame, registry: DataFrame) -> DataFrame:
+    """Files with the ground truth ``(task, src, dst)`` of their task; a task without any is an error when it is met."""
+    error = F.raise_error(F.concat(F.lit("no ground truth for task "), F.col("task")))
+    rows = files.join(registry, "task", "left")
+    return rows.withColumn("src", F.when(F.col("src").isNull(), error.cast("long")).otherwise(F.col("src")))
