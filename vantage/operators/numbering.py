@@ -11,7 +11,7 @@ from ..sources.storage import materialize
 
 
 def numbered(df: DataFrame, order: list[str | Column], name: str = "number") -> DataFrame:
-    """Rows with their place from 0 in ``order``, which should tell all rows apart.
+    """Rows with their place from 0 in rising ``order`` (columns or values), which should tell all rows apart.
 
     Rows are dealt by ranges of the order and written, so that the ranges stay as they are; the ranges' counts, one for each partition,
     give the offsets, and each range is numbered for itself.
