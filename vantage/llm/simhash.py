@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_once, materialize, measured, row_key
+from .common import discard, join_once, materialize, measured
 from .components import connected_components
 
 _BLOCK = 1 << 14
@@ -43,8 +43,6 @@ class ByteIndex:
 
 #: Links at 4 bits of 64 share 4 of 8 bytes at least: a changed bit touches one byte.
 EXACT = ByteIndex()
-#: Links at 90 bits of 512: texts with 0.8 of their shingles in common differ by 78 in the mean. No guarantee.
-WIDE = ByteIndex(lanes=8, matches=4, radius=90, tables=320)
 
 
 def _lanes(h: np.ndarray, lanes: int) -> np.ndarray:
@@ -236,33 +234,3 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, id_col:
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "n")
     placed = join_once(prints, materialize(named, "components"), "fp", "n")
     return placed.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, index: ByteIndex = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(k1, k2)`` of the row that each component of near-duplicates keeps: the smallest id, null ids last, then by content.
-
-    Texts of the same words are one node, however many rows have them.
-    """
-    rows = docs.select(F.col(id_col).alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
-    kind, names = rows.schema["doc_id"].dataType.simpleString(), _names(index.lanes)
-    shape = f"doc_id {kind}, k1 long, k2 long, t1 long, t2 long, " + ", ".join(f"{f} long" for f in names)
-    prints = rows.mapInArrow(_fingerprints(width, 42, index.lanes, True), shape)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("first")
-    texts = prints.groupBy("t1", "t2").agg(first, *[F.min(f).alias(f) for f in names])
-    nodes = materialize(texts.select("first", *names, F.monotonically_increasing_id().alias("node")), "texts")
-    roots = link_nodes(nodes.select("node", *names), index)
-    rooted = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.k1", "first.k2")
-
-
-def keep_one(docs: DataFrame, width: int = 5, index: ByteIndex = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of near-duplicates, that with the smallest id (null ids last), all columns as they are.
-
-    Texts are near-duplicates where their fingerprints over shingles of ``width`` words are linked by
-    ``index``; the default stands for 0.8 of the shingles in common. Of rows that are equal in id and
-    text, one stays. Null and empty texts, and those without words, are one component. An empty table
-    gives an empty table; columns may have any names.
-    """
-    kept = near_duplicates(docs, width, index, id_col, text_col)
-    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *row_key(id_col, text_col))
-    return marked.join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
