@@ -285,9 +285,9 @@ def slow_dedup(rows, min_words, min_run):
             while j < len(units) and again[j]:
                 j += 1
             run = list(range(i, j))
-            while run and len(units[run[0]][2]) < min_words:
+            while min_run > 1 and run and len(units[run[0]][2]) < min_words:
                 del run[0]
-            while run and len(units[run[-1]][2]) < min_words:
+            while min_run > 1 and run and len(units[run[-1]][2]) < min_words:
                 del run[-1]
             if run and sum(len(units[x][2]) for x in run) >= min_run:
                 gone.append((units[run[0]][0], units[run[-1]][1], len(run)))
@@ -310,7 +310,7 @@ def test_units_cover_the_words():
     assert same[1][0] not in same[0]  # after a short sentence in its line it is another unit
 
 
-@pytest.mark.parametrize("min_words, min_run", [(8, 30), (1, 1), (3, 10)])
+@pytest.mark.parametrize("min_words, min_run", [(8, 1), (8, 30), (1, 1), (3, 10)])
 def test_dedup_of_documents(documents, min_words, min_run):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     want = slow_dedup(rows, min_words, min_run)
@@ -322,10 +322,24 @@ def test_dedup_passage_in_the_middle_of_a_line(spark):
     passage = "Here a passage starts that many texts of this corpus share word for word. It has a second sentence which goes on for a while too. Yes. And a third one follows, no shorter than the others, at the very end of it all."
     rows = [(i, f"Text number {i} has {i} things to say to all who read this. {passage} and then {i} other things come at {i}.") for i in range(5)]
     rows += [(9, "A short line that is here twice.\nOnce more it comes.\nA short line that is here twice."), (10, "A short line that is here twice.")]
-    got = {r.doc_id: r for r in dedup_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in dedup_units(docs, min_run=30).collect()}
     assert got[0].n_removed == got[9].n_removed == got[10].n_removed == 0 and got[0].kept_text == rows[0][1]
     for i in range(1, 5):
         assert got[i].kept_text == rows[i][1].replace(passage, "") and got[i].n_removed == 3
+    got = {r.doc_id: r for r in dedup_units(docs).collect()}
+    assert got[9].kept_text == "A short line that is here twice.\nOnce more it comes.\n" and got[10].kept_text == "" and got[0].n_removed == 0
+
+
+def test_no_repeated_unit_is_left(documents):
+    """Every unit of the kept spans is the first of its words; what is removed has been seen before."""
+    seen, texts = set(), {r.doc_id: r.text for r in documents.collect()}
+    for r in sorted(dedup_units(documents).collect(), key=lambda r: r.doc_id):
+        gone = [(x.start, x.end) for x in r.removed]
+        for s, e, w in slow_units(texts[r.doc_id], 8):
+            again = tuple(w) in seen
+            assert again == any(a <= s and e <= b for a, b in gone)
+            seen.add(tuple(w))
 
 
 def test_dedup_messy_and_empty(messy, messy_rows, empty):

@@ -69,17 +69,18 @@ def _units(min_words: int):
 def removed_runs(again: list[tuple[int, int, int, int]], min_words: int, min_run: int) -> tuple[int, list[tuple[int, int]]]:
     """How many units go and in what spans, from the ``(at, start, end, words)`` of a text's repeated units.
 
-    Runs of neighbouring repeated units, from a unit of at least ``min_words`` words to another such one,
-    that have ``min_run`` words together.
+    Neighbours are one span. With a ``min_run`` above 1 only runs go that have so many words together, from a unit of
+    at least ``min_words`` words to another such one.
     """
     count, spans = 0, []
     run: list[tuple[int, int, int, int]] = []
     for unit in [*sorted(again), None]:
         if run and (unit is None or unit[0] != run[-1][0] + 1):
-            while run and run[0][3] < min_words:
-                run.pop(0)
-            while run and run[-1][3] < min_words:
-                run.pop()
+            if min_run > 1:
+                while run and run[0][3] < min_words:
+                    run.pop(0)
+                while run and run[-1][3] < min_words:
+                    run.pop()
             if run and sum(u[3] for u in run) >= min_run:
                 count += len(run)
                 spans.append((run[0][1], run[-1][2]))
@@ -112,14 +113,13 @@ def _cut(min_words: int, min_run: int):
     return run
 
 
-def dedup_units(docs: DataFrame, min_words: int = 8, min_run: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Remove every passage of units that earlier places of the corpus have already.
+def dedup_units(docs: DataFrame, min_words: int = 8, min_run: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Remove every unit that an earlier place of the corpus has already.
 
     Units are lines, cut again after sentences of ``min_words`` words (see ``text_units``), compared by the
     digest of their normalised words. Places are ranked by (doc_id, content hash, start), null ids last; a unit
-    is repeated if its digest has an earlier place. Repeated units that follow one another and
-    have ``min_run`` words together are removed (see ``removed_runs``); common phrases, short lines and headings that happen to be
-    elsewhere too stay, unless ``min_run`` and ``min_words`` are 1. What repeats inside a unit without being one is kept.
+    is repeated if its digest has an earlier place, and goes, however short it is. A ``min_run`` above 1 spares common phrases, short lines
+    and headings: then only runs of so many words go (see ``removed_runs``). What repeats inside a unit without being one is kept.
 
     All digests are grouped over the whole corpus: the smallest place is a partial aggregate, and only
     digests seen twice are joined back, those of very many places in parts, so a line that fills a third
