@@ -269,7 +269,7 @@ def _beaten_scan(asked: Broadcast, stated: Broadcast, metric: str, exclude_self:
                 for r in range(len(rough)):
                     own = slice(starts[at + r], starts[at + r + 1])
                     better[own] += _better(q[row[at + r]], src[starts[at + r]], rough[r], x, gid, order, dst[own], sims[own], metric, exclude_self)
-        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(better)], schema=_COUNTED)
+        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(sims), pa.array(better)], names=["src", "dst", "sim", "better"])
 
     return run
 
@@ -301,9 +301,8 @@ def pair_ranks(
             src, dst, sim = (table.column(c).to_numpy() for c in ("src", "dst", "sim"))
             starts = np.append(np.flatnonzero(np.diff(src, prepend=src[:1] - 1)), len(src))
             given = sc.broadcast((src, dst, sim, starts))
-            counts = gs.mapInArrow(_beaten_scan(asked, given, metric, exclude_self, block), "src long, dst long, better long")
-            ranks = counts.groupBy("src", "dst").agg((F.sum("better") + 1).alias("rank"))
-            return stated.join(ranks, ["src", "dst"]).select("src", "dst", "sim", "rank")
+            counts = gs.mapInArrow(_beaten_scan(asked, given, metric, exclude_self, block), "src long, dst long, sim double, better long")
+            return counts.groupBy("src", "dst").agg(F.first("sim").alias("sim"), (F.sum("better") + 1).alias("rank"))
     else:
         unit = V.normalize(F.col("v")) if metric == "cosine" else F.col("v")
         sim = V.dot(F.col("qv"), F.col("gv")) if metric == "cosine" else -V.l2(F.col("qv"), F.col("gv"))
