@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from vantage.llm.common import join_once
 from vantage.llm.components import connected_components
 from vantage.llm.linededup import dedup_units, text_units
-from vantage.llm.neardup import WIDE, WideIndex, _counted, _lists, candidates, keep_one, near_duplicates, shingles
-from vantage.llm.simhash import ByteIndex, fingerprint, link_fingerprints, link_nodes, shared_bytes, simhash_components, words_of
+from vantage.llm.neardup import WIDE, WideIndex, _counted, _lists, _numbers, _planes, candidates, keep_one, near_duplicates, shingles
+from vantage.llm.simhash import ByteIndex, _postings, fingerprint, link_fingerprints, link_nodes, linked, shared_bytes, simhash_components, words_of
 
 
 def slow_fingerprint(text):
@@ -129,6 +129,18 @@ def test_tally_of_shared_bytes(spark):
     assert all(r.n == sum((r.a ^ r.b) >> 8 * i & 255 == 0 for i in range(8)) for r in got)
 
 
+def test_pairs_with_a_common_posting_are_dropped_by_count(spark):
+    """Three equal bytes are a posting in common and one too few; four pass, whatever the bits."""
+    index = ByteIndex(1, 4, 64)
+    rows = [(0, int.from_bytes(bytes([0] * keep + [255] * (8 - keep)), "little", signed=True)) for keep in range(8)]
+    got = spark.createDataFrame(rows, "a long, b long").select("b", linked([F.col("a")], [F.col("b")], index).alias("ok")).collect()
+    assert [r.ok for r in got] == [keep >= 4 for keep in range(8)]
+    prints = [(0,), (rows[3][1],)]
+    keys = [{r.key for r in _postings(spark.createDataFrame([(p[0], p[0])], "node long, f0 long"), index).collect()} for p in prints]
+    assert len(keys[0]) == 56 and len(keys[0] & keys[1]) == 1
+    assert link_nodes(spark.createDataFrame([(p[0], p[0]) for p in prints], "node long, f0 long"), index).collect() == []
+
+
 def test_keep_one(messy, messy_rows, documents, empty):
     kept = keep_one(messy)
     assert kept.columns == messy.columns
@@ -209,6 +221,7 @@ def test_lists_are_put_down_to_their_pivots():
     keys, pivots, pairs = _lists(h, node, True)
     assert keys.tolist() == [5, 7, 9] and len(pairs) == 2
     assert [len(x) for x in _lists(h[:0], node[:0], True)] == [0, 0, 0]
+    assert _numbers(_planes(np.array([3, -1, 2**40]))).tolist() == [3, -1, 2**40]
 
 
 def test_candidates_of_a_large_group(spark):
