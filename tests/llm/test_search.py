@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import types as T
 
-from vantage.llm.crosspolytope import Rotations, hadamard, nearest, search
+from vantage.llm.crosspolytope import Rotations, centre_of, hadamard, nearest, search
 
 
 def brute(rows, every=100, k=10):
@@ -100,3 +100,24 @@ def test_six_rows_have_all_their_neighbours(spark):
     rows = [(i, rng.normal(size=64).tolist()) for i in range(6)]
     got = collect(search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
     assert got[0][0] == brute(rows)[0][0] and len(got[0][0]) == 5
+
+
+def test_a_narrow_cone_is_spread_over_the_buckets(spark):
+    """A query meets fewer rows in all tables together than there are; from the origin it would meet each of them several times."""
+    rng = np.random.default_rng(13)
+    q = rng.normal(size=64)
+    x = q / np.linalg.norm(q) + 0.02 * rng.normal(size=(4000, 64))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    centre = centre_of(df.withColumnRenamed("embedding", "vec"), 64)
+    assert np.allclose(centre, x.mean(0))
+    r = Rotations(64, 8)
+
+    def met(x):
+        own, asked = r.buckets(x, 1)[:, :, 0], r.buckets(x[:40], 12)
+        return sum((own[None, :, t, None] == asked[:, t][:, None]).any(2).sum(1).mean() for t in range(8)) / len(x)
+
+    assert met(x) > 4 and met(x - centre) < 1
+    rows = list(enumerate(x.tolist()))
+    want, got = brute(rows, 400), collect(search(df, every=400))
+    assert sum(len(set(got[i][0]) & set(want[i][0])) for i in want) >= 0.9 * sum(len(want[i][0]) for i in want)
+    assert search(df.selectExpr("vec_id", "transform(embedding, v -> 1e307 * v) as embedding")).count() > 0

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -25,20 +24,21 @@ _BLOCK = 1 << 14
 class ByteIndex:
     """How fingerprints of ``lanes`` 64-bit words are indexed, filtered and linked.
 
-    A posting holds the bytes at ``matches`` chosen positions, so sharing one means sharing at least
-    ``matches`` positional bytes. With all choices (``tables`` None) every pair whose tally of shared
-    bytes reaches ``matches`` has a posting in common; with ``tables`` of them, drawn once at random, a
-    pair that shares more bytes than that most likely has.
+    A linked pair has equal bytes at ``matches`` positions at least. A posting holds one position less (or one, if that is none), and
+    there is one for every choice, so a linked pair has ``matches`` postings or more in common. A pair with a posting
+    in common is counted: how many of all its positional bytes are equal. Only those with ``matches`` are verified.
     """
 
     lanes: int = 1
     matches: int = 4
     radius: int = 4
-    tables: int | None = None
+
+    @property
+    def held(self) -> int:
+        return max(1, self.matches - 1)
 
     def choices(self) -> list[tuple[int, ...]]:
-        every = list(combinations(range(8 * self.lanes), self.matches))
-        return every if self.tables is None else random.Random(7).sample(every, self.tables)
+        return list(combinations(range(8 * self.lanes), self.held))
 
 
 #: Links at 4 bits of 64 share 4 of 8 bytes at least: a changed bit touches one byte.
@@ -124,17 +124,17 @@ def linked(left: list[Column], right: list[Column], index: ByteIndex) -> Column:
 def _postings(nodes: DataFrame, index: ByteIndex) -> DataFrame:
     """``(key, node)``: one row for each choice of positions; a key is the choice's number and the bytes there."""
     choices = np.array(index.choices())
-    if (len(choices) - 1).bit_length() + 8 * index.matches > 63:
+    if (len(choices) - 1).bit_length() + 8 * index.held > 63:
         raise ValueError("a posting's bytes and number do not fit 63 bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = np.arange(len(choices), dtype=np.int64) << 8 * index.matches
+        numbers = np.arange(len(choices), dtype=np.int64) << 8 * index.held
         for batch in batches:
             prints = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], 1).view(np.uint8)
             for at in range(0, len(prints), 1024):
                 some = prints[at : at + 1024]
                 keys = np.tile(numbers, (len(some), 1))
-                for j in range(index.matches):
+                for j in range(index.held):
                     keys |= some[:, choices[:, j]].astype(np.int64) << 8 * j
                 node = np.repeat(batch.column(0)[at : at + 1024].to_numpy(zero_copy_only=False), len(choices))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node)], names=["key", "node"])
