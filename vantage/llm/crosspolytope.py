@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import vector_mean
 from .common import materialize, row_key
 
 
@@ -32,7 +33,8 @@ class Rotations:
 
     def scores(self, x: np.ndarray, table: int) -> np.ndarray:
         """Nearness of unit vectors to each signed axis: first the positive ones."""
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        length = np.linalg.norm(x, axis=1, keepdims=True)
+        x = x / np.where(length > 0, length, 1.0)
         y = np.zeros((len(x), self.width))
         y[:, : self.dim] = x
         for s in self.signs[table]:
@@ -51,10 +53,17 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _hash(rotations: Rotations, probes: int):
+def centre_of(rows: DataFrame, dim: int) -> np.ndarray:
+    """Mean of the vectors ``vec``; zero where it is not a finite number."""
+    mean = vector_mean(rows.select(F.lit(0).alias("all"), "vec"), ["all"], "vec", "m").first()
+    found = np.array(mean["m"] if mean else [0.0] * dim, np.float64)
+    return np.where(np.isfinite(found), found, 0.0)
+
+
+def _hash(rotations: Rotations, probes: int, centre: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = rotations.buckets(_matrix(batch.column(3), rotations.dim), probes)
+            found = rotations.buckets(_matrix(batch.column(3), rotations.dim) - centre, probes)
             flat = found.reshape(len(found), -1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "buckets"])
@@ -118,8 +127,8 @@ def search(
     """query_id, rank, vec_id and score of the ``k`` nearest rows found to each row whose id is divisible by ``every``.
 
     Nearness is Euclidean distance in double precision on the original vectors; ties go to the smaller
-    id. Every row is in one bucket of each table, that of the signed axis nearest to its rotated unit
-    vector; a query looks into the ``probes`` buckets nearest to it in each table, and what it finds is
+    id. Vectors are hashed from their mean, as distances stay the same and a narrow cone would share its buckets. Every row is in one bucket of each
+    table, that of the signed axis nearest to its rotated unit vector; a query looks into the ``probes`` buckets nearest to it in each table, and what it finds is
     ranked by exact distance. Vectors that are null, zero, hold null or non-finite components, or
     differ in length from the commonest length take no part, nor do rows with a null id. Repeated rows
     count once; rows that share an id are never each other's neighbours. A query that finds fewer than
@@ -141,14 +150,14 @@ def search(
     least = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))
     few = rows.dropDuplicates(["k1", "k2", "vec_id"]).withColumn("r", least).filter(F.col("r") <= k + 1)
     groups = few.groupBy("k1", "k2").agg(F.min("vec_id").alias("gid"), F.first("vec").alias("vec"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    rotations = Rotations(dim, tables)
+    rotations, centre = Rotations(dim, tables), centre_of(rows, dim)
     probes = min(probes, 2 * rotations.width)
 
     shape = f"k1 long, k2 long, gid long, vec {kept}, ids array<long>, buckets array<int>"
-    index = materialize(groups.select("k1", "k2", "gid", "vec", "ids").mapInArrow(_hash(rotations, 1), shape), "hashed")
+    index = materialize(groups.select("k1", "k2", "gid", "vec", "ids").mapInArrow(_hash(rotations, 1, centre), shape), "hashed")
     asked = materialize(rows.filter(F.col("vec_id") % every == 0).select("vec_id", "k1", "k2", "vec").dropDuplicates(["vec_id", "k1", "k2"]), "asked")
     shape = f"k1 long, k2 long, gid long, vec {kept}, buckets array<int>"
-    queries = asked.groupBy("k1", "k2").agg(F.min("vec_id").alias("gid"), F.first("vec").alias("vec")).select("k1", "k2", "gid", "vec").mapInArrow(_hash(rotations, probes), shape)
+    queries = asked.groupBy("k1", "k2").agg(F.min("vec_id").alias("gid"), F.first("vec").alias("vec")).select("k1", "k2", "gid", "vec").mapInArrow(_hash(rotations, probes, centre), shape)
     queries = materialize(queries, "probing")
 
     placed = index.select("gid", "vec", F.posexplode("buckets").alias("tbl", "bucket"))
