@@ -12,7 +12,7 @@ from vantage.llm.pii import base_spans
 def test_every_query_is_registered():
     names = entry.queries()
     assert "pipeline" in names
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
 
 
 def test_stages_against_their_operators(spark, small):
