@@ -4,8 +4,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from vantage.operators import graph, pooling
+from vantage.operators import losses as L
 from vantage.operators import metrics as M
+from vantage.operators.blocks import GroupPairs
 from vantage.operators.sweep import similarity, swept
 
 
@@ -82,3 +86,74 @@ def test_a_sweep_within_groups_meets_the_whole_group_once(table, rows):
     found = {r.id: r for r in swept(side, side, work, "id long, n long, cells long", "dot", within=True, held=1).collect()}
     sizes = {g: sum(label == g for _, label, _ in rows) for g in range(4)}
     assert {i: f.n for i, f in found.items()} == {i: sizes[label] for i, label, _ in rows if label is not None}
+
+
+@pytest.fixture(scope="module")
+def scenes(spark):
+    """Scene 0 has most nodes; some have no vector, and some are equal to others."""
+    rng, rows = random.Random(9), []
+    for scene, n in ((0, 40), (1, 17), (2, 1)):
+        kinds = [np.array([rng.gauss(0, 1) for _ in range(4)]) for _ in range(max(1, n // 2))]
+        for i in range(n):
+            v = kinds[rng.randrange(len(kinds))]
+            rows.append((scene, i, (v / np.linalg.norm(v)).tolist() if i % 9 != 8 else None))
+    return spark.createDataFrame(rows, "scene long, idx long, v array<double>").repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def listed(scenes):
+    from vantage.plans import inputs
+
+    return graph.symmetrize(inputs.scene_pairs(scenes).filter("w >= 0.05")).cache()
+
+
+def bag(df):
+    return sorted((tuple(round(x, 9) if isinstance(x, float) else tuple(x) if isinstance(x, list) else x for x in (r[c] for c in sorted(df.columns))) for r in df.collect()), key=repr)
+
+
+GRAPHS = {
+    "neighbours": lambda n, e: graph.neighbor_lists(n.select("scene", "idx"), e, 0.15),
+    "subgraph": lambda n, e: graph.subgraph(e, graph.uniform_sample(n.select("scene", "idx"), 12, seed=3), add_self=True),
+    "fetch": lambda n, e: graph.fetch_nodes(n, e, graph.uniform_sample(n.select("scene", "idx"), 2, seed=5)),
+    "eligible": lambda n, e: graph.eligible_anchors(n, e, 0.2),
+    "ratio": lambda n, e: graph.positive_ratio(n, e, 0.1),
+    "expand": lambda n, e: graph.expand_anchors(n, e, graph.uniform_sample(n.select("scene", "idx"), 1, seed=5), 16, hops=3, fan=2, threshold=0.3, seed=2),
+    "balanced": lambda n, e: graph.balanced_sample(n, e, 8, 0.1),
+    "triplets": lambda n, e: graph.triplets(n.select("scene", "idx"), n, e, 0.2, n_pos=3, n_neg=2, seed=4),
+}
+
+
+@pytest.mark.parametrize("name", GRAPHS)
+def test_edges_where_they_are_asked_for_give_what_a_table_of_all_gives(scenes, listed, name):
+    found = GRAPHS[name](scenes, graph.Overlaps(scenes, 0.05))
+    want = GRAPHS[name](scenes, listed)
+    assert sorted(found.columns) == sorted(want.columns) and bag(found) == bag(want) and want.count() > 0
+
+
+def test_all_edges(scenes, listed):
+    assert bag(graph.Overlaps(scenes, 0.05).edges()) == bag(listed)
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_anchors_of_large_groups_meet_them_whole(scenes, text):
+    """Groups of more than one block, as one block each would give; what meets is not exchanged in lists."""
+    nodes = scenes.select(scenes["scene"].cast("string" if text else "long").alias("sample"), scenes["idx"].alias("i"), "v")
+    pairs = [GroupPairs(nodes, lambda s: np.clip(3 * s, 0.0, 1.0), block) for block in (7, 1000)]
+    assert bag(L.overlap_ranking(pairs[0])) == bag(L.overlap_ranking(pairs[1]))
+    assert bag(L.multi_similarity_miner(pairs[0])) == bag(L.multi_similarity_miner(pairs[1].rows()))
+    want = L.semihard_triplets(pairs[1].rows()).groupBy("sample", "i").agg(F.count("*").alias("n"), F.min("j").alias("least_j"), F.max("l").alias("most_l"))
+    assert bag(L.semihard_counts(pairs[0])) == bag(want) and want.count() > 5
+    plan = pairs[0].anchors(lambda s, o: (float(s.sum()), len(s)), "x double, n long")._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+
+
+def test_attention_of_images_and_heads(spark):
+    rng = np.random.default_rng(2)
+    rows = [(image, head, pos, rng.normal(size=3).tolist()) for image, n in ((4, 30), (7, 2)) for head in (0, 1) for pos in range(n)]
+    side = spark.createDataFrame(rows, "image_id long, head int, pos int, v array<double>").repartition(3)
+    found = {(r.image_id, r.head, r.qpos, r.kpos): r.a for r in pooling.attention_map(side, side, 3).collect()}
+    for image, head, pos, v in rows:
+        keys = [(k, np.exp(np.dot(v, u) / 3**0.5)) for i, h, k, u in rows if (i, h) == (image, head)]
+        for k, e in keys:
+            assert found.pop((image, head, pos, k)) == pytest.approx(e / sum(x for _, x in keys))
+    assert not found
