@@ -368,3 +368,15 @@ def test_a_very_common_unit_is_joined_in_parts(spark):
     lookup = spark.createDataFrame([(0, 334, "zero"), (1, 333, "one"), (5, 1, "none")], "d1 long, n long, name string")
     got = join_once(units, lookup, "d1", "n", per=50).groupBy("name").count().collect()
     assert {r["name"]: r["count"] for r in got} == {"zero": 334, "one": 333}
+
+
+def test_shared_postings_need_no_join(spark, monkeypatch):
+    """A posting learns its list's smallest member where the list is read, so no join's rows grow with a group."""
+    from vantage.llm import simhash
+
+    plans, write = {}, simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: (plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}), write(df, name))[1])
+    prints = [1 << i for i in range(40)] + [0, (1 << 62) - 1]
+    roots = {r.node: r.root for r in simhash.link_fingerprints(spark.createDataFrame([(p,) for p in prints], "fp long")).collect()}
+    assert roots == {p: 0 for p in prints[:-1]}
+    assert "Join" not in plans["postings"] and "Window" in plans["postings"]

@@ -11,7 +11,7 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, join_once, materialize, measured
@@ -169,9 +169,8 @@ def link_nodes(nodes: DataFrame, index: ByteIndex, block: int = 256) -> DataFram
     names = _names(index.lanes)
     parts = max(8, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     posted = _postings(nodes.repartition(parts, F.xxhash64("node")), index)  # a node becomes many postings: spread them
-    lists = posted.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").drop("z")
-    lists = materialize(lists, "lists")
-    shared = materialize(posted.join(lists.hint("merge"), "key"), "postings")
+    own = Window.partitionBy("key")  # read in order of the keys; a long list spills, and each posting stays one row
+    shared = materialize(posted.withColumns({"a": F.min("node").over(own), "z": F.max("node").over(own)}).filter("a <> z").select("key", "a", "node"), "postings")
     left, right = [F.col("a" + f) for f in names], [F.col("b" + f) for f in names]
     pairs = shared.filter("a <> node").select("a", F.col("node").alias("b")).distinct()
     pairs = _with_lanes(_with_lanes(pairs, "b", "b", nodes, index), "a", "a", nodes, index)
@@ -186,7 +185,7 @@ def link_nodes(nodes: DataFrame, index: ByteIndex, block: int = 256) -> DataFram
     marked = shared.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     open_, figures = measured(marked.join(mixed.filter("lo <> hi").drop("lo", "hi"), "key"), "open", n=F.count(F.lit(1)))
-    for done in (shared, lists, stars, more):
+    for done in (shared, stars, more):
         discard(done)
     if not figures["n"]:
         return found
