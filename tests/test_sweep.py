@@ -6,11 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vantage.operators import graph, pooling
+from vantage.operators import graph, knn, pooling
 from vantage.operators import losses as L
 from vantage.operators import metrics as M
 from vantage.operators.blocks import GroupPairs
-from vantage.operators.sweep import similarity, swept
+from vantage.operators.sweep import similarity, streamed, swept
 
 
 @pytest.fixture(scope="module")
@@ -157,3 +157,58 @@ def test_attention_of_images_and_heads(spark):
         for k, e in keys:
             assert found.pop((image, head, pos, k)) == pytest.approx(e / sum(x for _, x in keys))
     assert not found
+
+
+def moved(spark, df) -> int:
+    """Bytes that exchanges write while the plan runs."""
+    sc = spark.sparkContext
+    store, none = sc._jsc.sc().statusStore(), sc._jvm.java.util.ArrayList()
+    stages = lambda: sum(x.shuffleWriteBytes() for x in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)))
+    before = stages()
+    df().write.format("noop").mode("overwrite").save()
+    return stages() - before
+
+
+@pytest.mark.parametrize("buffered", [40, 1 << 19])
+def test_streamed_blocks_meet_everything_and_cut_no_class(spark, buffered):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(9), [rng.gauss(0, 1) for _ in range(3)]) for i in range(130)]
+    table = spark.createDataFrame(rows, "id long, g long, v array<double>").repartition(4)
+    own = table.selectExpr("g as id", "g", "v")
+
+    def seen(mine, others):
+        blocks = [(len(b.ids), set(b.groups.tolist())) for b in others]
+        again = sum(len(g) for _, g in blocks) - len(set().union(*(g for _, g in blocks)))
+        n = len(mine.ids)
+        return {"id": mine.ids, "n": np.full(n, sum(n for n, _ in blocks)), "again": np.full(n, again), "least": np.full(n, min(mine.groups))}
+
+    found = streamed(table, own, seen, "id long, n long, again long, least long", block=6, whole=True, buffered=buffered)
+    met = found.groupBy("id").agg(F.sum("n").alias("n"), F.sum("again").alias("again")).collect()
+    assert {r.id: (r.n, r.again) for r in met} == {i: (130, 0) for i in range(130)}
+
+
+def test_a_search_over_many_blocks_deals_each_row_once(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, x) for i, x in enumerate(rng.normal(size=(600, 16)).tolist())]
+    f = spark.createDataFrame(rows, "id long, v array<double>").repartition(2).cache()
+    f.count()
+    for run in [lambda block: knn.knn_self(f, 3, block=block, limit=0)]:
+        few, many = (moved(spark, lambda: run(block)) for block in (300, 10))  # rows were copied for each of 2 blocks of the other side, and of 60
+        assert 0 < many < 2 * few
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_best_so_far_agrees_with_all_at_once(metric):
+    rng = np.random.default_rng(6)
+    x = rng.integers(-2, 3, (900, 4)) + 1000.0 * (metric == "l2")  # many ties, far from zero
+    x = x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None] if metric == "cosine" else x
+    gid = rng.permutation(900)
+    for exclude in (False, True):
+        exact = knn._in_order(x[:, None], x[None], metric)
+        if exclude:
+            exact[np.arange(900), np.arange(900)] = -np.inf
+        want = knn._first(np.tile(gid, (900, 1)), exact, 7)
+        ids, sims = np.empty((900, 0), np.int64), np.empty((900, 0))
+        for at in range(0, 900, 90):
+            ids, sims = knn._better_yet(x, gid, x[at : at + 90], gid[at : at + 90], ids, sims, 7, metric, exclude)
+        assert (ids == want[0]).all() and (sims == want[1]).all()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..sources.storage import materialize, measured
+from .sweep import Rows, streamed
 
 #: BLAS sums in another order than ours; what is this close is compared by our own sum.
 _CLOSE = 1e-9
@@ -44,6 +45,15 @@ def _rough(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return -np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T, 0))
 
 
+def _order(q: np.ndarray, x: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """A number that falls as gallery rows get farther, by BLAS, and for each query how far off it may be. Distances stay squared,
+    as the root of a small difference of large numbers would be off by far more."""
+    if metric == "cosine":
+        return q @ x.T, np.full(len(q), _CLOSE)
+    lengths, others = (q * q).sum(1), (x * x).sum(1)
+    return 2 * q @ x.T - lengths[:, None] - others[None], 1e-12 * (lengths + others.max(initial=0))
+
+
 _NONE = np.iinfo(np.int64).max
 
 
@@ -66,7 +76,7 @@ def _best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, gid: np.ndarray, k: int
     ids, sims = np.full((len(q), min(k, take)), _NONE), np.full((len(q), min(k, take)), -np.inf)
     for at in range(0, len(q), step):
         some, own = q[at : at + step], qid[at : at + step]
-        rough = _rough(some, x, metric)
+        rough, off = _order(some, x, metric)
         if exclude_self:
             rough[own[:, None] == gid[None]] = -np.inf
         near = np.argpartition(-rough, take - 1, axis=1)[:, :take] if take < len(x) else np.tile(np.arange(len(x)), (len(some), 1))
@@ -75,7 +85,7 @@ def _best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, gid: np.ndarray, k: int
             exact[gid[near] == own[:, None]] = -np.inf
         ids[at : at + step], sims[at : at + step] = _first(gid[near], exact, k)
         if take < len(x):
-            edge = np.take_along_axis(rough, near, 1).min(1) - _CLOSE
+            edge = np.take_along_axis(rough, near, 1).min(1) - 2 * off
             for r in np.flatnonzero((rough >= edge[:, None]).sum(1) > take):
                 tied = np.flatnonzero(rough[r] >= edge[r])
                 tied = tied[gid[tied] != own[r]] if exclude_self else tied
@@ -85,6 +95,36 @@ def _best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, gid: np.ndarray, k: int
     return ids, sims
 
 
+def _better_yet(
+    q: np.ndarray, qid: np.ndarray, x: np.ndarray, gid: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int, metric: str, exclude_self: bool
+) -> tuple[np.ndarray, np.ndarray]:
+    """``ids`` and ``sims``, the best so far, with those that are better among more rows. Only rows as near as a query's ``k``-th are compared exactly."""
+    if ids.shape[1] < k:
+        more = _best(q, qid, x, gid, k, metric, exclude_self)
+        return _first(np.hstack((ids, more[0])), np.hstack((sims, more[1])), k)
+    ids, sims, step = ids.copy(), sims.copy(), max(1, min(512, (1 << 22) // max(1, len(x))))
+    for at in range(0, len(q), step):
+        s = slice(at, at + step)
+        rough, off = _order(q[s], x, metric)
+        last = sims[s, -1]
+        row, to = np.nonzero(rough >= ((last if metric == "cosine" else -last * last) - 2 * off)[:, None])
+        if exclude_self:
+            other = gid[to] != qid[s][row]
+            row, to = row[other], to[other]
+        if not len(row):
+            continue
+        counts = np.bincount(row, minlength=len(rough))
+        if len(row) > 64 * len(rough) or counts.max() > 1024:  # many are as near
+            more = _best(q[s], qid[s], x, gid, k, metric, exclude_self)
+        else:
+            place = np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
+            more = np.full((len(rough), counts.max()), _NONE), np.full((len(rough), counts.max()), -np.inf)
+            more[0][row, place], more[1][row, place] = gid[to], _in_order(q[s][row], x[to], metric)
+        some = np.flatnonzero(counts)
+        ids[at + some], sims[at + some] = _first(np.hstack((ids[at + some], more[0][some])), np.hstack((sims[at + some], more[1][some])), k)
+    return ids, sims
+
+
 _FOUND = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("sim", pa.float64())])
 
 
@@ -93,14 +133,16 @@ def _listed(qid: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> list[pa.Array
     return [pa.array(np.broadcast_to(qid[:, None], ids.shape)[there]), pa.array(ids[there]), pa.array(sims[there])]
 
 
-def _top(k: int, metric: str, exclude_self: bool):
-    def run(queries: pa.Table, gallery: pa.Table) -> pa.Table:
-        if not len(queries) or not len(gallery):
-            return _FOUND.empty_table()
-        qid = queries.column("id").to_numpy()
-        return pa.Table.from_arrays(_listed(qid, *_best(_vectors(queries, metric), qid, _vectors(gallery, metric), gallery.column("id").to_numpy(), k, metric, exclude_self)), schema=_FOUND)
+def _nearest(k: int, metric: str, exclude_self: bool):
+    """The ``k`` best of a block of queries, of gallery rows that come a block at a time."""
 
-    return run
+    def fold(mine: Rows, others: Iterator[Rows]) -> dict[str, np.ndarray | pa.Array]:
+        ids, sims = np.empty((len(mine.ids), 0), np.int64), np.empty((len(mine.ids), 0))
+        for some in others:
+            ids, sims = _better_yet(mine.v, mine.ids, some.v, some.ids, ids, sims, k, metric, exclude_self)
+        return dict(zip(_FOUND.names, _listed(mine.ids, ids, sims)))
+
+    return fold
 
 
 def _in_blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
@@ -122,8 +164,7 @@ def _scan(asked: Broadcast, k: int, metric: str, exclude_self: bool, block: int)
         qid, q = asked.value
         ids, sims = np.empty((len(qid), 0), np.int64), np.empty((len(qid), 0))
         for table in _in_blocks(batches, block):
-            more = _best(q, qid, _vectors(table, metric), table.column("id").to_numpy(), k, metric, exclude_self)
-            ids, sims = _first(np.hstack((ids, more[0])), np.hstack((sims, more[1])), k)
+            ids, sims = _better_yet(q, qid, _vectors(table, metric), table.column("id").to_numpy(), ids, sims, k, metric, exclude_self)
         yield pa.RecordBatch.from_arrays(_listed(qid, ids, sims), schema=_FOUND)
 
     return run
@@ -160,19 +201,17 @@ def knn(
 
     Both sides hold ``id`` and ``v``. Cosine normalises them; any other metric is Euclidean distance, ``sim``
     then being its negative. A query set of at most ``limit`` bytes, which is measured first, goes to all tasks, and the gallery
-    is read once, where it lies. A larger one meets it in blocks, each pair one bounded task. Either way a task
-    keeps ``k`` rows a query, a window merges them, and no ranking is held whole.
+    is read once, where it lies. Of a larger one, each block meets the whole gallery block by block in one task, so both sides are
+    shuffled once, however large they are. Either way a task keeps ``k`` rows a query, a window merges them, and no ranking is held whole.
     """
     metric = "cosine" if metric == "cosine" else "l2"
     qs, gs = prepare(queries), prepare(gallery)
-    n, held = _gathered(qs, metric, limit)
+    held = _gathered(qs, metric, limit)[1]
     if held:
         found = gs.mapInArrow(_scan(queries.sparkSession.sparkContext.broadcast(held), k, metric, exclude_self, block), "src long, dst long, sim double")
         return _ranked(found, k)
-    nq, ng = max(1, -(-n // block)), max(1, -(-gs.count() // block))
-    q, g = _blocks(qs, "qb", nq, "gb", ng), _blocks(gs, "gb", ng, "qb", nq)
-    found = q.groupBy("qb", "gb").cogroup(g.groupBy("qb", "gb")).applyInArrow(_top(k, metric, exclude_self), "src long, dst long, sim double")
-    return _ranked(found, k)
+    sides = [t.select("id", F.lit(0).alias("g"), "v") for t in (qs, gs)]
+    return _ranked(streamed(*sides, _nearest(k, metric, exclude_self), "src long, dst long, sim double", metric, block), k)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
