@@ -192,7 +192,8 @@ def test_a_search_over_many_blocks_deals_each_row_once(spark):
     rows = [(i, x) for i, x in enumerate(rng.normal(size=(600, 16)).tolist())]
     f = spark.createDataFrame(rows, "id long, v array<double>").repartition(2).cache()
     f.count()
-    for run in [lambda block: knn.knn_self(f, 3, block=block, limit=0)]:
+    own = f.select(F.col("id").alias("i"), F.col("id").alias("label"), "v")
+    for run in (lambda block: knn.knn_self(f, 3, block=block, limit=0), lambda block: L.class_proxies(own, own, block=block)):
         few, many = (moved(spark, lambda: run(block)) for block in (300, 10))  # rows were copied for each of 2 blocks of the other side, and of 60
         assert 0 < many < 2 * few
 
