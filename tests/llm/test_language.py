@@ -92,3 +92,13 @@ def test_sample_is_bounded_however_many_labels(spark):
     rows = [(i, "some words here", f"l{i % 300}") for i in range(3000)] + [(5000, "x " * 40_000, "long")]
     got = sample_labelled(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 5, max_rows=700)
     assert len(got) == 700 and {lab for _, lab in got} == {f"l{i}" for i in range(300)}
+
+
+def test_the_driver_holds_neither_the_sample_nor_the_fit(spark, monkeypatch):
+    def here(samples):
+        raise AssertionError("fitted on the driver")
+
+    docs = spark.createDataFrame([(i, t, lab) for i in range(8) for t, lab in (("the cat and the dog", "en"), ("le chat et le chien", "fr"))], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "train_tagger", here)  # workers import their own
+    found = {r.lang_pred for r in langid.identify_language(docs).collect()}
+    assert found == {"en", "fr"}

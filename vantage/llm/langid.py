@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import random
 import re
 from collections import Counter
@@ -281,8 +282,8 @@ def remainder(id_col: str, modulus: int) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
 
 
-def sample_labelled(docs: DataFrame, per_label: int, max_rows: int = 20_000, max_chars: int = 50_000) -> list[tuple[str, str]]:
-    """Whole texts to learn from, by least hash of id and label: at most ``per_label`` of each label, at most
+def labelled_sample(docs: DataFrame, per_label: int, max_rows: int = 20_000, max_chars: int = 50_000) -> DataFrame:
+    """``(text, lang)``: whole texts to learn from, by least hash of id and label: at most ``per_label`` of each label, at most
     ``max_rows`` in all however many labels there are, none of more than ``max_chars`` code points."""
     short = docs.filter(F.length("text") <= max_chars)
     keys = short.select(F.col("doc_id"), "lang", F.xxhash64("doc_id", "lang").alias("h"))
@@ -291,7 +292,17 @@ def sample_labelled(docs: DataFrame, per_label: int, max_rows: int = 20_000, max
     chosen = ranked.orderBy("r", "h", "lang").limit(max_rows).select("doc_id", "lang").distinct()
     again = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id", F.xxhash64("text")))
     rows = short.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text", again.alias("r"))  # max_rows at most
-    return [(r["text"], r["lang"]) for r in rows.filter(F.col("r") <= per_label).orderBy("r", "lang").limit(max_rows).collect()]
+    return rows.filter(F.col("r") <= per_label).orderBy("r", "lang").limit(max_rows).select("text", "lang")
+
+
+def sample_labelled(docs: DataFrame, per_label: int, max_rows: int = 20_000, max_chars: int = 50_000) -> list[tuple[str, str]]:
+    """The rows of ``labelled_sample``."""
+    return [(r["text"], r["lang"]) for r in labelled_sample(docs, per_label, max_rows, max_chars).collect()]
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    samples = [(text, lab) for batch in batches for text, lab in zip(*(c.to_pylist() for c in batch.columns))]
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train_tagger(samples))], pa.binary())], names=["tagger"])
 
 
 def _predict(tagger: Tagger):
@@ -307,9 +318,10 @@ def _predict(tagger: Tagger):
 
 
 def _tagger(rows: DataFrame, per_label: int, modulus: int, held: int) -> Tagger:
-    """Learn from labelled rows (doc_id, text, lang) that are not held out."""
+    """Learn from labelled rows (doc_id, text, lang) that are not held out. A task fits the bounded sample; the driver gets the model alone."""
     learn = rows.filter(F.coalesce(remainder("doc_id", modulus) != held, F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    return train_tagger(sample_labelled(learn, per_label))
+    found = labelled_sample(learn, per_label).repartition(1).mapInArrow(_fit, "tagger binary").first()
+    return pickle.loads(found["tagger"]) if found else train_tagger([])
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.0, per_label: int = 200, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
@@ -337,7 +349,7 @@ def identify_language(docs: DataFrame, per_label: int = 200, modulus: int = 4, h
     """doc_id, held_out, lang_pred and score of every text.
 
     The field learns from at most ``per_label`` texts of each non-null label, among rows whose
-    crc32(id) modulo ``modulus`` is not ``held`` (see ``sample_labelled``); this bounds what the driver fits
+    crc32(id) modulo ``modulus`` is not ``held`` (see ``labelled_sample``); this bounds what one task fits
     on. Prediction reads the text alone, and all of it: texts are judged in groups of about 150,000 words, a longer
     one by itself in segments, with memory in proportion to its words. Words are tagged by marginals of the whole text; the prediction is the label with the largest
     mean marginal, the score. ``und`` with score 0 where the text is null or has no letter, or nothing
