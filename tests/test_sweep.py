@@ -213,3 +213,16 @@ def test_best_so_far_agrees_with_all_at_once(metric):
         for at in range(0, 900, 90):
             ids, sims = knn._better_yet(x, gid, x[at : at + 90], gid[at : at + 90], ids, sims, 7, metric, exclude)
         assert (ids == want[0]).all() and (sims == want[1]).all()
+
+
+def test_neighbour_lists_are_not_dealt_again(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i % 2, i // 2, x) for i, x in enumerate(rng.normal(size=(800, 4)).tolist())]
+    n = spark.createDataFrame(rows, "scene long, idx long, v array<double>").cache()
+    n.count()
+    overlaps, asked = graph.Overlaps(n, float("-inf")), spark.createDataFrame([(s, i) for s in (0, 1) for i in range(0, 400, 2)] + [(None, 3), (7, 1), (0, 900)], "scene long, idx long").cache()
+    asked.count()
+    counts = lambda: overlaps.each(lambda scene, u, ids, w: {"idx": u, "n": len(ids)}, "idx long, n long", asked)
+    assert moved(spark, lambda: graph.neighbor_lists(asked, overlaps, 0.0)) < 1.5 * moved(spark, counts)
+    found = {(r.scene, r.idx): len(r.neighbors) for r in graph.neighbor_lists(asked, overlaps, 0.0).collect()}
+    assert found == {(s, i): 399 for s in (0, 1) for i in range(0, 400, 2)} | {(None, 3): 0, (7, 1): 0, (0, 900): 0}

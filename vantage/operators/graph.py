@@ -58,8 +58,12 @@ def symmetrize(edges: DataFrame) -> DataFrame:
 def neighbor_lists(nodes: DataFrame, edges: DataFrame, threshold: float, distinct: bool = True) -> DataFrame:
     """Sorted neighbours at ``threshold`` or more of every node; nodes without any get an empty list."""
     if isinstance(edges, Overlaps):
-        lists = edges.each(lambda scene, u, ids, w: {"idx": u, "neighbors": [np.sort(ids[w >= threshold])]}, "idx long, neighbors array<bigint>")
-        return nodes.join(lists, ["scene", "idx"], "left").withColumn("neighbors", F.coalesce("neighbors", F.array().cast("array<bigint>")))
+        lists = edges.each(lambda scene, u, ids, w: {"idx": u, "neighbors": [np.sort(ids[w >= threshold])]}, "idx long, neighbors array<bigint>", nodes)
+        none = F.array().cast("array<bigint>")
+        if set(nodes.columns) != {"scene", "idx"}:
+            return nodes.join(lists, ["scene", "idx"], "left").withColumn("neighbors", F.coalesce("neighbors", none))
+        found = lists.select(*[F.col(c).cast(nodes.schema[c].dataType).alias(c) for c in nodes.columns], "neighbors")  # lists are not dealt again
+        return found.unionByName(nodes.join(edges.nodes.select("scene", "idx"), ["scene", "idx"], "left_anti").withColumn("neighbors", none))
     near = edges.filter(F.col("w") >= threshold).groupBy("scene", F.col("u").alias("idx"))
     lists = near.agg(F.array_sort(F.collect_set("v") if distinct else F.collect_list("v")).alias("neighbors"))
     return nodes.join(lists, ["scene", "idx"], "left").withColumn("neighbors", F.coalesce("neighbors", F.array().cast("array<bigint>")))
