@@ -134,3 +134,15 @@ def test_long_texts_are_chunks_of_their_own(spark, documents):
     docs = documents.limit(40)
     key = lambda rows: sorted((r.doc_id, r.n_tokens, r.n_known, round(r.score, 6)) for r in rows)
     assert key(score_texts(docs, classes=4, rounds=1).collect()) == key(score_texts(docs, classes=4, rounds=1, chunk_rows=3, long_bytes=500).collect())
+
+
+def test_texts_are_parted_in_columns_as_they_are_one_by_one():
+    import random
+
+    import pyarrow as pa
+
+    draw = random.Random(1)
+    texts = ["".join(draw.choice("aBZ \t\n\x0b\x0c\r\x1c\x1f\x85\xa0éÄİ　\x00") for _ in range(draw.randrange(12))) for _ in range(3000)] + [None, "", "  "]
+    flat, lengths = brown._tokens(pa.array(texts))
+    flat, ends = [w.encode() for w in flat.to_pylist()], lengths.cumsum().tolist()
+    assert [flat[a:b] for a, b in zip([0, *ends], ends)] == [brown.tokens_of(t) for t in texts]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +16,7 @@ from .common import materialize
 #: The end of a text, counted as a token; no word holds white space.
 END = b"\n"
 _FLUSH = 1_000_000
+_SLAB = 1024  # texts that are parted at once
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -29,42 +30,72 @@ def _strings(words: Iterable[bytes]) -> pa.Array:
     return pa.array(list(words), pa.binary()).cast(pa.string())
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``tokens_of`` each of some texts: all words and ends in order, and how many each text has."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = pc.list_flatten(lists)
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    kept = np.flatnonzero(pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False))  # space at an end gives an empty string
+    lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[kept], minlength=len(lengths))
+    place = np.insert(kept, np.cumsum(lengths), len(flat))
+    return pa.concat_arrays([flat, _strings([END])]).take(pa.array(place)), lengths + 1
 
-    def out():
-        return pa.RecordBatch.from_arrays([_strings(counts), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
+def _slabs(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.Array]:
     for batch in batches:
-        for text in batch.column(0):
-            counts.update(tokens_of(text.as_py()))
-            if len(counts) >= _FLUSH:
-                yield out()
-                counts = Counter()
-    if counts:
-        yield out()
+        for at in range(0, len(batch), _SLAB):
+            yield batch.column(column).slice(at, _SLAB)
+
+
+def _places(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """Where each word stands among ``known``; -1 for others."""
+    return pc.fill_null(pc.index_in(words, known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _added(tables: Iterator[pa.Table], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Counts ``n`` by ``keys``, put together as long as no more than ``_FLUSH`` rows remain."""
+    held, size = [], 0
+    for table in tables:
+        held.append(table)
+        size += len(table)
+        if size >= 2 * _FLUSH:
+            whole = pa.concat_tables(held).group_by(keys).aggregate([("n", "sum")]).rename_columns([*keys, "n"])
+            held, size = ([whole], len(whole)) if len(whole) < _FLUSH else ([], 0)
+            if not held:
+                yield from whole.to_batches()
+    if held:
+        yield from pa.concat_tables(held).group_by(keys).aggregate([("n", "sum")]).rename_columns([*keys, "n"]).to_batches()
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted():
+        for texts in _slabs(batches):
+            seen = pc.value_counts(_tokens(texts)[0])
+            yield pa.table({"word": seen.field("values"), "n": seen.field("counts")})
+
+    yield from _added(counted(), ["word"])
 
 
 def _pair_counts(index: dict[bytes, int]):
     """Counts of neighbouring frequent words, as ``(a, b, n)``; the end also stands before a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, held, size = len(index), [], 0
+        k, held, size, known = len(index), [], 0, _strings(index)
 
         def out():
             codes, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(codes // k), pa.array(codes % k), pa.array(n)], names=["a", "b", "n"])
 
-        for batch in batches:
-            for text in batch.column(0):
-                t = tokens_of(text.as_py())
-                ids = np.fromiter(map(index.get, [END, *t], [-1] * (len(t) + 1)), np.int64, len(t) + 1)
-                codes = (ids[:-1] * k + ids[1:])[(ids[:-1] >= 0) & (ids[1:] >= 0)]
-                held.append(codes)
-                size += len(codes)
-                if size >= _FLUSH:
-                    yield out()
-                    held, size = [], 0
+        for texts in _slabs(batches):
+            ids = _places(_tokens(texts)[0], known)
+            before = np.concatenate(([index[END]], ids[:-1]))
+            held.append((before * k + ids)[(before >= 0) & (ids >= 0)])
+            size += len(held[-1])
+            if size >= _FLUSH:
+                yield out()
+                held, size = [], 0
         if held:
             yield out()
 
@@ -183,44 +214,43 @@ def _left_classes(index: dict[bytes, int], classes: np.ndarray, k: int):
     """``(word, c, n)``: each word with the class before it; k where that word is not a frequent one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = {w: int(classes[i]) for w, i in index.items()}
-        counts: Counter = Counter()
+        known, of = _strings(index), np.append(classes, k)  # a place of -1 gives k
 
-        def out():
-            words = _strings(w for w, _ in counts)
-            c = pa.array([c for _, c in counts], pa.int32())
-            return pa.RecordBatch.from_arrays([words, c, pa.array(counts.values(), pa.int64())], names=["word", "c", "n"])
+        def counted():
+            for texts in _slabs(batches):
+                coded = _tokens(texts)[0].dictionary_encode()
+                words = coded.indices.to_numpy().astype(np.int64)
+                own = of[_places(coded.dictionary, known)][words]
+                before = np.concatenate(([of[index[END]]], own[:-1]))
+                codes, n = np.unique(words * (k + 1) + before, return_counts=True)
+                yield pa.table({"word": coded.dictionary.take(pa.array(codes // (k + 1))), "c": pa.array((codes % (k + 1)).astype(np.int32)), "n": pa.array(n)})
 
-        for batch in batches:
-            for text in batch.column(0):
-                t = tokens_of(text.as_py())
-                counts.update(zip(t, map(of.get, [END, *t[:-1]], [k] * len(t))))
-                if len(counts) >= _FLUSH:
-                    yield out()
-                    counts = Counter()
-        if counts:
-            yield out()
+        yield from _added(counted(), ["word", "c"])
 
     return run
 
 
 def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each chunk as far as its rows come together; a long text is a chunk of its own."""
-    held, words = None, set()
+    """Distinct words of each chunk, whose rows come one after another but for long texts, each a chunk of its own."""
+    held, words = None, []
 
-    def out(chunk: int, words: set):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), chunk)), _strings(words)], names=["chunk", "word"])
+    def out(chunk: int, words: list[pa.Array]):
+        every = pc.unique(pa.concat_arrays(words))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(every), chunk)), every], names=["chunk", "word"])
 
     for batch in batches:
-        for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if chunk < 0:
-                yield out(chunk, set(tokens_of(text.as_py())))
-                continue
-            if chunk != held:
+        chunks = batch.column(0).to_numpy(zero_copy_only=False)
+        for at in np.flatnonzero(chunks < 0).tolist():
+            yield out(int(chunks[at]), [_tokens(batch.column(1).slice(at, 1))[0]])
+        rows = np.flatnonzero(chunks >= 0)
+        texts, chunks = batch.column(1).take(pa.array(rows)), chunks[rows]
+        starts = np.flatnonzero(np.diff(chunks, prepend=-1))
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(chunks)]):
+            if chunks[start] != held:
                 if words:
                     yield out(held, words)
-                held, words = chunk, set()
-            words.update(tokens_of(text.as_py()))
+                held, words = int(chunks[start]), []
+            words += [pc.unique(_tokens(texts.slice(at, min(_SLAB, end - at)))[0]) for at in range(start, end, _SLAB)]
     if words:
         yield out(held, words)
 
@@ -241,10 +271,9 @@ def _sequences(sizes: Sizes):
     """Texts and words of a chunk to one row a text: classes in order (0: unknown), and sums over known words."""
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        names = words.column("word").cast(pa.binary()).to_pylist()
+        names = words.column("word").combine_chunks()
         c = np.nan_to_num(words.column("n").to_numpy().astype(float)).astype(np.int64)
         cls = np.nan_to_num(words.column("cls").to_numpy().astype(float), nan=-1).astype(np.int64)
-        index = dict(zip(names, range(len(names))))
         base = np.log10((c + 1) / (sizes.tokens + sizes.distinct + 1))
         known = c > 0
         emit = np.zeros(len(c))
@@ -253,14 +282,15 @@ def _sequences(sizes: Sizes):
         emit[known] = np.log10((c[known] - off[known]) / sizes.class_tokens[cls[known]])
         code = np.where(known, cls + 1, 0).astype(np.uint8)
         out: dict[str, list] = {x: [] for x in ("n_tokens", "n_known", "base_score", "emitted", "classes")}
-        for text in docs.column("text"):
-            t = tokens_of(text.as_py())
-            ids = np.fromiter(map(index.__getitem__, t), np.int64, len(t))
-            out["n_tokens"].append(len(t))
-            out["n_known"].append(int(known[ids].sum()))
-            out["base_score"].append(float(base[ids].sum()))
-            out["emitted"].append(float(emit[ids].sum()))
-            out["classes"].append(code[ids].tobytes())
+        for at in range(0, len(docs), _SLAB):
+            tokens, lengths = _tokens(docs.column("text").slice(at, _SLAB))
+            every, ends = _places(tokens, names), np.cumsum(lengths)
+            for ids in np.split(every, ends[:-1]):
+                out["n_tokens"].append(len(ids))
+                out["n_known"].append(int(known[ids].sum()))
+                out["base_score"].append(float(base[ids].sum()))
+                out["emitted"].append(float(emit[ids].sum()))
+                out["classes"].append(code[ids].tobytes())
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"),
@@ -406,7 +436,7 @@ def score_texts(
 
     place = F.monotonically_increasing_id()
     chunked = rows.withColumn("chunk", F.when(F.octet_length("text") > long_bytes, -1 - place).otherwise(F.floor(place / chunk_rows)))
-    wanted = chunked.select("chunk", "text").mapInArrow(_chunk_words, "chunk long, word string").repartition("word").distinct()  # one shuffle for this and the join
+    wanted = chunked.select("chunk", "text").mapInArrow(_chunk_words, "chunk long, word string").repartition("word")  # each once
     found = wanted.join(words, "word", "left").select("chunk", "word", "n", "cls")
     ordered = chunked.select("chunk", "doc_id", "held_out", "learned", "text")
     sequences = ordered.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(
