@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vantage.llm.common import join_once
 from vantage.llm.components import connected_components
 from vantage.llm.linededup import dedup_units, text_units
-from vantage.llm.neardup import WIDE, WideIndex, _counted, _lists, _numbers, _planes, candidates, keep_one, near_duplicates, shingles
+from vantage.llm.neardup import WIDE, WideIndex, _counted, _crossed, _lists, _numbers, _planes, candidates, keep_one, near_duplicates, shingles
 from vantage.llm.simhash import ByteIndex, _postings, fingerprint, link_fingerprints, link_nodes, linked, shared_bytes, simhash_components, words_of
 
 
@@ -200,6 +200,56 @@ def test_a_pivot_that_is_not_alike_hides_nothing(spark):
     assert sum(3 * d + 2 in got for d in range(60)) <= 3
 
 
+def _jaccard_components(rows, least=0.8):
+    """Ids that stay, by comparing all pairs of sets of word tuples."""
+    sets = []
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[i : i + min(5, len(w))]) for i in range(max(1, len(w) - 4))})
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= least * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return {rows[find(i)][0] for i in range(len(rows))}
+
+
+def test_no_link_is_left_out(spark):
+    """Pairs at the threshold and just below it, texts of a few words, chains, and a line that many texts share: the same as by all pairs."""
+    rng, rows = np.random.default_rng(21), []
+    add = lambda words: rows.append((len(rows), " ".join(words)))
+    for i in range(120):
+        n, last = int(rng.integers(8, 120)), i % 3
+        own = [f"p{i}x{j}" for j in range(n)]
+        add(own)
+        add([*own, *[f"q{i}y{j}" for j in range(int((n - 4) / 4) + (last == 2))]])  # n - 4 shingles of 1.25 (n - 4), or one too many
+    line = [f"line{j}" for j in range(12)]
+    for i in range(60):
+        add([*line, *[f"r{i}z{j}" for j in range(int(rng.integers(1, 30)))]])
+        add([f"s{i % 20}", *line[: 4 + i % 9]])
+    for i in range(10):
+        add([f"chain{j}" for j in range(i, i + 40)])  # each like the next two or three alone
+    got = {r.doc_id for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    assert got == _jaccard_components(rows)
+
+
+def test_pairs_of_one_component_are_not_formed():
+    h, node = np.repeat(np.array([3, 9], np.uint64), 200), np.tile(np.arange(200), 2)
+    root, n, at = np.where(node < 198, 0, node), np.full(400, 50), np.zeros(400, np.int64)
+    got = {(int(a), int(b)) for x, y in _crossed(h, node, root, n, at, 0.8) for a, b in zip(x, y)}
+    assert got == {(a, b) for a in range(200) for b in (198, 199) if a < b}
+    assert not [1 for x, _ in _crossed(h, node, root, n + 20 * (node > 197), at, 0.8) if len(x) and (x < 198).any()]  # sizes too different
+    assert sum(len(x) for x, _ in _crossed(h, node, node * 0, n, at, 0.8)) == 0
+
+
 def test_tally_decides_before_bits_are_counted():
     """A pair with a posting in common and few differing bits goes by the count alone."""
     import pyarrow as pa
