@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from vantage.llm.common import join_once
 from vantage.llm.components import connected_components
 from vantage.llm.linededup import dedup_units, text_units
-from vantage.llm.neardup import WIDE, WideIndex, _counted, _crossed, _lists, _numbers, _planes, candidates, keep_one, near_duplicates, shingles
+from vantage.llm.neardup import WIDE, WideIndex, _counted, _crossed, _folded, _lists, _numbers, _planes, _widths, candidates, crossing, keep_one, near_duplicates, shingles
 from vantage.llm.simhash import ByteIndex, _postings, fingerprint, link_fingerprints, link_nodes, linked, shared_bytes, simhash_components, words_of
 
 
@@ -241,6 +242,26 @@ def test_no_link_is_left_out(spark):
     assert got == _jaccard_components(rows)
 
 
+def test_long_texts_that_share_rare_shingles_are_told_apart_before_they_are_read(spark):
+    rng = np.random.default_rng(5)
+    shared, own = [f"s{i}" for i in range(600)], lambda k: [f"w{k}x{i}" for i in range(5400)]
+    texts = [" ".join(shared + own(k)) for k in range(3)]  # a tenth in common; 6000 shingles fill a parity of 1024 bits
+    changed = own(0)
+    for i in rng.choice(len(changed), 20, replace=False):
+        changed[i] = "y"
+    texts.append(" ".join(shared + changed + ["z"] * 200))  # alike, though longer
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    assert {tuple(r) for r in crossing(nodes, spark.createDataFrame([], "node long, root long")).collect()} == {(0, 3)}
+
+
+def test_parities_of_different_length_are_folded():
+    sets = [np.unique(np.random.default_rng(k).integers(0, 1 << 63, n).astype(np.uint64)) for k, n in enumerate((0, 3, 511, 513, 2000, 70_000))]
+    assert _widths(np.array([len(s) for s in sets])).tolist() == [1024, 1024, 1024, 2048, 4096, 262_144]
+    bits = lambda s, w: np.packbits((np.bincount((s % np.uint64(w)).astype(np.int64), minlength=w) & 1).astype(np.uint8)).tobytes()
+    for w in (1024, 2048, 8192):
+        assert _folded(pa.array([bits(s, 8192) for s in sets]), 1024, w // 8).tobytes() == b"".join(bits(s, w) for s in sets)
+
+
 def test_pairs_of_one_component_are_not_formed():
     h, node = np.repeat(np.array([3, 9], np.uint64), 200), np.tile(np.arange(200), 2)
     root, n, at = np.where(node < 198, 0, node), np.full(400, 50), np.zeros(400, np.int64)

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -128,6 +129,21 @@ def test_intermediate_tables(spark):
         spark.read.parquet(storage.shared_dir(spark) + "/none-such").count()
 
 
+def test_shuffle_files_go_with_the_table_they_were_for(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {n.rsplit("/", 1)[-1] for n in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in n}
+    before, setting = names(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(setting, None)
+    table = storage.materialize(spark.range(1000).repartition(3, "id").groupBy(F.col("id") % 7).count(), "t")
+    for _ in range(50):  # they go in the background
+        left = {n for n in names() - before if n.endswith(".data")}
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and table.count() == 7 and spark.conf.get(setting, None) == kept
+    storage.discard(table)
+
+
 def test_features_and_metrics_round_trip(spark, tmp_path):
     rows = [("a", [1.0, 2.0]), ("b", [3.0, 4.0])]
     df = spark.createDataFrame(rows, "image_name string, feat array<float>")
