@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vantage.llm.common import join_once
 from vantage.llm.components import connected_components
 from vantage.llm.linededup import dedup_units, text_units
-from vantage.llm.neardup import WIDE, WideIndex, _counted, _crossed, _folded, _lists, _numbers, _planes, _widths, candidates, crossing, keep_one, near_duplicates, shingles
+from vantage.llm.neardup import WIDE, WideIndex, _counted, _crossed, _crossing, _folded, _lists, _needed, _numbers, _planes, _widths, candidates, crossing, keep_one, near_duplicates, shingles
 from vantage.llm.simhash import ByteIndex, _postings, fingerprint, link_fingerprints, link_nodes, linked, shared_bytes, simhash_components, words_of
 
 
@@ -254,6 +254,28 @@ def test_long_texts_that_share_rare_shingles_are_told_apart_before_they_are_read
     assert {tuple(r) for r in crossing(nodes, spark.createDataFrame([], "node long, root long")).collect()} == {(0, 3)}
 
 
+def test_alike_sets_share_as_many_first_shingles_as_are_needed():
+    rng = np.random.default_rng(11)
+    for _ in range(3000):
+        common, x, y = (int(k) for k in (rng.integers(1, 60), rng.integers(0, 8), rng.integers(0, 8)))
+        if common < 0.8 * (common + x + y):
+            continue
+        order = rng.permutation(common + x + y)
+        sets = [np.sort(order[: common + x]), np.sort(np.concatenate((order[:common], order[common + x :])))]
+        sizes = np.array([len(s) for s in sets])
+        first = [s[: len(s) - int(np.ceil(0.8 * len(s) - 1e-9)) + 1] for s in sets]
+        assert len(np.intersect1d(*first)) >= _needed(0.8, sizes[:1], sizes[1:])[0] >= 1
+
+
+def test_texts_that_share_a_passage_alone_are_dropped_by_count():
+    h = np.arange(40, dtype=np.uint64).repeat(2)  # two sets of 400 share 40 shingles of their prefixes; of 900, too few
+    for n, kept in ((400, True), (900, False)):
+        lists = [h.astype(np.uint32).tobytes(), _planes(np.tile([1, 2], 40)), _planes(np.tile([1, 2], 40)), np.full(80, n, np.int32).tobytes(), np.arange(40, dtype=np.int32).repeat(2).tobytes()]
+        batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), *[pa.array([x], pa.binary()) for x in lists]], names=["bucket", "h", "node", "root", "n", "at"])
+        (got,) = [b.to_pylist() for b in _crossing(0.8)(iter([batch]))]
+        assert [(r["a"], r["b"], r["n"], r["placed"]) for r in got] == [(1, 2, 40, True)] and (got[0]["n"] >= got[0]["needed"]) == kept
+
+
 def test_parities_of_different_length_are_folded():
     sets = [np.unique(np.random.default_rng(k).integers(0, 1 << 63, n).astype(np.uint64)) for k, n in enumerate((0, 3, 511, 513, 2000, 70_000))]
     assert _widths(np.array([len(s) for s in sets])).tolist() == [1024, 1024, 1024, 2048, 4096, 262_144]
