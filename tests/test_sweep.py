@@ -10,7 +10,7 @@ from vantage.operators import graph, knn, pooling
 from vantage.operators import losses as L
 from vantage.operators import metrics as M
 from vantage.operators.blocks import GroupPairs
-from vantage.operators.sweep import similarity, streamed, swept
+from vantage.operators.sweep import NO_GROUP, Rows, similarity, streamed, swept
 
 
 @pytest.fixture(scope="module")
@@ -68,6 +68,47 @@ def test_graded_labels_agree_with_listed_grades(spark, table, rows):
             assert (f["n_pos"], f["ap"], f["p1"], f["p5"]) == (w["n_pos"], pytest.approx(w["ap"]), pytest.approx(w["p1"]), pytest.approx(w["p5"]))
 
 
+def test_a_right_side_is_read_once_for_many_rows(spark):
+    """A left block is met in parts, and all of them see the rows that its task was given once."""
+    rng = np.random.default_rng(7)
+    rows = spark.createDataFrame([(i, i % 3, x) for i, x in enumerate(rng.normal(size=(3000, 4)).tolist())], "id long, g long, v array<double>").repartition(3)
+
+    def work(mine, met, sims):
+        met.served = getattr(met, "served", 0) + 1
+        return {"id": mine.ids, "n": np.full(len(mine.ids), len(met.ids)), "served": np.full(len(mine.ids), met.served), "s": (sims**2).sum(1)}
+
+    found = {r.id: r for r in swept(rows, rows, work, "id long, n long, served long, s double", held=1).collect()}
+    assert len(found) == 3000 and {r.n for r in found.values()} == {3000} and max(r.served for r in found.values()) > 1
+    v = np.array([r.v for r in rows.orderBy("id").collect()])
+    v = v / np.linalg.norm(v, axis=1)[:, None]
+    assert np.allclose([found[i].s for i in range(3000)], ((v @ v.T) ** 2).sum(1))
+
+
+@pytest.mark.parametrize("values", ["any", "few", "last bits", "zeros"])
+def test_ranks_read_off_a_sorted_row_are_those_of_a_plain_sort(values):
+    rng = np.random.default_rng(8)
+    n, m = 400, 30
+    sims = rng.normal(size=(m, n))
+    if values == "few":
+        sims = np.round(sims)
+    if values == "last bits":
+        sims = (np.float64(0.3).view(np.int64) + rng.integers(-9, 9, (m, n))).view(np.float64)
+    if values == "zeros":
+        sims = rng.choice([0.0, -0.0, 5e-324, -5e-324, 1.0], (m, n))
+    groups = rng.choice([0, 1, 2, NO_GROUP], n)
+    met = Rows(rng.permutation(n), groups, np.zeros(n, np.int64), rng.random(n) < 0.9, np.zeros((n, 0)))
+    mine = Rows(*(x[:m] for x in (met.ids, groups, met.marks, met.held, met.v)))
+    grade = lambda src, dst, _, __: (src + dst) % 5 - 1  # noqa: E731  -1 and 3 are none of the three grades
+    for g in (None, grade):
+        for i, every, codes, rank in M._of_label(mine, met, sims.copy(), True, g):
+            same = [k for k in range(n) if groups[k] == groups[i] != NO_GROUP and k != i]
+            code = {k: 1 if g is None else (int(met.ids[i] + met.ids[k]) % 5) % 4 for k in same}
+            assert sorted(every.tolist()) == sorted(code.values())
+            order = sorted((k for k in range(n) if met.held[k] and k != i), key=lambda k: (-sims[i, k], met.ids[k]))
+            want = [(code[k], at) for at, k in enumerate(order, 1) if code.get(k)] if met.held[i] else []
+            assert list(zip(codes.tolist(), rank.tolist())) == want
+
+
 def test_equal_rows_are_equally_near_wherever_they_lie():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(2500, 64))
