@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vantage.operators import graph, knn, pooling
 from vantage.operators import losses as L
 from vantage.operators import metrics as M
-from vantage.operators.blocks import GroupPairs
+from vantage.operators.blocks import GroupPairs, squared_distances
 from vantage.operators.sweep import NO_GROUP, Rows, similarity, streamed, swept
 
 
@@ -200,6 +200,18 @@ def test_attention_of_images_and_heads(spark):
     assert not found
 
 
+def test_what_is_rounded_in_its_task_is_what_a_rounded_column_is(spark, scenes):
+    rng = np.random.default_rng(4)
+    side = spark.createDataFrame([(i % 2, 0, i // 2, x) for i, x in enumerate(rng.normal(size=(90, 3)).tolist())], "image_id long, head int, pos int, v array<double>").repartition(3)
+    overlaps, far = graph.Overlaps(scenes, 0.05), scenes.select(scenes["scene"].alias("sample"), scenes["idx"].alias("i"), "v")
+    for plain, there, c in (
+        (pooling.attention_map(side, side, 3), pooling.attention_map(side, side, 3, digits=3), "a"),
+        (overlaps.edges(), overlaps.edges(digits=3), "w"),
+        (squared_distances(far), squared_distances(far, digits=3), "d"),
+    ):
+        assert bag(there) == bag(plain.withColumn(c, F.round(c, 3))) and there.count() > 90
+
+
 def moved(spark, df) -> int:
     """Bytes that exchanges write while the plan runs."""
     sc = spark.sparkContext
@@ -239,6 +251,16 @@ def test_a_search_over_many_blocks_deals_each_row_once(spark):
         assert 0 < many < 2 * few
 
 
+def test_squared_distances_deal_each_row_once(spark):
+    rng = np.random.default_rng(3)
+    nodes = spark.createDataFrame([(i % 2, i, x) for i, x in enumerate(rng.normal(size=(600, 16)).tolist())], "sample long, i long, v array<double>").repartition(2).cache()
+    nodes.count()
+    few, many = (moved(spark, lambda: squared_distances(nodes, block=block)) for block in (300, 10))  # rows were copied for each of 1 block, and of 30
+    assert 0 < many < 2 * few
+    named = nodes.select(F.concat(F.lit("s"), "sample").alias("sample"), "i", "v")
+    assert bag(squared_distances(named, digits=6).select("i", "j", "d")) == bag(squared_distances(nodes, digits=6).select("i", "j", "d"))
+
+
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
 def test_best_so_far_agrees_with_all_at_once(metric):
     rng = np.random.default_rng(6)
