@@ -102,3 +102,29 @@ def test_the_driver_holds_neither_the_sample_nor_the_fit(spark, monkeypatch):
     monkeypatch.setattr(langid, "train_tagger", here)  # workers import their own
     found = {r.lang_pred for r in langid.identify_language(docs).collect()}
     assert found == {"en", "fr"}
+
+
+def test_no_text_with_letters_goes_for_want_of_learning(spark):
+    """Where nothing is labelled, and where all that is labelled is long, held out, or hidden among texts without a letter."""
+    schema = "doc_id long, text string, lang string"
+    bare = spark.createDataFrame([(1, "the cat", None), (2, "12 ²", None), (3, None, None), (4, "le chat", None)], schema)
+    assert {r.doc_id for r in keep_identified(bare).collect()} == {1, 4} and keep_identified(bare, min_score=0.1).count() == 0
+    en, fr = "the cat and the dog with other things ", "le chat et le chien avec les autres choses "
+    texts = [(i, t * 1500, lab) for i in range(8) for t, lab in ((en, "en"), (fr, "fr"))] + [(100, en, None), (101, fr, None)]
+    docs = spark.createDataFrame(texts, schema)
+    got = {r.doc_id: r.lang_pred for r in identify_language(docs).collect()}
+    assert (got[100], got[101]) == ("en", "fr")
+    assert keep_identified(docs, min_score=0.9).count() == len(texts)
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 == 2]
+    few = spark.createDataFrame([(i, t, lab) for i in held for t, lab in ((en, "en"), (fr, "fr"))], schema)
+    assert keep_identified(few, min_score=0.9).count() == 2 * len(held)
+    empty = spark.createDataFrame([(i, "...", "en") for i in range(2000)] + [(5000, en, "en"), (5001, fr, "fr"), (5002, en, "en"), (5003, fr, "fr")], schema)
+    assert set(langid._tagger(empty, 5, 4, None).labels) == {"en", "fr"}
+
+
+def test_pieces_of_long_texts_are_bounded(spark):
+    rows = [(i, "x " * 500, lab) for i, lab in enumerate(["long"] * 6 + ["both"])] + [(9, "x", "both"), (10, "y", "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.long_sample(docs, 7, max_chars=300).collect()
+    assert len(found) == 7 and {r.lang for r in found} == {"long"} and all(0 < len(r.text) <= 300 for r in found)
+    assert len(langid.long_sample(docs, 100, max_chars=300).collect()) == 6 * 4 and len(langid.long_sample(docs, 7, max_rows=3, max_chars=300).collect()) == 3

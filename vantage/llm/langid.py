@@ -295,6 +295,21 @@ def labelled_sample(docs: DataFrame, per_label: int, max_rows: int = 20_000, max
     return rows.filter(F.col("r") <= per_label).orderBy("r", "lang").limit(max_rows).select("text", "lang")
 
 
+def long_sample(docs: DataFrame, per_label: int, max_rows: int = 20_000, max_chars: int = 50_000) -> DataFrame:
+    """``(text, lang)`` of labels whose texts are all longer than ``max_chars``, of which ``labelled_sample`` has none: pieces of their texts of
+    ``max_chars`` code points, within the same bounds, by least hash of id, label and piece."""
+    only = docs.groupBy("lang").agg(F.min(F.length("text")).alias("least")).filter(F.col("least") > max_chars)
+    only = only.orderBy(F.xxhash64("lang"), "lang").limit(max_rows).select("lang")  # no more than max_rows labels have a piece
+    own = docs.join(F.broadcast(only), "lang", "left_semi")
+    keys = own.select("doc_id", "lang", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / max_chars).cast("int"))).alias("p"))
+    order = [F.xxhash64("doc_id", "lang", "p"), F.col("doc_id"), F.col("p")]
+    ranked = keys.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("r") <= per_label)
+    chosen = ranked.orderBy("r", *order, "lang").limit(max_rows).select("doc_id", "lang", "p").distinct()
+    again = F.row_number().over(Window.partitionBy("lang").orderBy(*order, F.xxhash64("text")))
+    pieces = own.join(F.broadcast(chosen), ["doc_id", "lang"]).withColumn("text", F.col("text").substr(F.col("p") * max_chars + 1, F.lit(max_chars)))
+    return pieces.select("lang", "text", again.alias("r")).filter(F.col("r") <= per_label).orderBy("r", "lang").limit(max_rows).select("text", "lang")
+
+
 def sample_labelled(docs: DataFrame, per_label: int, max_rows: int = 20_000, max_chars: int = 50_000) -> list[tuple[str, str]]:
     """The rows of ``labelled_sample``."""
     return [(r["text"], r["lang"]) for r in labelled_sample(docs, per_label, max_rows, max_chars).collect()]
@@ -317,29 +332,34 @@ def _predict(tagger: Tagger):
     return run
 
 
-def _tagger(rows: DataFrame, per_label: int, modulus: int, held: int) -> Tagger:
-    """Learn from labelled rows (doc_id, text, lang) that are not held out. A task fits the bounded sample; the driver gets the model alone."""
-    learn = rows.filter(F.coalesce(remainder("doc_id", modulus) != held, F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    found = labelled_sample(learn, per_label).repartition(1).mapInArrow(_fit, "tagger binary").first()
+def _tagger(rows: DataFrame, per_label: int, modulus: int, held: int | None) -> Tagger:
+    """Learn from labelled rows (doc_id, text, lang) with a letter that are not held out, if any are. A task fits the bounded sample; the driver gets the model alone."""
+    learn = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    if held is not None:
+        learn = learn.filter(F.coalesce(remainder("doc_id", modulus) != held, F.lit(False)))
+    found = labelled_sample(learn, per_label).unionByName(long_sample(learn, per_label)).repartition(1).mapInArrow(_fit, "tagger binary").first()
     return pickle.loads(found["tagger"]) if found else train_tagger([])
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.0, per_label: int = 200, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text has a language with a score of at least ``min_score``.
 
-    Learning is that of ``identify_language``; ``docs`` must have the three named columns. Null texts and
-    texts without a letter go; by default nothing else does, a text of several languages included. If
-    there is nothing to learn from, no text has a language and all go. Repeated rows stay or go
+    Learning is that of ``identify_language``, but from all labelled rows, as nothing is held out here; ``docs`` must
+    have the three named columns. Null texts and texts without a letter go; by default nothing else does, a text of several languages
+    included. If there is nothing to learn from, texts with a letter are in a language without a name, at score 0. Repeated rows stay or go
     together. An empty table gives an empty table; other columns may have any names.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("lang"))
-    shared = docs.sparkSession.sparkContext.broadcast(_tagger(rows, per_label, 4, 2))  # features of a sample of bounded size
+    shared = docs.sparkSession.sparkContext.broadcast(_tagger(rows, per_label, 4, None))  # features of a sample of bounded size
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value)
         for batch in batches:
-            labels, scores = reader.predict(x.as_py() for x in batch.column(at))
+            texts = [x.as_py() for x in batch.column(at)]
+            labels, scores = reader.predict(texts)
+            if not shared.value.labels:
+                labels = ["" if text and words_of(text) else UNKNOWN for text in texts]
             yield batch.filter(pa.array([lab != UNKNOWN and x >= min_score for lab, x in zip(labels, scores)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -349,8 +369,8 @@ def identify_language(docs: DataFrame, per_label: int = 200, modulus: int = 4, h
     """doc_id, held_out, lang_pred and score of every text.
 
     The field learns from at most ``per_label`` texts of each non-null label, among rows whose
-    crc32(id) modulo ``modulus`` is not ``held`` (see ``labelled_sample``); this bounds what one task fits
-    on. Prediction reads the text alone, and all of it: texts are judged in groups of about 150,000 words, a longer
+    crc32(id) modulo ``modulus`` is not ``held`` and whose text has a letter (see ``labelled_sample``; ``long_sample`` for labels that have
+    long texts only); this bounds what one task fits on. Prediction reads the text alone, and all of it: texts are judged in groups of about 150,000 words, a longer
     one by itself in segments, with memory in proportion to its words. Words are tagged by marginals of the whole text; the prediction is the label with the largest
     mean marginal, the score. ``und`` with score 0 where the text is null or has no letter, or nothing
     could be learned. Rows with a null id are predicted but not learned from (held_out false). Rows with equal ids
